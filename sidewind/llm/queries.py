@@ -9,6 +9,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import hex_of, near_dedup
+
+    out = near_dedup(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return out.select("doc_id", hex_of(out.fp).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -16,6 +23,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
