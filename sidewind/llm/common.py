@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 #: White space and words as all operators here take them.
 SPACE = r"[\x20\x09-\x0D]"
-#: Code for rows of one group above this share of the input goes by a broadcast of the group, which
-#: at most HOT_SHARE groups can reach.
+#: Texts of characters on whose classes, case and composition all Unicode versions and libraries agree.
+PLAIN = re.compile(r"[\x00-\x1B\x20-\x7E\u00A1-\u024F\u2010-\u2027\u20AC]*").fullmatch
+#: A group of more than one HOT_SHARE-th of all rows is broadcast; at most HOT_SHARE groups can be that large.
 HOT_SHARE = 512
 
 

@@ -16,6 +16,23 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_of(out.fp).alias("fingerprint"), "component_id")
 
 
+def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_store import digests, read_tokens, write_tokens
+
+    folder = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return digests(read_tokens(spark, folder))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe_digests
+
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -24,6 +41,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op6_token_planes": op6_token_planes,
+    "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
