@@ -16,6 +16,12 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_of(out.fp).alias("fingerprint"), "component_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,11 +45,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages")).drop("alias_verdict")
+
+
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_license_scan": op4_license_scan,
     "op6_token_planes": op6_token_planes,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
@@ -56,4 +70,29 @@ ORACLE_SQL = {
         )
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    # No page's html holds a canonical link or a redirect in these tables, so aliases are pages of one canonical address.
+    "op10_url_filter": r"""
+        WITH split AS (
+            SELECT page_id, url,
+                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_replace(regexp_replace(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '(^|&)(utm_[^&=]*|ref)=[^&]*', '', 'g'), '^&', '') AS query
+            FROM pages
+        ), p AS (
+            SELECT page_id, host, path,
+                   CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '/$', '') || CASE WHEN query = '' THEN '' ELSE '?' || query END
+                        ELSE 'no host:' || url END AS node,
+                   CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+                        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+                        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+                        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+                        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+            FROM split
+        ), v AS (
+            SELECT *, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM p
+        ), a AS (
+            SELECT node, CASE WHEN bool_or(own = 'allow') THEN 'allow' WHEN bool_or(own = 'block') THEN 'block' END AS alias FROM v GROUP BY node
+        )
+        SELECT page_id, host, path, rule, coalesce(own, alias, 'allow') AS verdict FROM v LEFT JOIN a USING (node)
+    """,
 }
