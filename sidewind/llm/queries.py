@@ -22,6 +22,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners are the sources; an owner's repositories are its languages."""
+    from pyspark.sql import functions as F
+
+    from .secrets import secret_scan
+
+    out = secret_scan(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    live = F.filter("candidates", lambda c: c.live)
+    return out.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", F.coalesce(F.size(live), F.lit(0)).cast("long").alias("n_live"),
+        F.coalesce(F.array_max(F.transform("candidates", lambda c: c.owners)), F.lit(0)).alias("most_owners"),
+    )
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_secret_scan": op5_secret_scan,
     "op6_token_planes": op6_token_planes,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
