@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import hex_of, near_dedup
 
@@ -45,6 +51,18 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_tokens(spark, folder))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected: severity of at least one grade is more likely than not."""
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    p = F.get("tails", F.lit(0))
+    return out.select("doc_id", "severity", p.alias("p_toxic"), (p >= 0.5).alias("toxic"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,10 +84,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_planes": op6_token_planes,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
