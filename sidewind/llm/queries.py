@@ -15,6 +15,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import hex_of, near_dedup
 
@@ -85,6 +91,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_context_tree": op2_context_tree,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_secret_scan": op5_secret_scan,
