@@ -59,29 +59,44 @@ def majority(counts: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > n, axis=-1, bitorder="little").view("<u8")[..., 0]
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    hashes = shingle_hashes(text, words)
+def of_hashes(hashes: np.ndarray) -> int:
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         total += bits_of(hashes[i : i + 65536]).sum(0, dtype=np.int64)
     return int(majority(total, len(hashes)))
 
 
-def _fingerprints(words: int):
+def fingerprint(text: bytes, words: int = 4) -> int:
+    return of_hashes(shingle_hashes(text, words))
+
+
+def stir(x: np.ndarray) -> np.ndarray:
+    """Another hash of each hash (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _fingerprints(words: int, second: bool):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t or b"", words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ("doc_id", "fp"))
+            fps = np.zeros((2, len(texts)), np.uint64)
+            for i, t in enumerate(texts):
+                hashes = shingle_hashes(t or b"", words)
+                fps[0, i] = of_hashes(hashes)
+                if second:
+                    fps[1, i] = of_hashes(stir(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(f.view(np.int64), pa.int64()) for f in fps)], ("doc_id", "fp", "more"))
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp) of each row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, second: bool = False) -> DataFrame:
+    """(doc_id, fp, more) of each row of docs; more is a second fingerprint by other hashes, if asked for, else 0."""
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprints(words), "doc_id long, fp long"
+        _fingerprints(words, second), "doc_id long, fp long, more long"
     )
 
 
@@ -139,7 +154,7 @@ class _Forest:
         return True
 
 
-def _links(radius: int):
+def _links(radius: int, more_radius: int):
     cut = segments(radius)
 
     def canonical(x: np.ndarray) -> np.ndarray:
@@ -160,9 +175,9 @@ def _links(radius: int):
             new = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, y)]
             if new:
                 x, y = zip(*new, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(np.array(y, np.uint64).view(np.int64))], ("a", "b"))
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ("a", "b"))
 
-        def small(run_of, pos, fp):
+        def small(run_of, pos, fp, more, node):
             """Neighbours at growing offsets, all buckets at once."""
             live, k = np.arange(len(fp)), 0
             while True:
@@ -174,42 +189,46 @@ def _links(radius: int):
                 x = fp[live] ^ fp[live + k]
                 near = np.flatnonzero(popcount(x) <= radius)
                 near = near[canonical(x[near]) == pos[live[near]]]
-                if len(near) and (out := edges(fp[live[near]], fp[live[near] + k])):
+                if more_radius < 64:
+                    near = near[popcount(more[live[near]] ^ more[live[near] + k]) <= more_radius]
+                if len(near) and (out := edges(node[live[near]], node[live[near] + k])):
                     yield out
 
-        def large(pos, fp):
+        def large(pos, fp, more, node):
             """A breadth-first search: what is reached leaves the rest, so no pairs are listed."""
-            left = fp
+            left = np.arange(len(fp))
             while len(left):
                 queue, left = [left[0]], left[1:]
                 while queue and len(left):
                     one = queue.pop()
-                    x = left ^ one
+                    x = fp[left] ^ fp[one]
                     near = popcount(x) <= radius
                     near[near] = canonical(x[near]) == pos
+                    if more_radius < 64:
+                        near[near] = popcount(more[left[near]] ^ more[one]) <= more_radius
                     got = left[near]
                     if len(got):
-                        if out := edges(np.full(len(got), one), got):
+                        if out := edges(np.full(len(got), node[one]), node[got]):
                             yield out
                         queue += got.tolist()
                         left = left[~near]
 
-        def work(key, cell, fp):
+        def work(key, cell, *rest):
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
             length = np.diff(np.r_[start, len(key)])
             pos = key >> 48
             run_of = np.repeat(np.arange(len(start)), length)
             few = np.repeat(length <= 48, length)
-            yield from small(run_of[few], pos[few], fp[few])
+            yield from small(run_of[few], pos[few], *(r[few] for r in rest))
             for s, n in zip(start[length > 48].tolist(), length[length > 48].tolist(), strict=True):
-                yield from large(pos[s], fp[s : s + n].astype(np.uint64))
+                yield from large(pos[s], *(r[s : s + n] for r in rest))
 
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("key", "cell", "fp")]
-            now[2] = now[2].view(np.uint64)
+            now = [batch.column(c).to_numpy() for c in ("key", "cell", "fp", "more", "node")]
+            now[2:4] = (x.view(np.uint64) for x in now[2:4])
             if rest:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            key, cell, _ = now
+            key, cell = now[:2]
             if len(key) and (key[0], cell[0]) == (key[-1], cell[-1]):
                 rest = now
                 continue
@@ -222,8 +241,8 @@ def _links(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints fps(fp) that connect all that are within radius."""
+def links(fps: DataFrame, radius: int, n: int, more_radius: int = 64) -> DataFrame:
+    """(a, b): links between nodes fps(fp, more, node) that connect all that are within both radii."""
     spark = fps.sparkSession
     cut = segments(radius)
     most = max(20_000, n // 10_000)
@@ -232,8 +251,8 @@ def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
         values = F.array(*[F.struct(F.lit(k).alias("s"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << w) - 1).alias("v")) for k, (lo, w) in enumerate(cut)])
         for r in fps.select(F.explode(values).alias("x")).groupBy("x.s", "x.v").count().where(F.col("count") > most).collect():
             hot[r.s, r.v] = r["count"]
-    rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
-    rows = rows.select(_variant(F.col("fp"), F.col("pos"), cut).alias("key"), "fp", F.col("pos"))
+    rows = fps.select("fp", "more", "node", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
+    rows = rows.select(_variant(F.col("fp"), F.col("pos"), cut).alias("key"), "fp", "more", "node")
     if hot:
         # The blocks of a hot bucket: each pair of blocks meets in one cell.
         blocks: dict[int, int] = {}
@@ -246,31 +265,37 @@ def links(fps: DataFrame, radius: int, n: int) -> DataFrame:
         rows = rows.join(F.broadcast(sizes), "key", "left")
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * 65536 + F.greatest(j, own))
-        rows = rows.select("key", "fp", F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"))
+        rows = rows.select("key", "fp", "more", "node", F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"))
     else:
-        rows = rows.select("key", "fp", F.lit(0).alias("cell"))
+        rows = rows.select("key", "fp", "more", "node", F.lit(0).alias("cell"))
     return (
         rows.repartition(partitions(spark), "key", "cell")
         .sortWithinPartitions("key", "cell")
-        .mapInArrow(_links(radius), "a long, b long")
+        .mapInArrow(_links(radius, more_radius), "a long, b long")
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id, linked), one row per row of docs: component_id is the smallest doc_id reachable by links."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, more_radius: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, linked), one row per row of docs: component_id is the smallest doc_id reachable by links.
+
+    more_radius: links must also hold for a second fingerprint by other hashes, within so many bits.
+    At a wide radius chance brings unrelated fingerprints together; chance in both does not.
+    """
     spark = docs.sparkSession
-    digest = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    digest = materialize(fingerprints(docs, id_col, text_col, words, more_radius is not None), "fingerprints")
     total = digest.count()
-    groups = materialize(digest.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
-    edges = links(groups.select("fp"), radius, groups.count())
-    labels = connected_components(edges).withColumnsRenamed({"node": "fp", "component": "label"})
+    node = F.col("fp") if more_radius is None else F.xxhash64("fp", "more")
+    digest = digest.withColumn("node", node)
+    groups = materialize(digest.groupBy("fp", "more", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
+    edges = links(groups, radius, groups.count(), 64 if more_radius is None else more_radius)
+    labels = connected_components(edges).withColumnRenamed("component", "label")
     # Groups within links: the smallest id of the whole component.
-    linked = groups.join(labels, "fp")
+    linked = groups.select("node", "first", "n").join(labels, "node")
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = linked.join(least, "label").select("fp", "n", "component_id", F.lit(True).alias("linked"))
-    copies = groups.join(labels, "fp", "left_anti").where("n > 1").select("fp", "n", F.col("first").alias("component_id"), F.lit(False).alias("linked"))
+    linked = linked.join(least, "label").select("node", "n", "component_id", F.lit(True).alias("linked"))
+    copies = groups.join(labels, "node", "left_anti").where("n > 1").select("node", "n", F.col("first").alias("component_id"), F.lit(False).alias("linked"))
     members = materialize(linked.unionByName(copies), "members")
-    out = join_groups(digest, members, ["fp"], "n", total)
+    out = join_groups(digest, members, ["node"], "n", total)
     return out.select(
         "doc_id", "fp", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("linked", F.lit(False)).alias("linked"),
