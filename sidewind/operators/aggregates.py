@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.safe import div, positive
 from ..functions.scalar import confidence, decimal_odds, implied, kelly
+from .joins import small
 
 
 def record(side_rows: DataFrame) -> DataFrame:
@@ -103,9 +104,9 @@ def group_mean(c: Column, by: str) -> Column:
 
 
 def shrink(df: DataFrame, value: str, n: str, by: str, strength: float = 5.0) -> DataFrame:
-    """Adds <value>_shrunk: (n * value + strength * mean of the group) / (n + strength). The means are aggregated first and joined, since groups are few and large."""
+    """Adds <value>_shrunk: (n * value + strength * mean of the group) / (n + strength). The means are aggregated with map-side combination, so a large group costs one row per task."""
     means = df.groupBy(by).agg(F.avg(value).alias("_mean"))
-    return df.join(F.broadcast(means) if by == "class" else means, by, "left").withColumn(f"{value}_shrunk", (F.col(n) * F.col(value) + strength * F.col("_mean")) / (F.col(n) + strength)).drop("_mean")
+    return df.join(small(means), by, "left").withColumn(f"{value}_shrunk", (F.col(n) * F.col(value) + strength * F.col("_mean")) / (F.col(n) + strength)).drop("_mean")
 
 
 def group_std(df: DataFrame, value: str, by: str) -> DataFrame:

@@ -18,7 +18,7 @@ BROADCAST_BYTES = 64 << 20
 
 def small(df: DataFrame) -> DataFrame:
     """Marks df for broadcast if the optimizer's size estimate is within BROADCAST_BYTES."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 

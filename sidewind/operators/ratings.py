@@ -79,7 +79,7 @@ def elo_by_class(bouts: DataFrame) -> DataFrame:
 def current_elo(bouts: DataFrame, rated: DataFrame) -> DataFrame:
     """(participant_id, elo, bouts) after the last bout of each."""
     b = bouts.select("bout_id", "ts", "r_id", "b_id").join(rated, "bout_id")
-    long = b.select("ts", "bout_id", F.inline(F.array(F.struct(F.col("r_id").alias("participant_id"), F.col("after_r").alias("elo")), F.struct(F.col("b_id"), F.col("after_b")))))
+    long = b.select("ts", "bout_id", F.inline(F.array(F.struct(F.col("r_id").alias("participant_id"), F.col("after_r").alias("elo")), F.struct(F.col("b_id").alias("participant_id"), F.col("after_b").alias("elo")))))
     return long.groupBy("participant_id").agg(F.max_by("elo", F.struct("ts", "bout_id")).alias("elo"), F.count("*").alias("bouts"))
 
 
