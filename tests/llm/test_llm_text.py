@@ -1,0 +1,259 @@
+"""Tokens, language model, licenses, secrets, toxicity and the pipeline against direct implementations."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sidewind.llm import bpe, ctw, licenses, queries, secrets, token_store, toxicity
+
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+PARTS = [*"aA zé \n\t  '!?12sdtll've  ßø½²İΣςÅK", "the", "ing", "<|endoftext|>", "日本", "é", "\u0301", "'s", "  ", "\x1c", "\x85", "ſ", "ﬁ"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def strings(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(PARTS, k=rng.randint(0, 25))) for _ in range(n)]
+
+
+def test_backtracking_bpe_equals_library(docs):
+    e = bpe.Encoder(WORD)
+    words = random.Random(1)
+    many = strings(4000, 1) + ["".join(words.choices("abcdeinorst", k=words.randint(1, 22))) for _ in range(4000)] + [r.text for r in docs.limit(30).collect()]
+    for s in many:
+        ids = np.frombuffer(e.encode(s), np.uint32)
+        want = e.tokenizer.encode(s, add_special_tokens=False).ids
+        assert ids.tolist() == want
+        assert e.decode(ids).decode() == e.tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_cached_pieces_equal_library(docs):
+    e = token_store.CachedEncoder(BYTE)
+    for s in strings(4000, 2) + [r.text for r in docs.limit(30).collect()]:
+        assert np.frombuffer(e.encode(s), np.uint32).tolist() == e.tokenizer.encode(s, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("planes", ["byte", "bit"])
+def test_planes_round_trip(planes):
+    rng = np.random.default_rng(0)
+    for ids in (np.zeros(0, np.uint32), np.zeros(5, np.uint32), rng.integers(0, 50257, 1000).astype(np.uint32), np.array([2**32 - 1, 1], np.uint32)):
+        assert token_store.unpack_block(len(ids), token_store.pack_block(ids, planes), planes).tolist() == ids.tolist()
+
+
+def test_token_files(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_store, "CHUNK", 3000)
+    folder = token_store.write_tokens(docs, BYTE, 2, parts=3, planes="bit")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.digests(token_store.read_tokens(spark, folder)).collect()}
+    t, start = token_store.CachedEncoder.of(BYTE).tokenizer, 0
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*t.encode(r.text, add_special_tokens=False).ids, 2]
+        assert got[r.doc_id] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def direct_ctw(train, texts, depth):
+    """The mixture's conditional probabilities from the definition, node by node."""
+    count = defaultdict(lambda: [0, 0])
+
+    def paths(t):
+        p = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(p)):
+            for j in range(8):
+                yield [(p[i - d : i], p[i] >> (8 - j), j) for d in range(depth + 1)], (p[i] >> (7 - j)) & 1
+
+    for t in train:
+        for path, bit in paths(t):
+            for n in path:
+                count[n][bit] += 1
+    children = defaultdict(list)
+    for ctx, pre, j in list(count):
+        if ctx:
+            children[ctx[1:], pre, j].append((ctx, pre, j))
+
+    def pe(n):
+        a, b = count[n]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    memo = {}
+
+    def pw(n):
+        if n not in memo:
+            memo[n] = pe(n) if len(n[0]) == depth else np.logaddexp(pe(n), sum(pw(k) for k in children[n])) - math.log(2)
+        return memo[n]
+
+    known, out = set(count), []
+    for t in texts:
+        s = 0.0
+        for path, bit in paths(t):
+            p = 0.5
+            for n in reversed(path):
+                if n in known:
+                    a, b = count[n]
+                    own = (b + 0.5) / (a + b + 1)
+                    share = 1.0 if len(n[0]) == depth else 1 / (1 + math.exp(sum(pw(k) for k in children[n]) - pe(n)))
+                    p = share * own + (1 - share) * p
+            s += math.log10(p if bit else 1 - p)
+        out.append(s)
+    return out
+
+
+def test_context_tree_weighting(spark, docs, monkeypatch):
+    small = docs.orderBy("doc_id").limit(12).select("doc_id", F.substring("text", 1, 300).alias("text"))
+    got = {r.doc_id: r for r in ctw.lm_score(small, depth=3).collect()}
+    text = {r.doc_id: r.text.encode().translate(ctw.LOWER) for r in small.collect()}
+    ids = sorted(text)
+    train = [text[i] for i in ids if not got[i].held_out]
+    for i, want in zip(ids, direct_ctw(train, [text[i] for i in ids], 3), strict=True):
+        assert abs(want - got[i].score) < 0.01
+    count = Counter(w for t in train for w in t.split())
+    n, v = sum(count.values()) + len(train), len(count) + 1
+    for i in ids:
+        words = text[i].split()
+        want = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words) + math.log10((len(train) + 0.5) / (n + 0.5 * (v + 1)))
+        assert abs(want - got[i].base_score) < 1e-6 and got[i].n_tokens == len(words) + 1 and got[i].train_tokens == n
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+    monkeypatch.setattr(ctw, "PASS_BYTES", 1)
+    monkeypatch.setattr(ctw, "BLOB_ROWS", 5000)
+    again = {r.doc_id: r for r in ctw.lm_score(small, depth=3).collect()}
+    assert all(abs(again[i].score - got[i].score) + abs(again[i].base_score - got[i].base_score) < 1e-6 for i in ids)
+
+
+def test_bits_are_probabilities():
+    """The code lengths of all bytes after one context add up to probability 1."""
+    keys, n = np.unique(ctw.grams([b"abracadabra", b"abba"], 2)[0], return_counts=True)
+    nodes, level = ctw.build(keys, n.astype(np.int64), 2, 1)
+    top = ctw.build_top(level, 1)
+    for ctx in (b"ab", b"zz", b"\xff\xff"):
+        every = np.array([int.from_bytes(ctx + bytes([x]), "big") for x in range(256)], np.uint64)
+        assert abs(np.exp2(ctw.log2_probability(every, nodes, top, 2)).sum() - 1) < 1e-9
+
+
+def test_license_rules_are_gated():
+    table = licenses.rules()
+    assert len(table) > 200
+    for label, key, expr, _, _ in table:
+        re.compile(expr)
+        assert any(g.strip() in f" {key} {expr} " for g in licenses.GATE), (label, expr)
+
+
+def test_license_scan_equals_brute_force(spark, docs):
+    extra = spark.createDataFrame([(-1, "Released under the MIT License. under the mit license. CC BY-NC 4.0 cc by nc cc by nc and SPDX-License-Identifier: GPL-3.0-only"), (-2, "licensed under the terms of the GNU Lesser General Public License version 2.1")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(extra)
+    rules = [(a, k, re.compile(f" (?:{e})(?= )"), p, v) for a, k, e, p, v in licenses.rules()]
+    word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = {r.doc_id: r.text for r in both.collect()}
+    labelled = 0
+    for r in licenses.license_scan(both).collect():
+        w = word.findall(text[r.doc_id].translate(low))
+        places, base = [], set()
+        for phrase, label in licenses.BASE:
+            p = phrase.split(" ")
+            for i in range(len(w)):
+                if w[i : i + len(p)] == p:
+                    places.append(i)
+                    base.add(label)
+        norm = " " + "".join(x + " " for x in w)
+        found = []
+        if any(g in norm for g in licenses.GATE + [p for p, _ in licenses.BASE]):
+            found = [(m.start(), m.end(), a, p, v) for a, k, e, p, v in rules if k in norm for m in e.finditer(norm)]
+        found = [z for z in found if not any(y[0] <= z[0] and y[1] >= z[1] and (y[3] < z[3] or y[3] == z[3] and y[1] - y[0] > z[1] - z[0]) for y in found)]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)))
+        assert r.labels == ",".join(sorted(base | {z[2] for z in found})) and 0 <= r.score <= 1
+        assert sorted(map(tuple, r.detections or [])) == sorted(found)
+        labelled += bool(r.labels)
+    assert labelled >= 3
+
+
+def test_secret_scan_equals_brute_force(spark, docs, sf):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    text = {r.doc_id: r for r in docs.collect()}
+    owners = defaultdict(set)
+    for r in text.values():
+        for *_, v in secrets.scan(r.text):
+            owners[v].add(r.source)
+    for r in queries.op5_secret_scan(spark, sf).collect():
+        t = text[r.doc_id].text
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert r.n_live == sum(len(owners[v]) < 2 for *_, v in secrets.scan(t))
+
+
+def test_shared_secrets_are_examples(spark):
+    df = spark.createDataFrame([(1, "token = abcdef1", "s", "a"), (2, "token = abcdef1", "t", "b"), (3, "password: only1here", "s", "a"), (4, "password: only1here", "s", "c")], "doc_id long, text string, owner string, repo string")
+    got = {r.doc_id: (r.candidates[0].owners, r.candidates[0].repos, r.candidates[0].live) for r in secrets.secret_scan(df, F.col("repo"), F.col("owner")).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, False), 3: (1, 2, True), 4: (1, 2, True)}
+
+
+def test_toxicity_on_held_out(spark):
+    rng = random.Random(4)
+    clean, bad = [f"w{''.join(rng.choices('abcdefgh', k=5))}" for _ in range(800)], ["vilest", "foulness", "nastily"]
+    rows = []
+    for i in range(700):
+        toxic = i % 4 == 0
+        w = rng.choices(clean, k=60)
+        for _ in range(rng.randint(2, 6) if toxic else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(df.where("doc_id < 400"), df.where("doc_id < 400").select("doc_id", "toxic"))
+    assert m.thresholds == sorted(m.thresholds)
+    got = {r.doc_id: (r.severity, r.tails) for r in toxicity.score(df, m).collect()}
+    for i, _, toxic in rows[400:]:
+        assert (got[i][1][0] >= 0.5) == bool(toxic)
+        assert got[i][1] == sorted(got[i][1], reverse=True) and abs(sum(got[i][1]) - got[i][0]) < 1e-9
+    assert toxicity.keep_below(df, m).count() == 700 - 175
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
+    out = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    from sidewind.llm import decontam, simhash_dedup
+
+    left = {r.doc_id: r.text for r in docs.collect()}
+    left = {i: t for i, t in left.items() if model.severity(t)[1][0] < 0.5}
+    seen: dict = {}
+    for i in sorted(left):
+        seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", left[i]), i)
+    left = {i: left[i] for i in seen.values()}
+    prints = {i: (simhash_dedup.of_hashes(h), simhash_dedup.of_hashes(simhash_dedup.stir(h))) for i, t in left.items() for h in [simhash_dedup.shingle_hashes(t.encode(), 5)]}
+    up = {i: i for i in left}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(left)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if (prints[i][0] ^ prints[j][0]).bit_count() <= corpus_pipeline.RADIUS and (prints[i][1] ^ prints[j][1]).bit_count() <= corpus_pipeline.MORE_RADIUS:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    left = {i: left[i] for i in ids if root(i) == i}
+    index = decontam.Index([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
+    left = {i: t for i, t in left.items() if not index.matches(t)}
+    t = bpe.Encoder.of(WORD).tokenizer
+    assert out == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in left.items()}
+
+
+def test_stages_keep_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(30)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf).columns == docs.columns
+    again = docs.unionByName(docs.limit(5))
+    assert corpus_pipeline.keep_unique(spark, again, sf).count() == corpus_pipeline.keep_unique(spark, docs, sf).count()
