@@ -59,11 +59,20 @@ def confusion(scored: DataFrame, p: str = "p_red", y: str = "y") -> DataFrame:
     return scored.groupBy(F.col(y).alias("actual"), (F.col(p) >= 0.5).cast("int").alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def auc(scored: DataFrame, p: str = "p_red", y: str = "y") -> DataFrame:
-    """Area under the ROC curve by rank sums; scores are folded to distinct values first."""
-    g = scored.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y)).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return g.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("u")).agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
+def auc(scored: DataFrame, p: str = "p_red", y: str = "y", bins: int = 4096) -> DataFrame:
+    """Area under the ROC curve by rank sums.
+
+    Scores are folded to distinct values; how many negatives lie below a value is the sum over lower
+    bins, a table of at most ``bins`` rows, and a running sum within its own bin, so no window holds all.
+    """
+    g = scored.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y)).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
+    g = g.withColumn("_bin", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * bins))
+    before = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    by_bin = g.groupBy("_bin").agg(F.sum("neg").alias("neg"))
+    offsets = by_bin.select("_bin", before(Window.orderBy("_bin")).alias("_lower"))
+    inside = g.withColumn("_in", before(Window.partitionBy("_bin").orderBy("p")))
+    u = inside.join(F.broadcast(offsets), "_bin").select("pos", "neg", (F.col("pos") * (F.col("_lower") + F.col("_in") + F.col("neg") / 2)).alias("u"))
+    return u.agg(F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def bets(scored: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -145,6 +154,23 @@ def violations(bouts: DataFrame, side_rows: DataFrame) -> DataFrame:
     return out
 
 
+def coverage(rows: DataFrame, column: str) -> DataFrame:
+    """How many rows have a value, and their share."""
+    return rows.agg(F.count("*").alias("n"), F.count(column).alias("n_matched"), div(F.count(column), F.count("*")).alias("share"))
+
+
+def leak_share(features: DataFrame, column: str, history: str = "bouts_before") -> DataFrame:
+    """Share of first rows whose history column is not 0: a leak if above 0."""
+    first = F.col(history) == 0
+    return features.agg(F.count_if(first).alias("n_first"), div(F.count_if(first & (F.col(column) != 0)), F.count_if(first)).alias("share"))
+
+
+def distribution(rows: DataFrame, by: str) -> DataFrame:
+    """Rows by value and their share of all; the values' counts are summed, not the rows again."""
+    g = rows.groupBy(by).agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_all")))).select(by, "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
 def symmetry(matrix: DataFrame) -> DataFrame:
     """(column, mean, std, ok) of each difference column: the mean should be within one deviation of 0. One aggregation for all."""
     diffs = [c for c in matrix.columns if c.endswith("_diff")]

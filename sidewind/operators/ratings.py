@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ELO_DIVISOR, ELO_K, ELO_K_NEW, ELO_NEW_BOUTS, ELO_START
 from ..session import ship
+from .windows import last_mean, last_rows
 
 #: Fixed values of Glicko-2: start rating, deviation and volatility, system constant, scale.
 G_R, G_RD, G_SIGMA, TAU, SCALE = 1500.0, 350.0, 0.06, 0.5, 173.7178
@@ -83,6 +84,22 @@ def current_elo(bouts: DataFrame, rated: DataFrame) -> DataFrame:
     return long.groupBy("participant_id").agg(F.max_by("elo", F.struct("ts", "bout_id")).alias("elo"), F.count("*").alias("bouts"))
 
 
+def strength_of_schedule(side_rows: DataFrame, rated: DataFrame, n: int = 5) -> DataFrame:
+    """(bout_id, participant_id, elo, sos): the rating before the bout, and the mean of the last n opponents' ratings before theirs; the start rating where there are none."""
+    r = rated.select("bout_id", "elo_r", "elo_b")
+    red = F.col("side") == "r"
+    rows = side_rows.select("bout_id", "side", "participant_id", "ts").join(r, "bout_id")
+    rows = rows.withColumns({"elo": F.when(red, F.col("elo_r")).otherwise(F.col("elo_b")), "opp_elo": F.when(red, F.col("elo_b")).otherwise(F.col("elo_r"))})
+    return rows.select("bout_id", "side", "participant_id", "elo", last_mean(F.col("opp_elo"), n, ELO_START).alias("sos"))
+
+
+def current_schedule(side_rows: DataFrame, current: DataFrame, n: int = 5) -> DataFrame:
+    """(participant_id, sos): mean of the current ratings of the last n opponents."""
+    faced = last_rows(side_rows.select("participant_id", "opponent_id", "ts", "bout_id"), n)
+    now = current.select(F.col("participant_id").alias("opponent_id"), "elo")
+    return faced.join(now, "opponent_id", "left").groupBy("participant_id").agg(F.coalesce(F.avg("elo"), F.lit(ELO_START)).alias("sos"))
+
+
 def history(bouts: DataFrame, rated: DataFrame, participant: int) -> DataFrame:
     """A participant's ratings before and after each bout, to one decimal."""
     me = bouts.where((F.col("r_id") == participant) | (F.col("b_id") == participant)).join(rated, "bout_id")

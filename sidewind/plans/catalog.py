@@ -726,6 +726,50 @@ def _(spark, d):
     return serve.compare(p, pairs.select("red", "blue"), data.bouts(spark, d)).select("red", "blue", "wins_diff", "met")
 
 
+@query("q_rated_matrix")
+def _(spark, d):
+    b, s = data.bouts(spark, d), side_rows(spark, d)
+    return features.with_ratings(features.matrix(b, s), b, s)
+
+
+@query("q_sos_elo")
+def _(spark, d):
+    return ratings.strength_of_schedule(side_rows(spark, d), ratings.elo_global(_rated(data.bouts(spark, d))))
+
+
+@query("q_sos_current")
+def _(spark, d):
+    b = data.bouts(spark, d)
+    return ratings.current_schedule(side_rows(spark, d), ratings.current_elo(b, ratings.elo_global(_rated(b))))
+
+
+@query("q_snapshot_row", BOUTS_SQL + "x AS (SELECT 1) SELECT bout_id, r_landed AS R_landed, r_kd AS R_kd, b_landed AS B_landed, b_kd AS B_kd, b_landed - r_landed AS landed_dif, b_kd - r_kd AS kd_dif FROM bouts")
+def _(spark, d):
+    return features.snapshot_row(longform.widen(side_rows(spark, d), ["bout_id"], ["landed", "kd"]), ["landed", "kd"], ["bout_id"])
+
+
+@query("q_coverage", BOUTS_SQL + "x AS (SELECT 1) SELECT count(*) AS n, count(red_win) AS n_matched, round(count(red_win) / count(*), 9) AS share FROM bouts")
+def _(spark, d):
+    return ag.coverage(data.bouts(spark, d), "red_win").withColumn("share", rd("share"))
+
+
+@query("q_leak_share", SIDES_SQL + f"x AS (SELECT row_number() {TL} - 1 AS h, coalesce(sum(landed) {PRIOR}, 0) AS v FROM sides) SELECT count(*) FILTER (h = 0) AS n_first, round(count(*) FILTER (h = 0 AND v <> 0) / count(*) FILTER (h = 0), 9) AS share FROM x")
+def _(spark, d):
+    rows = side_rows(spark, d).select(w.bouts_before().alias("bouts_before"), w.prior_sum(F.col("landed")).alias("v"))
+    return ag.leak_share(rows, "v").withColumn("share", rd("share"))
+
+
+@query("q_distribution", BOUTS_SQL + "x AS (SELECT 1) SELECT class, count(*) AS n, round(count(*) / (SELECT count(*) FROM bouts), 9) AS share FROM bouts GROUP BY class")
+def _(spark, d):
+    return ag.distribution(data.bouts(spark, d), "class").withColumn("share", rd("share"))
+
+
+@query("q_blend_pick", SCORED_SQL + "SELECT bout_id, round(p_red * 0.7 + 0.5 * 0.3, 12) AS blended, round(greatest(p_red, 1 - p_red), 9) AS confidence, CASE WHEN p_red >= 0.5 THEN r_id ELSE b_id END AS pick, CASE WHEN p_red * 100 > 1.5 THEN round(p_red, 9) ELSE round(p_red * 100, 9) END AS fraction FROM scored")
+def _(spark, d):
+    p = F.col("p_red")
+    return scored(spark, d).select("bout_id", rd(scalar.blend(p, F.lit(0.5), 0.3), 12).alias("blended"), rd(scalar.confidence(p)).alias("confidence"), F.when(p >= 0.5, F.col("r_id")).otherwise(F.col("b_id")).alias("pick"), rd(scalar.as_fraction(p * 100)).alias("fraction"))
+
+
 def _matrix_split(spark, d):
     m = evaluate.time_split(features.matrix(data.bouts(spark, d), side_rows(spark, d)), ["ts", "bout_id"], (0.7, 0.1, 0.2), ("train", "valid", "test")).persist()
     return [m.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test")]

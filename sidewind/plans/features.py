@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as sc
 from ..functions.safe import scrub
 from ..functions.text import is_finish
+from ..operators import ratings
 from ..operators import windows as w
 from ..operators.joins import latest_per_key
 from ..operators.longform import mirrored, widen
@@ -62,6 +63,21 @@ def matrix(bouts: DataFrame, side_rows: DataFrame, since: str | None = None, deb
     return out.select("bout_id", "ts", "date", "class", "target", "odds_red", "odds_blue", *[scrub(d).alias(f"{f}_diff") for d, f in zip(sc.differences(FEATURES), FEATURES, strict=True)])
 
 
+def with_ratings(m: DataFrame, bouts: DataFrame, side_rows: DataFrame) -> DataFrame:
+    """Adds elo, class_elo, glicko and sos differences. Each rating is one fold, read once, and joined by bout."""
+    rated = ratings.elo_global(bouts)
+    by_class = ratings.elo_by_class(bouts).select("bout_id", (F.col("elo_r") - F.col("elo_b")).alias("class_elo_diff"))
+    glicko = ratings.glicko_by_class(bouts).select("bout_id", (F.col("r_rating") - F.col("b_rating")).alias("glicko_diff"), (F.col("r_rd") - F.col("b_rd")).alias("glicko_rd_diff"))
+    sos = widen(ratings.strength_of_schedule(side_rows, rated), ["bout_id"], ["elo", "sos"])
+    sos = sos.select("bout_id", (F.col("r_elo") - F.col("b_elo")).alias("elo_diff"), (F.col("r_sos") - F.col("b_sos")).alias("sos_diff"))
+    return m.join(sos, "bout_id", "left").join(by_class, "bout_id", "left").join(glicko, "bout_id", "left")
+
+
+def snapshot_row(wide: DataFrame, stats: list[str], keep: list[str]) -> DataFrame:
+    """The wide master row: R_ and B_ columns, and <stat>_dif as blue minus red (the opposite sign of _diff)."""
+    return wide.select(*keep, *[F.col(f"r_{s}").alias(f"R_{s}") for s in stats], *[F.col(f"b_{s}").alias(f"B_{s}") for s in stats], *[(F.col(f"b_{s}") - F.col(f"r_{s}")).alias(f"{s}_dif") for s in stats])
+
+
 def augmented(m: DataFrame) -> DataFrame:
     return mirrored(m)
 
