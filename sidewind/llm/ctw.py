@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, ship
 from .simhash_dedup import LOWER
 
-DEPTH = 6
+DEPTH = 5
 END = 0xFF
 #: Bytes of text that a worker counts or scores at once; grams that a map task folds.
-CHUNK_BYTES, FOLD = 6 << 20, 1_500_000
+CHUNK_BYTES, FOLD = 4 << 20, 800_000
 #: Nodes or words in a blob, bytes of blobs in a pass.
-BLOB_ROWS, PASS_BYTES = 4_000_000, 3 << 30
+BLOB_ROWS, PASS_BYTES = 1_500_000, 3 << 30
 #: White space: 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -286,6 +286,8 @@ class Blob:
         self.size = at
         head = pickle.dumps(index)
         self.shared = spark.sparkContext.broadcast(b"".join([self.mark, struct.pack("<q", len(head)), head, *parts]))
+        # The driver makes blobs one after the other; what one took goes back before the next.
+        pa.default_memory_pool().release_unused()
 
     def open(self) -> dict[str, np.ndarray]:
         path = getattr(self.shared, "_path", None)
@@ -318,6 +320,11 @@ class Opened:
         return cls._kept[blob.mark]
 
 
+def small_counts(n: np.ndarray) -> np.ndarray:
+    """Half the bytes wherever they do."""
+    return n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
+
+
 def ranges(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     """Cuts (value, rows), sorted by value, to ranges [low, high) of at most ``most`` rows, or one value."""
     out, low, held = [], None, 0
@@ -397,7 +404,7 @@ def train(texts: DataFrame, depth: int) -> tuple[list[tuple[int, int, Blob, Blob
         key = table["key"].to_numpy().view(U)
         order = np.argsort(key)
         span = 1 << (64 - bits)
-        word_blobs.append((k * span, (k + 1) * span, Blob(spark, {"key": key[order], "n": table["n"].to_numpy()[order]})))
+        word_blobs.append((k * span, (k + 1) * span, Blob(spark, {"key": key[order], "n": small_counts(table["n"].to_numpy()[order])})))
     return blobs, top, word_blobs, {"distinct": total.distinct, "n": total.n}
 
 
