@@ -8,9 +8,9 @@ the weighted one, Pw = (Pe + product of the children's Pw) / 2. Block probabilit
 alone, so the weights come bottom-up from counts of all (depth + 1)-grams of the training texts, and
 the frozen tree gives the code length of any byte.
 
-At scale: gram counts are folded in the map tasks, dealt out by the two bytes nearest to the
-predicted one, and each task builds the subtrees below its pairs; what reaches the driver of them is
-the nodes of two-byte contexts, at most 255 * 65536. The nodes, and the baseline's word counts, go to
+At scale: gram counts are folded in the map tasks, dealt out by the three bytes nearest to the
+predicted one, and each task builds the subtrees below its triples. Their sums go up to the nodes of
+two-byte contexts in one more aggregation; what reaches the driver is those, at most 255 * 65536. The nodes, and the baseline's word counts, go to
 the workers in blobs of bounded size, which they map into memory rather than copy. A pass takes at
 most PASS_BYTES of blobs; a larger model is applied in several passes over the texts, whose sums add
 up. Hashes stand for words in the baseline's counts.
@@ -39,13 +39,15 @@ from .simhash_dedup import LOWER
 DEPTH = 5
 END = 0xFF
 #: Bytes of text that a worker counts or scores at once; grams that a map task folds.
-CHUNK_BYTES, FOLD = 4 << 20, 800_000
+CHUNK_BYTES, FOLD = 2 << 20, 800_000
 #: Nodes or words in a blob, bytes of blobs in a pass.
-BLOB_ROWS, PASS_BYTES = 1_500_000, 3 << 30
+BLOB_ROWS, PASS_BYTES = 1_000_000, 3 << 30
 #: White space: 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U = np.uint64
+#: Bytes of context by which grams are dealt out; nodes of shorter contexts are built from their sums.
+SPLIT = 3
 #: An odd multiplier and its inverse modulo 2**64, for hashes of words.
 MULT = 0x9E3779B97F4A7C15
 INVERSE = pow(MULT, -1, 1 << 64)
@@ -204,7 +206,7 @@ def build(keys: np.ndarray, n: np.ndarray, depth: int, least: int) -> tuple[dict
 
 
 def build_top(level: dict, least: int) -> dict:
-    """Nodes of the depths below ``least``, from the nodes of depth ``least``."""
+    """Nodes of the depths below ``least``, from those of depth ``least``, or from their sums by node of depth ``least`` - 1."""
     nodes = {}
     for d in range(least - 1, -1, -1):
         up = {}
@@ -243,14 +245,14 @@ def log2_probability(keys: np.ndarray, nodes: dict, top: dict, depth: int) -> np
 
 
 def _fit(depth: int):
-    """A task's grams hold whole subtrees of two-byte contexts: its nodes (kind 0), the nodes of depth two with their counts and log Pw (kind 1), and the grams (kind 2)."""
+    """A task's grams hold whole subtrees of contexts of SPLIT bytes: its nodes (kind 0), by node one byte nearer the root its sums of counts and log Pw (kind 1), and the grams (kind 2)."""
 
     def run(batches):
         got = [(b.column("key").to_numpy().view(U), b.column("n").to_numpy()) for b in batches]
         if not got:
             return
         keys, n = fold(*(np.concatenate(c) for c in zip(*got, strict=True)))
-        nodes, top = build(keys, n, depth, 2)
+        nodes, level = build(keys, n, depth, SPLIT)
         names = ("kind", "slot", "ctx", "key", "one", "share", "zeros", "ones", "log_pw")
 
         def rows(kind, slot, key, j, one=None, share=None, zeros=None, ones=None, log_pw=None):
@@ -265,8 +267,9 @@ def _fit(depth: int):
                 yield rows(0, 8 * d + j, u[i : i + 100_000], j, logit[i : i + 100_000], share[i : i + 100_000])
         for i in range(0, len(keys), 100_000):
             yield rows(2, -1, keys[i : i + 100_000], 8)
-        for j, (u, zeros, ones, log_pw) in top.items():
-            yield rows(1, j, u, j, zeros=zeros, ones=ones, log_pw=log_pw)
+        for j, (u, zeros, ones, log_pw) in level.items():
+            up, at = np.unique(u & U((1 << (8 * (SPLIT - 1) + j)) - 1), return_inverse=True)
+            yield rows(1, j, up, j, **{k: np.bincount(at, x, len(up)) for k, x in (("zeros", zeros), ("ones", ones), ("log_pw", log_pw))})
 
     return run
 
@@ -340,7 +343,7 @@ def ranges(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 
 def tree_of(blob: Blob, depth: int) -> dict:
     arrays, none = Opened.of(blob), (np.zeros(0, U),) * 3
-    return {(s // 8, s % 8): (arrays[f"key{s}"], arrays[f"one{s}"], arrays[f"share{s}"]) if f"key{s}" in arrays else none for s in range(16, 8 * depth + 8)}
+    return {(s // 8, s % 8): (arrays[f"key{s}"], arrays[f"one{s}"], arrays[f"share{s}"]) if f"key{s}" in arrays else none for s in range(8 * SPLIT, 8 * depth + 8)}
 
 
 def _code(depth: int, low: int, high: int, blob: Blob, top: dict):
@@ -359,18 +362,20 @@ def train(texts: DataFrame, depth: int) -> tuple[list[tuple[int, int, Blob, Blob
     """Of texts(text): node blobs by context range, top nodes, word blobs by hash range, word totals."""
     spark = texts.sparkSession
     counted = materialize(texts.select("text").mapInArrow(_count(depth), "kind byte, key long, n long"), "counted")
+    if depth < SPLIT:
+        raise ValueError(f"depth below {SPLIT}")
     schema = "kind byte, slot short, ctx int, key long, one float, share float, zeros long, ones long, log_pw double"
-    ctx = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
+    ctx = F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * SPLIT)) - 1)
     fitted = counted.where("kind = 0").select("key", "n").repartition(partitions(spark), ctx).mapInArrow(_fit(depth), schema)
     fitted = materialize(fitted, "nodes")
     level = {}
-    table = fitted.where("kind = 1").select("slot", "key", "zeros", "ones", "log_pw").toArrow()
+    table = fitted.where("kind = 1").groupBy("slot", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]).toArrow()
     slot, key = table["slot"].to_numpy(), table["key"].to_numpy().view(U)
     for j in range(8):
         at = np.flatnonzero(slot == j)
         at = at[np.argsort(key[at])]
         level[j] = (key[at], *(table[c].to_numpy()[at] for c in ("zeros", "ones", "log_pw")))
-    top = build_top(level, 2)
+    top = build_top(level, SPLIT)
     nodes = fitted.where("kind = 0")
     sizes = [(r.ctx, r["count"]) for r in nodes.groupBy("ctx").count().orderBy("ctx").collect()]
     blobs = []
@@ -441,7 +446,7 @@ def _score(depth: int, blobs, top: dict, word_blobs, base: dict):
                     at &= ~((context >= U(low)) & (context < U(high)))
                 at = np.flatnonzero(at)
                 if len(at):
-                    none = {(d, j): (np.zeros(0, U),) * 3 for d in range(2, depth + 1) for j in range(8)}
+                    none = {(d, j): (np.zeros(0, U),) * 3 for d in range(SPLIT, depth + 1) for j in range(8)}
                     bits[at] = log2_probability(unique[at], none, top, depth)
             score = np.add.reduceat(bits[inverse], starts) * np.log10(2)
             del inverse, unique, bits
