@@ -5,9 +5,9 @@ which is written as Parquet and read again as the next stage's docs. All but the
 columns of documents.
 
 The near-dedup stage takes five words and a wider radius than the operator's default query: copies
-with a shingle similarity of 0.8 or more differ by about 10 of 64 bits and seldom by more than 16.
-RADIUS bits of the first fingerprint find most of them, and MORE_RADIUS bits of a second one keep
-texts apart that only chance brings together.
+with a shingle similarity of 0.8 or more differ by about 10 of 64 bits. All within SURE bits link; up
+to RADIUS bits those do that still have one of four segments within a bit, as most have. MORE_RADIUS
+bits of a second fingerprint keep texts apart that only chance brings together.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from sidewind.llm.exact_dedup import exact_dedup, normalise
 from sidewind.llm.simhash_dedup import near_dedup
 from sidewind.llm.toxicity import fit, keep_below
 
-RADIUS, MORE_RADIUS = 9, 18
+SURE, RADIUS, MORE_RADIUS = 7, 10, 14
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group that near-copies link."""
-    groups = near_dedup(docs, words=5, radius=RADIUS, more_radius=MORE_RADIUS)
+    groups = near_dedup(docs, words=5, radius=RADIUS, more_radius=MORE_RADIUS, sure=SURE)
     others = groups.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__id"))
     return docs.join(others, docs.doc_id.eqNullSafe(others["__id"]), "left_anti")
 

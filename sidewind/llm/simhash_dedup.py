@@ -154,8 +154,8 @@ class _Forest:
         return True
 
 
-def _links(radius: int, more_radius: int):
-    cut = segments(radius)
+def _links(radius: int, more_radius: int, sure: int):
+    cut = segments(sure)
 
     def canonical(x: np.ndarray) -> np.ndarray:
         """For differences x: the position of the one variant in which the pair is looked at."""
@@ -241,10 +241,15 @@ def _links(radius: int, more_radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int, n: int, more_radius: int = 64) -> DataFrame:
-    """(a, b): links between nodes fps(fp, more, node) that connect all that are within both radii."""
+def links(fps: DataFrame, radius: int, n: int, more_radius: int = 64, sure: int | None = None) -> DataFrame:
+    """(a, b): links between nodes fps(fp, more, node) that connect all that are within both radii.
+
+    sure: the radius that the segments are cut for, ``radius`` itself if not given. With a smaller one
+    buckets are smaller, and beyond it only pairs link that still have a segment within one bit.
+    """
     spark = fps.sparkSession
-    cut = segments(radius)
+    sure = radius if sure is None else sure
+    cut = segments(sure)
     most = max(20_000, n // 10_000)
     hot: dict[tuple[int, int], int] = {}
     if n > most:
@@ -271,15 +276,16 @@ def links(fps: DataFrame, radius: int, n: int, more_radius: int = 64) -> DataFra
     return (
         rows.repartition(partitions(spark), "key", "cell")
         .sortWithinPartitions("key", "cell")
-        .mapInArrow(_links(radius, more_radius), "a long, b long")
+        .mapInArrow(_links(radius, more_radius, sure), "a long, b long")
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, more_radius: int | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, more_radius: int | None = None, sure: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id, linked), one row per row of docs: component_id is the smallest doc_id reachable by links.
 
     more_radius: links must also hold for a second fingerprint by other hashes, within so many bits.
     At a wide radius chance brings unrelated fingerprints together; chance in both does not.
+    sure: links up to this radius are all found; see links().
     """
     spark = docs.sparkSession
     digest = materialize(fingerprints(docs, id_col, text_col, words, more_radius is not None), "fingerprints")
@@ -287,7 +293,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     node = F.col("fp") if more_radius is None else F.xxhash64("fp", "more")
     digest = digest.withColumn("node", node)
     groups = materialize(digest.groupBy("fp", "more", "node").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "groups")
-    edges = links(groups, radius, groups.count(), 64 if more_radius is None else more_radius)
+    edges = links(groups, radius, groups.count(), 64 if more_radius is None else more_radius, sure)
     labels = connected_components(edges).withColumnRenamed("component", "label")
     # Groups within links: the smallest id of the whole component.
     linked = groups.select("node", "first", "n").join(labels, "node")

@@ -241,7 +241,10 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
     ids = sorted(left)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if (prints[i][0] ^ prints[j][0]).bit_count() <= corpus_pipeline.RADIUS and (prints[i][1] ^ prints[j][1]).bit_count() <= corpus_pipeline.MORE_RADIUS:
+            x = prints[i][0] ^ prints[j][0]
+            near = any((x >> lo & (1 << w) - 1).bit_count() <= 1 for lo, w in simhash_dedup.segments(corpus_pipeline.SURE))
+            assert near or x.bit_count() > corpus_pipeline.SURE
+            if near and x.bit_count() <= corpus_pipeline.RADIUS and (prints[i][1] ^ prints[j][1]).bit_count() <= corpus_pipeline.MORE_RADIUS:
                 a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
     left = {i: left[i] for i in ids if root(i) == i}
