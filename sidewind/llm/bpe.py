@@ -137,7 +137,7 @@ class Encoder:
                 limit, x = rx, self.parts[x][1]
             else:
                 limit, y = ry + 1, self.parts[y][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         self.fits[a, b] = ok
         return ok

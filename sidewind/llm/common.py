@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: White space and words as all operators here take them.
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts of characters on whose classes, case and composition all Unicode versions and libraries agree.
@@ -21,13 +20,28 @@ PLAIN = re.compile(r"[\x00-\x1B\x20-\x7E\u00A1-\u024F\u2010-\u2027\u20AC]*").ful
 HOT_SHARE = 512
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or where that is unset (local tests) a local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "sidewind-shared").as_uri()
+    return root.rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (local tests), below a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = Path(tempfile.gettempdir(), "sidewind-shared").as_uri()
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/sidewind-{uuid.uuid4().hex}"
+    """A new folder below shared_root()."""
+    return f"{shared_root(spark)}/sidewind-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Removes the folders that these operators left below shared_root(); returns how many.
+
+    For the end of an application: results that are still lazy read from these folders.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    mine = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("sidewind-")]
+    return sum(bool(fs.delete(p, True)) for p in mine)
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
@@ -46,18 +60,7 @@ def ship(spark: SparkSession) -> None:
     """Makes this package importable in the executors' Python, once per application, and keeps
     Arrow batches small, since a row can hold a very long text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sc = spark.sparkContext
-    if getattr(sc, "_sidewind_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="sidewind-"), "sidewind_code.zip")
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, os.path.join(package.name, p.relative_to(package)))
-    target.write_bytes(buffer.getvalue())
-    sc.addPyFile(str(target))
-    sc._sidewind_shipped = True
+    session.ship(spark)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -161,3 +161,9 @@ def test_blocks_miss_nothing_within_radius():
     fps = np.array([fp ^ int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(0, 40) for _ in range(20)], np.uint64)
     want = np.flatnonzero(np.bitwise_count(fps ^ np.uint64(fp)) <= index.radius)
     assert index.candidates(fps, fp).tolist() == want.tolist()
+
+
+def test_shared_folders_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_root", lambda spark: tmp_path.as_uri())
+    assert common.materialize(spark.range(3).toDF("i")).count() == 3
+    assert common.clear_shared(spark) == 1 and common.clear_shared(spark) == 0
