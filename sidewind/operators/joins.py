@@ -33,11 +33,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     l_cols = left.columns
     l = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*l_cols).alias("_row"))
     none = F.lit(None).cast(T.StructType([*[f for f in right.select(*columns).schema], T.StructField("_right_at", right.schema[right_at].dataType)]))
-    l = l.withColumn("_tie", F.lit(None).cast("string")).withColumn("_pay", none)
+    order = F.struct(*tie) if tie else F.struct(F.lit(0).alias("_"))
+    l = l.withColumn("_tie", F.lit(None).cast(right.select(order.alias("x")).schema["x"].dataType)).withColumn("_pay", none)
     r = right.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_at).alias("_t"), F.lit(0).alias("_side"),
         F.lit(None).cast(left.select(F.struct(*l_cols).alias("x")).schema["x"].dataType).alias("_row"),
-        (F.to_json(F.struct(*tie)) if tie else F.lit(None).cast("string")).alias("_tie"), payload.alias("_pay"),
+        order.alias("_tie"), payload.alias("_pay"),
     )
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     out = l.unionByName(r).withColumn("_found", F.last("_pay", ignorenulls=True).over(w)).where("_side = 1")

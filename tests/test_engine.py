@@ -77,6 +77,8 @@ def test_asof(spark):
     r = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("a", 8, 80)], "k string, at int, v int")
     got = {x.id: x.v for x in joins.asof(l, r, ["k"], "t", "at", ["v"]).collect()}
     assert got == {1: 50, 2: None, 3: None, 4: 50}
+    twice = spark.createDataFrame([("a", 2, 9), ("a", 2, 10)], "k string, at int, v int")
+    assert {x.id: x.v for x in joins.asof(l, twice, ["k"], "t", "at", ["v"], ["v"]).collect()} == {1: 10, 2: None, 3: None, 4: 10}
 
 
 def test_upserts(spark):
