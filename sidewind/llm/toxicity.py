@@ -38,7 +38,7 @@ WORD = re.compile("[a-z\x80-\U0010FFFF]+")
 #: Lengths of the word beginnings that are features beside the words.
 STEMS = (3, 4, 5, 6, 7)
 #: Words whose features a worker remembers before it starts anew.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Rows in the fitting sample, words in the vocabulary, grades above 0.
 MAX_ROWS, MAX_WORDS, GRADES = 10_000, 1_000, 3
 #: Least likelihood-ratio statistic of a word in the vocabulary; least share of toxic rows among a
@@ -73,7 +73,7 @@ class Model:
     thresholds: list[float]
 
     def __post_init__(self):
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, tuple] = {}
 
     def severity(self, text: str | None) -> tuple[float, list[float]]:
         """Expected severity, and P(severity >= k) for k = 1, 2, ..."""
@@ -84,7 +84,7 @@ class Model:
         for w in words_of(text):
             features = known.get(w)
             if features is None:
-                features = known[w] = [f for f in features_of(w) if f in weights]
+                features = known[w] = tuple(f for f in features_of(w) if f in weights)
             if features:
                 found.update(features)
         x = sum(weights[f] * np.log1p(n) for f, n in sorted(found.items()))
@@ -120,14 +120,19 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndar
 
 def _counts(batches):
     """Feature counts, and as a sketch the SKETCH smallest hashes of the five-word shingles."""
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        out = [[{"word": f, "n": n} for f, n in counts_of(t).items()] for t in texts]
-        sketch = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass"), 5).view(np.int64))[:SKETCH].tolist() for t in texts]
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(out, kind), pa.array(sketch, pa.list_(pa.int64()))], ("doc_id", "toxic", "words", "sketch")
-        )
+    entry = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+    for whole in batches:
+        # Features take far more room than texts: few rows at a time.
+        for at in range(0, whole.num_rows, 32):
+            batch = whole.slice(at, 32)
+            texts = batch.column("text").to_pylist()
+            counts = [counts_of(t) for t in texts]
+            ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+            flat = pa.StructArray.from_arrays([pa.array([f for c in counts for f in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())], fields=list(entry.value_type))
+            sketch = [np.unique(shingle_hashes(t.encode("utf-8", "surrogatepass"), 5).view(np.int64))[:SKETCH].tolist() for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(ends), flat, type=entry), pa.array(sketch, pa.list_(pa.int64()))], ("doc_id", "toxic", "words", "sketch")
+            )
 
 
 def unlike(sketches: list[tuple[int, list[int]]]) -> list[int]:
