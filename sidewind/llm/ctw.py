@@ -289,8 +289,10 @@ class Blob:
         self.size = at
         head = pickle.dumps(index)
         self.shared = spark.sparkContext.broadcast(b"".join([self.mark, struct.pack("<q", len(head)), head, *parts]))
-        # The driver makes blobs one after the other; what one took goes back before the next.
+        # The driver makes blobs one after the other; what one took goes back before the next. In the
+        # JVM that is direct buffers of collected rows, which only a collection frees.
         pa.default_memory_pool().release_unused()
+        spark._jvm.System.gc()
 
     def open(self) -> dict[str, np.ndarray]:
         path = getattr(self.shared, "_path", None)
