@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..session import ship
-
 OUT = "participant_id long, bout_id long, wins long, losses long, draws long, win_streak long, loss_streak long, longest long, landed long, attempted long, seconds long"
 STATE = "wins long, losses long, draws long, win_streak long, loss_streak long, longest long, landed long, attempted long, seconds long"
 FIELDS = [f.split(" ")[0] for f in STATE.split(", ")]
@@ -50,6 +50,10 @@ class Career(StatefulProcessor):
 
 
 def career(side_rows: DataFrame) -> DataFrame:
-    """side_rows: a stream of side rows; batches must come in time order per participant."""
-    ship(side_rows.sparkSession)
+    """side_rows: a stream of side rows; batches must come in time order per participant.
+
+    The processor goes by value: the driver's own Python worker, which sets up its state, does not
+    see the files that are shipped to executors.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return side_rows.groupBy("participant_id").transformWithStateInPandas(Career(), OUT, "Append", "None")
