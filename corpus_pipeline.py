@@ -5,9 +5,9 @@ which is written as Parquet and read again as the next stage's docs. All but the
 columns of documents.
 
 The near-dedup stage takes five words and a wider radius than the operator's default query: copies
-with a shingle similarity of 0.8 or more differ by about 10 of 64 bits. All within SURE bits link; up
-to RADIUS bits those do that still have one of four segments within a bit, as most have. MORE_RADIUS
-bits of a second fingerprint keep texts apart that only chance brings together.
+with a shingle similarity of 0.8 or more differ by about 10 of 64 bits. The index is cut for the whole
+radius, so all pairs within RADIUS bits are looked at; MORE_RADIUS bits of a second fingerprint keep
+texts apart that only chance brings together.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from sidewind.llm.exact_dedup import exact_dedup, normalise
 from sidewind.llm.simhash_dedup import near_dedup
 from sidewind.llm.toxicity import fit, keep_below
 
-SURE, RADIUS, MORE_RADIUS = 7, 10, 14
+RADIUS, MORE_RADIUS = 10, 18
+#: What the index guarantees: all that can link.
+SURE = RADIUS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ from .common import connected_components, join_groups, materialize, partitions,
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
+#: Pairs of a large bucket that are compared at once; near pairs a row from which it is searched.
+BLOCK, DENSE = 1 << 17, 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -195,6 +197,28 @@ def _links(radius: int, more_radius: int, sure: int):
                     yield out
 
         def large(pos, fp, more, node):
+            """All pairs in blocks of rows; a bucket with many near pairs is searched instead."""
+            size, first, second, held, at = len(fp), [], [], 0, 0
+            while at < size:
+                rows = max(1, BLOCK // (size - at))
+                x = fp[at : at + rows, None] ^ fp[None, at:]
+                i, j = np.divmod(np.flatnonzero(popcount(x) <= radius), size - at)
+                once = i < j
+                first.append(i[once] + at)
+                second.append(j[once] + at)
+                held += len(first[-1])
+                if held > DENSE * size:
+                    yield from search(pos, fp, more, node)
+                    return
+                at += rows
+            i, j = np.concatenate(first), np.concatenate(second)
+            ok = canonical(fp[i] ^ fp[j]) == pos
+            if more_radius < 64:
+                ok &= popcount(more[i] ^ more[j]) <= more_radius
+            if ok.any() and (out := edges(node[i[ok]], node[j[ok]])):
+                yield out
+
+        def search(pos, fp, more, node):
             """A breadth-first search: what is reached leaves the rest, so no pairs are listed."""
             left = np.arange(len(fp))
             while len(left):

@@ -260,3 +260,32 @@ def test_stages_keep_columns(spark, sf):
         assert stage(spark, docs, sf).columns == docs.columns
     again = docs.unionByName(docs.limit(5))
     assert corpus_pipeline.keep_unique(spark, again, sf).count() == corpus_pipeline.keep_unique(spark, docs, sf).count()
+
+
+def test_pipeline_near_dedup_links_the_whole_radius(spark, monkeypatch):
+    """Kept rows against all pairs of fingerprints, with pairs whose bits are spread over all segments."""
+    from sidewind.llm import simhash_dedup
+
+    rng, signed = random.Random(7), lambda x: x - (1 << 64) if x >> 63 else x
+    prints = [(0, 0), (sum(0b11 << k for k in (0, 16, 32, 48)), 0)]
+    while len(prints) < 500:
+        a, b = prints[rng.randrange(len(prints))] if len(prints) % 3 else (rng.getrandbits(64) & ~0xFFF, rng.getrandbits(64))
+        flip = lambda low, high: sum(1 << k for k in rng.sample(range(64), rng.randint(low, high)))
+        prints.append((a ^ flip(6, 13), b ^ flip(6, 22)) if len(prints) % 3 else (a, b))
+    kept = list(range(len(prints)))
+    changed = True
+    while changed:
+        changed = False
+        for i, (a, b) in enumerate(prints):
+            for j, (c, d) in enumerate(prints[:i]):
+                if (a ^ c).bit_count() <= corpus_pipeline.RADIUS and (b ^ d).bit_count() <= corpus_pipeline.MORE_RADIUS and kept[i] != kept[j]:
+                    kept[i] = kept[j] = min(kept[i], kept[j])
+                    changed = True
+    fps = spark.createDataFrame([(i, signed(a), signed(b)) for i, (a, b) in enumerate(prints)], "doc_id long, fp long, more long")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda *_: fps)
+    docs = spark.range(len(prints)).withColumnRenamed("id", "doc_id").withColumn("text", F.lit(""))
+    want = {i for i, k in enumerate(kept) if i == k}
+    assert 1 not in want and len(want) < 450
+    for dense in (simhash_dedup.DENSE, 0):
+        monkeypatch.setattr(simhash_dedup, "DENSE", dense)
+        assert {r.doc_id for r in corpus_pipeline.keep_one_of_near(spark, docs, "").collect()} == want
