@@ -2,8 +2,7 @@
 
 Texts become lower-cased words with single spaces. Each rule is a regular expression over those
 words with a label, a priority and a weight, gated by a keyword: a rule's expression only runs on
-texts that contain its keyword, and rules are only looked at for texts that contain one of a few
-gate words. The matches become rows of their own; a match is suppressed if its interval lies within
+texts that contain its keyword, which every match of the rule holds. The matches become rows of their own; a match is suppressed if its interval lies within
 that of a match of better priority, or within a longer one of the same priority. What survives gives the labels, spans and score.
 
 The contract's base phrases are found beside the rules, by place, in the same words.
@@ -27,8 +26,6 @@ from .common import lower_ascii, materialize
 #: The base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A text without any of these is not looked at further; each rule's keyword or expression holds one.
-GATE = ["licen", "redistribution", "hereby granted", "permission to use", "spdx", "copyright", "copyleft", "creative commons", "public domain", " cc by", " cc0 ", "all rights reserved", "gpl ", " org ", " com ", " net ", " co "]
 
 #: label, keyword, names (regular expressions over single-spaced words), identifier tags, addresses.
 LICENSES = [
@@ -130,6 +127,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return sorted(dict.fromkeys(out), key=lambda r: (r[3], r[0], r[2]))
 
 
+#: A text without any of these is not looked at further: the rules' own keywords, one of which each match holds.
+GATE = sorted({r[1] for r in rules()})
+
+
 def words_of(text: Column) -> Column:
     """The words, each after a space, and a closing space; one space if there are none."""
     low = lower_ascii(F.coalesce(text, F.lit("")))
@@ -147,11 +148,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     w = F.col("w")
     table = rules()
-    keywords = sorted({r[1] for r in table})
-    gate = F.lit(False)
-    for g in GATE + [p for p, _ in base]:
-        gate = gate | w.contains(g)
-    found = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: w.contains(k))
+    found = F.filter(F.array(*[F.lit(k) for k in GATE]), lambda k: w.contains(k))
     rule_array = F.from_json(F.lit(_json(table)), "array<struct<label:string,key:string,expr:string,priority:int,weight:double>>")
     # A match takes its first space but not its last, so matches can stand next to each other.
     hits = F.transform(
@@ -176,13 +173,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         here.append(F.when(there, F.lit(label)))
     scanned = (
         docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
-        .select("doc_id", "w", (spaces(w) - 1).alias("n_words"), gate.alias("gate"))
-        .select("doc_id", "w", "n_words", "gate", F.when(F.col("gate"), found).alias("found"))
+        .select("doc_id", "w", (spaces(w) - 1).alias("n_words"), found.alias("found"))
         .select(
-            "doc_id", "n_words", F.monotonically_increasing_id().alias("row"), F.when(F.col("gate"), n).otherwise(0).alias("n_base"),
-            F.when(F.col("gate"), F.least(*first)).alias("first_word"), F.when(F.col("gate"), F.greatest(*last)).alias("last_word"),
-            F.when(F.col("gate"), F.array_compact(F.array(*here))).otherwise(F.array().cast("array<string>")).alias("base_labels"),
-            F.when(F.col("gate") & (F.size("found") > 0), hits).otherwise(none).alias("hits"),
+            "doc_id", "n_words", F.monotonically_increasing_id().alias("row"), n.alias("n_base"),
+            F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_compact(F.array(*here)).alias("base_labels"),
+            F.when(F.size("found") > 0, hits).otherwise(none).alias("hits"),
         )
     )
     scanned = materialize(scanned, "scanned")

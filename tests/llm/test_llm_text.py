@@ -177,6 +177,24 @@ def test_license_scan_equals_brute_force(spark, docs):
     assert labelled >= 3
 
 
+def test_license_rules_need_no_gate_word(spark, docs):
+    """Against every rule's expression alone, on texts without the usual words and on the table's own."""
+    alone = ["released under the MIT", "distributed under the 3-Clause BSD", "available under Apache 2.0", "published under MPL 2.0", "Proprietary and confidential", "joinup.ec.europa.eu/collection/eupl", "no notice"]
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(alone)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").where("text IS NOT NULL").unionByName(extra)
+    rules = [(a, re.compile(f" (?:{e})(?= )"), p, v) for a, _, e, p, v in licenses.rules()]
+    word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = {r.doc_id: r.text for r in both.collect()}
+    labels = {}
+    for r in licenses.license_scan(both).collect():
+        norm = " " + "".join(x + " " for x in word.findall(text[r.doc_id].translate(low)))
+        found = [(m.start(), m.end(), a, p, v) for a, e, p, v in rules for m in e.finditer(norm)]
+        found = [z for z in found if not any(y[0] <= z[0] and y[1] >= z[1] and (y[3] < z[3] or y[3] == z[3] and y[1] - y[0] > z[1] - z[0]) for y in found)]
+        assert sorted(map(tuple, r.detections or [])) == sorted(found)
+        labels[r.doc_id] = r.labels
+    assert [labels[-1 - i] for i in range(len(alone))] == ["mit", "bsd-3", "apache-2", "mpl-2", "proprietary", "eupl-1.2", ""]
+
+
 def test_secret_scan_equals_brute_force(spark, docs, sf):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     text = {r.doc_id: r for r in docs.collect()}
