@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions, ship
 from .simhash_dedup import LOWER
 
-DEPTH = 5
+DEPTH = 6
 END = 0xFF
 #: Bytes of text that a worker counts or scores at once; grams that a map task folds.
 CHUNK_BYTES, FOLD = 2 << 20, 800_000

@@ -141,6 +141,14 @@ def test_bits_are_probabilities():
         assert abs(np.exp2(ctw.log2_probability(every, nodes, top, 2)).sum() - 1) < 1e-9
 
 
+def test_context_of_six_bytes_counts():
+    """The byte six places back decides the next one."""
+    keys, n = np.unique(ctw.grams([b"1aaaaa1", b"2aaaaa2"] * 50, ctw.DEPTH)[0], return_counts=True)
+    nodes, level = ctw.build(keys, n.astype(np.int64), ctw.DEPTH, 1)
+    after = np.sort(np.array([int.from_bytes(t[-ctw.DEPTH - 1 :], "big") for t in (b"1aaaaa1", b"2aaaaa2")], np.uint64))
+    assert (np.exp2(ctw.log2_probability(after, nodes, ctw.build_top(level, 1), ctw.DEPTH)) > 0.8).all()
+
+
 def test_license_rules_are_gated():
     table = licenses.rules()
     assert len(table) > 200
