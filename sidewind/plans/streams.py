@@ -77,6 +77,7 @@ def stream_career(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = folder(spark)
     rows = side_rows(spark, sf_dir).select("participant_id", "bout_id", "ts", "is_win", "is_loss", "landed", "attempted", "seconds")
     rows.write.parquet(f"{to}/sides")
-    source = ingest.stream(spark, f"{to}/sides", rows.schema)
+    # The files are in no time order, and batches must be: all of them are one batch.
+    source = ingest.stream(spark, f"{to}/sides", rows.schema, files_per_trigger=None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return _finish(career(source), to).select("bout_id", "participant_id", "wins", "losses", "win_streak", "loss_streak", "longest", "landed")

@@ -27,8 +27,10 @@ def affected(side_rows: DataFrame, participants: DataFrame) -> DataFrame:
     return side_rows.join(mine, "bout_id", "left_semi")
 
 
-def stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int | None = 100) -> DataFrame:
+    """files_per_trigger: None puts all files that are there into one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
 def ingest(source: DataFrame, root: str, keys: list[str], checkpoint: str, merge: bool = False):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sidewind.operators import aggregates, dml, evaluate, joins, models, ratings, windows
 from sidewind.plans import bouts as data
-from sidewind.plans import features, serve, steps
+from sidewind.plans import features, serve, steps, streams
 from sidewind.sources import html, schema, sinks
 from sidewind.streaming import ingest
 
@@ -106,6 +106,18 @@ def test_affected_holds_opponents(spark, sf):
     assert got.groupBy("bout_id").count().where("count <> 2").isEmpty()
 
 
+def test_stream_career_of_many_files(spark, sf, monkeypatch):
+    """More files than a batch of the reader's default holds, in no time order, against a loop over each participant's bouts."""
+    monkeypatch.setattr(streams, "side_rows", lambda *a: data.side_rows(*a).repartition(130, "bout_id"))
+    got = {(r.participant_id, r.bout_id): (r.wins, r.losses, r.win_streak, r.loss_streak, r.longest) for r in streams.stream_career(spark, sf).collect()}
+    want, state = {}, {}
+    for r in data.side_rows(spark, sf).orderBy("ts", "bout_id").collect():
+        w, l, ws, ls, longest = want[r.participant_id, r.bout_id] = state.get(r.participant_id, (0,) * 5)
+        ws, ls = (ws + 1 if r.is_win else 0), (ls + 1 if r.is_loss else 0)
+        state[r.participant_id] = (w + r.is_win, l + r.is_loss, ws, ls, max(longest, ws))
+    assert got == want
+
+
 def test_html(spark):
     p = lambda a, b: f"<td><p>{a}</p><p>{b}</p></td>"
     cells = "".join(p(*x) for x in [("A", "B"), ("1", "0"), ("50 of 100", "20 of 60"), ("50%", "33%"), ("60 of 110", "25 of 70"), ("2 of 4", "0 of 2"), ("50%", "0%"), ("1", "0"), ("0", "1"), ("1:30", "0:10")])
