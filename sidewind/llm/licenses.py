@@ -1,8 +1,11 @@
 """License scan by ordered signature rules. Native: DataFrame functions only.
 
 Texts become lower-cased words with single spaces. Each rule is a regular expression over those
-words with a label, a priority and a weight, gated by a keyword: a rule's expression only runs on
-texts that contain its keyword, which every match of the rule holds. The matches become rows of their own; a match is suppressed if its interval lies within
+words with a label, a priority and a weight, gated by a keyword: the longest text that every match of
+the rule holds, taken from the expression itself. A rule's expression only runs on texts with its
+keyword, so few of the rules, which come as one table of patterns, are compiled for a text. (As literal
+patterns they make a plan that takes ten seconds to compile, and run no faster.)
+The matches become rows of their own; a match is suppressed if its interval lies within
 that of a match of better priority, or within a longer one of the same priority. What survives gives the labels, spans and score.
 
 The contract's base phrases are found beside the rules, by place, in the same words.
@@ -17,6 +20,9 @@ gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,25 +116,38 @@ GENERAL = [
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 2, 0.95),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 5, 0.2),
 ]
-GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided|offered|covered|governed|shared|made available|redistributed) (?:by|under|with|subject to) (?:an?|the)? ?(?:terms (?:and conditions )?of )?(?:an?|the)? ?"
+#: How a grant begins, and what may stand between that and the name.
+VERBS = r"(?:licen[cs]ed|released|distributed|available|published|provided|offered|covered|governed|shared|made available|redistributed) (?:by|under|with|subject to) "
+GRANT = VERBS + r"(?:(?:an?|the) )?(?:terms (?:and conditions )?of )?(?:(?:an?|the) )?"
+
+
+def keyword(expr: str) -> str:
+    """The longest text that each match of an expression holds, with the spaces around a match."""
+    left, group = f" {expr} ", re.compile(r"\(\?[:=]([^()]*)\)(\??)")
+    while group.search(left):
+        left = group.sub(lambda m: "\n" if m[2] or "|" in m[1] else m[1], left)
+    return max(re.split(r"\n|\[[^]]*\]\??|\\\w[+*]?|.\?", left), key=len)
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, expression, priority, weight), best priority first."""
     out = []
-    for label, keyword, names, tags, urls in LICENSES:
-        out += [(label, "spdx", rf"spdx license identifier (?:{t})", 1, 1.0) for t in tags]
-        out += [(label, u, u, 1, 0.95) for u in urls]
+    for label, _, names, tags, urls in LICENSES:
+        out += [(label, rf"spdx license identifier (?:{t})", 1, 1.0) for t in tags]
+        out += [(label, u, 1, 0.95) for u in urls]
         for n in names:
-            key = "cc0" if n.startswith("cc0") else "gpl" if n.startswith(("gpl", "lgpl", "agpl")) else "creative commons" if n.startswith("creative") else keyword if keyword in n or keyword[1:] in n else n.split(" ")[0].split("(")[0] or keyword
-            out.append((label, key, GRANT + f"(?:{n})(?: licen[cs]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?", 2, 0.95))
-            out.append((label, key, f"(?:{n}) licen[cs]e" if "licen" not in n else f"(?:{n})", 3, 0.85))
-    out += GENERAL
-    return sorted(dict.fromkeys(out), key=lambda r: (r[3], r[0], r[2]))
+            out.append((label, GRANT + f"(?:{n})(?= )(?: licen[cs]e)?(?: (?:version |v)?[0-9](?: [0-9])?)?", 2, 0.95))
+            out.append((label, f"(?:{n}) licen[cs]e" if "licen" not in n else f"(?:{n})", 3, 0.85))
+    out += [(label, e, p, v) for label, _, e, p, v in GENERAL]
+    return [(a, keyword(e.removeprefix(GRANT)), e, p, v) for a, e, p, v in sorted(dict.fromkeys(out), key=lambda r: (r[2], r[0], r[1]))]
 
 
-#: A text without any of these is not looked at further: the rules' own keywords, one of which each match holds.
-GATE = sorted({r[1] for r in rules()})
+def keywords() -> dict[str, list[str]]:
+    """The rules' keywords: those of grants, those in a match with "licen", and others."""
+    out: dict[str, set[str]] = {"grant": set(), "licen": set(), "": set()}
+    for _, key, expr, *_ in rules():
+        out["grant" if expr.startswith(GRANT) else "licen" if "licen" in keyword(expr) or "licen[cs]e" in re.sub(r"\(\?:[^()]*\)\?", "", expr) else ""].add(key)
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def words_of(text: Column) -> Column:
@@ -148,7 +167,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     w = F.col("w")
     table = rules()
-    found = F.filter(F.array(*[F.lit(k) for k in GATE]), lambda k: w.contains(k))
+    none = F.array().cast("array<string>")
+    can = {"grant": w.rlike(f" {VERBS}"), "licen": w.contains("licen"), "": F.lit(True)}
+    found = F.array_distinct(F.concat(*[F.when(can[k], F.filter(F.array(*map(F.lit, v)), lambda x: w.contains(x))).otherwise(none) for k, v in keywords().items()]))
     rule_array = F.from_json(F.lit(_json(table)), "array<struct<label:string,key:string,expr:string,priority:int,weight:double>>")
     # A match takes its first space but not its last, so matches can stand next to each other.
     hits = F.transform(
@@ -210,6 +231,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _json(table: list[tuple]) -> str:
-    import json
-
     return json.dumps([{"label": a, "key": k, "expr": f" (?:{e})(?= )", "priority": p, "weight": v} for a, k, e, p, v in table])
