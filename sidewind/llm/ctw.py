@@ -8,12 +8,16 @@ the weighted one, Pw = (Pe + product of the children's Pw) / 2. Block probabilit
 alone, so the weights come bottom-up from counts of all (depth + 1)-grams of the training texts, and
 the frozen tree gives the code length of any byte.
 
-At scale: gram counts are folded in the map tasks, dealt out by the three bytes nearest to the
-predicted one, and each task builds the subtrees below its triples. Their sums go up to the nodes of
-two-byte contexts in one more aggregation; what reaches the driver is those, at most 255 * 65536. The nodes, and the baseline's word counts, go to
-the workers in blobs of bounded size, which they map into memory rather than copy. A pass takes at
-most PASS_BYTES of blobs; a larger model is applied in several passes over the texts, whose sums add
-up. Hashes stand for words in the baseline's counts.
+At scale the model never is in one place. Texts are dealt out to chunks of about CHUNK_BYTES, and a
+chunk asks for the code lengths of its distinct grams, giving along how often its training texts hold
+each. Requests go to parts of the tree, by the three bytes before the predicted one: a part folds all
+chunks' counts, builds its subtrees and answers each chunk. Two rounds do this: the first adds up what
+the nodes of contexts of two bytes need, which is all that reaches the driver and is broadcast (at most
+255 * 65536 nodes); the second answers. A chunk then scores its texts, piece by piece. Requests and
+answers travel as compressed arrays, one row per chunk and part. Words of the baseline are counted
+and looked up in the same way, as exact words. Memory: a chunk's distinct grams, a part's grams, and a
+piece of text or the longest text. Chunks and parts grow in number with the input; what does not split
+further is the tree below one context of three bytes.
 
 Defined results: null text is the empty text, with one token, the end; null ids count as the empty
 id, which is in the training part; repeated rows each count and each give a row; with no training
@@ -23,13 +27,11 @@ result. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import mmap
-import pickle
-import struct
-import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,37 +40,13 @@ from .simhash_dedup import LOWER
 
 DEPTH = 6
 END = 0xFF
-#: Bytes of text that a worker counts or scores at once; grams that a map task folds.
-CHUNK_BYTES, FOLD = 2 << 20, 800_000
-#: Nodes or words in a blob, bytes of blobs in a pass.
-BLOB_ROWS, PASS_BYTES = 1_000_000, 3 << 30
-#: White space: 0x20 and 0x09 to 0x0D.
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of text of a chunk, per part of the tree, and that are counted or scored at once.
+CHUNK_BYTES, PART_BYTES, PIECE_BYTES = 8 << 20, 4 << 20, 2 << 20
+#: Rows of text in an Arrow batch are few; blobs are some ten kilobytes each.
 U = np.uint64
 #: Bytes of context by which grams are dealt out; nodes of shorter contexts are built from their sums.
 SPLIT = 3
-#: An odd multiplier and its inverse modulo 2**64, for hashes of words.
-MULT = 0x9E3779B97F4A7C15
-INVERSE = pow(MULT, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of the multiplier and its inverse, made once per worker and length."""
-
-    _kept: tuple | None = None
-
-    @classmethod
-    def of(cls, n: int):
-        if cls._kept is None or len(cls._kept[0]) < n:
-            cls._kept = powers(MULT, n), powers(INVERSE, n)
-        return cls._kept
+MULT = U(0x9E3779B97F4A7C15)
 
 
 def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,22 +65,6 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each white-space separated word, and each text's number of words."""
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    space = IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    start, stop = edge[::2], edge[1::2]
-    up, down = Powers.of(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum((raw.astype(U) + U(1)) * up[: len(raw)], dtype=U)])
-    h = (sums[stop] - sums[start]) * down[start]
-    h ^= (stop - start).astype(U) << U(56)
-    h = (h ^ (h >> U(31))) * U(0xBF58476D1CE4E5B9)
-    h ^= h >> U(29)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.diff(np.searchsorted(start, np.concatenate([[0], ends])))
-
-
 def fold(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
@@ -110,49 +72,6 @@ def fold(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
-def chunks(batches, *columns: str):
-    """Rows of the named columns, with texts as lower-cased bytes, in chunks of about CHUNK_BYTES."""
-    rows, held = [], 0
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), texts, strict=True):
-            t = (row[-1] or b"").translate(LOWER)
-            rows.append((*row[:-1], t))
-            held += len(t)
-            if held >= CHUNK_BYTES:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
-
-
-def _count(depth: int):
-    """Counts of grams (kind 0) and of words' hashes (kind 1), folded as far as memory is bounded."""
-
-    def run(batches):
-        have = {k: (np.zeros(0, U), np.zeros(0, np.int64)) for k in (0, 1)}
-
-        def put_out(k):
-            keys, n = have[k]
-            have[k] = (np.zeros(0, U), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int8)), pa.array(keys.view(np.int64)), pa.array(n)], ("kind", "key", "n"))
-
-        for rows in chunks(batches):
-            texts = [r[-1] for r in rows]
-            for k, keys in ((0, grams(texts, depth)[0]), (1, word_hashes(texts)[0])):
-                keys = np.sort(keys)
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-                n = np.diff(np.concatenate([first, [len(keys)]]))
-                have[k] = fold(np.concatenate([have[k][0], keys[first]]), np.concatenate([have[k][1], n]))
-                if len(have[k][0]) > FOLD:
-                    yield put_out(k)
-        for k in (0, 1):
-            if len(have[k][0]):
-                yield put_out(k)
-
-    return run
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after six steps up; exact to about 1e-12 from 0.5 on."""
     x = np.asarray(x, float)
@@ -244,275 +163,259 @@ def log2_probability(keys: np.ndarray, nodes: dict, top: dict, depth: int) -> np
     return out
 
 
-def _fit(depth: int):
-    """A task's grams hold whole subtrees of contexts of SPLIT bytes: its nodes (kind 0), by node one byte nearer the root its sums of counts and log Pw (kind 1), and the grams (kind 2)."""
+def pack(a: np.ndarray) -> bytes:
+    """Fixed-size numbers as compressed planes of bytes."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind)[:, 0]
+
+
+def part_of(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The part of the tree that holds each gram, by its context of SPLIT bytes."""
+    context = (keys >> U(8)) & U((1 << (8 * SPLIT)) - 1)
+    return ((context * MULT >> U(24)) % U(n_parts)).astype(np.int32)
+
+
+def counts_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and how many there are of each."""
+    keys = np.sort(grams(texts, depth)[0])
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.concatenate([first, [len(keys)]]))
+
+
+REQUEST = "kind byte, chunk int, part int, key binary, counts binary, n long"
+
+
+def _request(depth: int, n_parts: int):
+    """Per chunk: its distinct grams with their counts in training texts (kind 0, a row per part), and its distinct words (kind 1)."""
+    names = ("kind", "chunk", "part", "key", "counts", "n")
+    kinds = (pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+
+    def put_out(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def of_chunk(chunk, have, words):
+        keys, n = have
+        part = part_of(keys, n_parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        rows = [(0, chunk, int(part[at[0]]), pack(keys[at]), pack(n[at].astype(np.int64)), None) for at in np.split(order, cuts)]
+        for i in range(0, len(rows), 200):
+            yield put_out(rows[i : i + 200])
+        rows = [(1, chunk, None, w, None, c) for w, c in words.items()]
+        for i in range(0, len(rows), 20_000):
+            yield put_out(rows[i : i + 20_000])
 
     def run(batches):
-        got = [(b.column("key").to_numpy().view(U), b.column("n").to_numpy()) for b in batches]
-        if not got:
-            return
-        keys, n = fold(*(np.concatenate(c) for c in zip(*got, strict=True)))
-        nodes, level = build(keys, n, depth, SPLIT)
-        names = ("kind", "slot", "ctx", "key", "one", "share", "zeros", "ones", "log_pw")
-
-        def rows(kind, slot, key, j, one=None, share=None, zeros=None, ones=None, log_pw=None):
-            size = len(key)
-            full = [np.zeros(size, np.float32) if x is None else x.astype(np.float32) for x in (one, share)] + [np.zeros(size, np.int64) if x is None else x.astype(np.int64) for x in (zeros, ones)] + [np.zeros(size) if log_pw is None else log_pw]
-            ctx = ((key >> U(j)) & U(0xFFFF)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), pa.array(np.full(size, slot, np.int16)), pa.array(ctx), pa.array(key.view(np.int64)), *map(pa.array, full)], names)
-
-        for (d, j), (u, one, share) in nodes.items():
-            logit = np.log(one) - np.log1p(-one)
-            for i in range(0, len(u), 100_000):
-                yield rows(0, 8 * d + j, u[i : i + 100_000], j, logit[i : i + 100_000], share[i : i + 100_000])
-        for i in range(0, len(keys), 100_000):
-            yield rows(2, -1, keys[i : i + 100_000], 8)
-        for j, (u, zeros, ones, log_pw) in level.items():
-            up, at = np.unique(u & U((1 << (8 * (SPLIT - 1) + j)) - 1), return_inverse=True)
-            yield rows(1, j, up, j, **{k: np.bincount(at, x, len(up)) for k, x in (("zeros", zeros), ("ones", ones), ("log_pw", log_pw))})
+        now, have, words, held, size = None, None, Counter(), ([], []), 0
+
+        def count():
+            nonlocal have, held, size
+            for texts, weight in zip(held, (1, 0), strict=True):
+                if texts:
+                    keys, n = counts_of(texts, depth)
+                    have = (keys, n * weight) if have is None else fold(np.concatenate([have[0], keys]), np.concatenate([have[1], n * weight]))
+            held, size = ([], []), 0
+
+        for batch in batches:
+            for chunk, held_out, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held_out")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        count()
+                        yield from of_chunk(now, have, words)
+                    now, have, words = chunk, None, Counter()
+                text = raw.translate(LOWER)
+                held[held_out].append(text)
+                size += len(text)
+                if held_out:
+                    for w in set(text.split()):
+                        words[w] += 0
+                else:
+                    words.update(text.split())
+                if size >= PIECE_BYTES:
+                    count()
+        if now is not None:
+            count()
+            yield from of_chunk(now, have, words)
 
     return run
 
 
-class Blob:
-    """Named arrays in one broadcast, which workers map from its file where they can."""
-
-    def __init__(self, spark, arrays: dict[str, np.ndarray]):
-        self.mark = uuid.uuid4().bytes
-        parts, at, index = [], 0, {}
-        for name, a in arrays.items():
-            index[name] = (at, len(a), a.dtype.str)
-            raw = a.tobytes()
-            raw += b"\0" * (-len(raw) % 8)
-            parts.append(raw)
-            at += len(raw)
-        self.size = at
-        head = pickle.dumps(index)
-        self.shared = spark.sparkContext.broadcast(b"".join([self.mark, struct.pack("<q", len(head)), head, *parts]))
-        # The driver makes blobs one after the other; what one took goes back before the next. In the
-        # JVM that is direct buffers of collected rows, which only a collection frees.
-        pa.default_memory_pool().release_unused()
-        spark._jvm.System.gc()
-
-    def open(self) -> dict[str, np.ndarray]:
-        path = getattr(self.shared, "_path", None)
-        try:
-            with open(path, "rb") as f:
-                data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-            at = data.find(self.mark)
-        except (OSError, TypeError, ValueError):
-            at = -1
-        if at < 0:
-            data, at = self.shared.value, 0
-        at += 16
-        n = struct.unpack_from("<q", data, at)[0]
-        index = pickle.loads(data[at + 8 : at + 8 + n])
-        at += 8 + n
-        return {name: np.frombuffer(data, np.dtype(kind), count, at + offset) for name, (offset, count, kind) in index.items()}
-
-
-class Opened:
-    """Blobs that a worker has open, by their mark."""
-
-    _kept: dict = {}
-
-    @classmethod
-    def of(cls, blob: Blob) -> dict[str, np.ndarray]:
-        if blob.mark not in cls._kept:
-            if len(cls._kept) > 200:
-                cls._kept.clear()
-            cls._kept[blob.mark] = blob.open()
-        return cls._kept[blob.mark]
-
-
-def small_counts(n: np.ndarray) -> np.ndarray:
-    """Half the bytes wherever they do."""
-    return n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n
-
-
-def ranges(counts: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """Cuts (value, rows), sorted by value, to ranges [low, high) of at most ``most`` rows, or one value."""
-    out, low, held = [], None, 0
-    for value, n in counts:
-        if low is None:
-            low = value
-        elif held + n > most:
-            out.append((low, value))
-            low, held = value, 0
-        held += n
-    return out + ([(low, counts[-1][0] + 1)] if counts else [])
-
-
-def tree_of(blob: Blob, depth: int) -> dict:
-    arrays, none = Opened.of(blob), (np.zeros(0, U),) * 3
-    return {(s // 8, s % 8): (arrays[f"key{s}"], arrays[f"one{s}"], arrays[f"share{s}"]) if f"key{s}" in arrays else none for s in range(8 * SPLIT, 8 * depth + 8)}
-
-
-def _code(depth: int, low: int, high: int, blob: Blob, top: dict):
-    """The code lengths of grams that were seen in training."""
+def parts(batches):
+    """(part, [(chunk, packed grams, grams, counts)]) from rows sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, chunk, key, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "key", "counts")), strict=True):
+            if part != now:
+                if held:
+                    yield held
+                now, held = part, []
+            held.append((chunk, key, unpack(key, U), unpack(counts, np.int64)))
+    if held:
+        yield held
+
+
+def tree_of(part, depth: int):
+    """A part's distinct grams, the nodes of its subtrees and their level of SPLIT bytes."""
+    keys, n = fold(np.concatenate([p[2] for p in part]), np.concatenate([p[3] for p in part]))
+    seen = n > 0
+    if not seen.any():
+        return keys, {(d, j): (np.zeros(0, U),) * 3 for d in range(SPLIT, depth + 1) for j in range(8)}, {}
+    return keys, *build(keys[seen], n[seen], depth, SPLIT)
+
+
+def _sums(depth: int):
+    """What nodes of contexts of SPLIT - 1 bytes need of their children: counts and log Pw."""
+
+    def run(batches):
+        for part in parts(batches):
+            for j, (u, zeros, ones, log_pw) in tree_of(part, depth)[2].items():
+                up, at = np.unique(u & U((1 << (8 * (SPLIT - 1) + j)) - 1), return_inverse=True)
+                sums = [np.bincount(at, x, len(up)) for x in (zeros, ones, log_pw)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(up), j, np.int16)), pa.array(up.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2])],
+                    ("slot", "key", "zeros", "ones", "log_pw"),
+                )
+
+    return run
+
+
+def _answer(depth: int, shared):
+    """For each chunk that asks: its grams and their code lengths in bits."""
+
+    def run(batches):
+        top = shared.value
+        for part in parts(batches):
+            keys, nodes, _ = tree_of(part, depth)
+            bits = log2_probability(keys, nodes, top, depth).astype(np.float32)
+            del nodes
+            for i in range(0, len(part), 200):
+                some = part[i : i + 200]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p[0] for p in some], pa.int32()), pa.array([p[1] for p in some], pa.binary()),
+                        pa.array([pack(bits[np.searchsorted(keys, p[2])]) for p in some], pa.binary()),
+                    ],
+                    ("chunk", "key", "bits"),
+                )
+
+    return run
+
+
+def _score(depth: int, base: dict):
+    """Rows come sorted by chunk and kind: answers (0), words (1), then the texts (2)."""
+
+    def log_of(n):
+        return float(np.log10((n + 0.5) / base["denominator"]))
+
+    def scores(rows, keys, bits, words):
+        texts = [r[1] for r in rows]
+        mine, starts = grams(texts, depth)
+        order = np.argsort(mine)
+        ordered = mine[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        per_gram = bits[np.searchsorted(keys, ordered[new])]
+        per_place = np.empty(len(mine))
+        per_place[order] = per_gram[np.cumsum(new) - 1]
+        score = np.add.reduceat(per_place, starts) * np.log10(2)
+        n_words, known, sums = [], [], []
+        for t in texts:
+            found = [words[w] for w in t.split()]
+            n_words.append(len(found))
+            known.append(sum(k for k, _ in found))
+            sums.append(float(np.sum([x for _, x in found])))
+        n_words, known = np.array(n_words), np.array(known)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.int64()), pa.array(n_words + 1, pa.int64()), pa.array(known + (base["end"] > 0), pa.int64()),
+                pa.array(np.array(sums) + log_of(base["end"]), pa.float64()), pa.array(score, pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()),
+            ],
+            ("doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"),
+        )
 
     def run(batches):
+        now, answers, words, known, held, size = None, [], {}, None, [], 0
         for batch in batches:
-            keys = np.sort(batch.column("key").to_numpy().view(U))
-            bits = log2_probability(keys, tree_of(blob, depth), top, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bits.astype(np.float32))], ("key", "bits"))
+            columns = [batch.column(c).to_pylist() for c in ("chunk", "kind", "doc_id", "key", "bits", "n")]
+            for chunk, kind, doc_id, key, bits, n, raw in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if chunk != now:
+                    if held:
+                        yield scores(held, *known, words)
+                    now, answers, words, known, held, size = chunk, [], {}, None, [], 0
+                if kind == 0:
+                    answers.append((unpack(key, U), unpack(bits, np.float32)))
+                elif kind == 1:
+                    words[key] = (n > 0, log_of(n))
+                else:
+                    if known is None:
+                        keys, code = (np.concatenate(x) for x in zip(*answers, strict=True))
+                        order = np.argsort(keys)
+                        known, answers = (keys[order], code[order].astype(float)), []
+                    held.append((doc_id, raw.translate(LOWER)))
+                    size += len(raw)
+                    if size >= PIECE_BYTES:
+                        yield scores(held, *known, words)
+                        held, size = [], 0
+        if held:
+            yield scores(held, *known, words)
 
     return run
 
 
-def train(texts: DataFrame, depth: int) -> tuple[list[tuple[int, int, Blob, Blob]], dict, list[tuple[int, int, Blob]], dict]:
-    """Of texts(text): node blobs by context range, top nodes, word blobs by hash range, word totals."""
-    spark = texts.sparkSession
-    counted = materialize(texts.select("text").mapInArrow(_count(depth), "kind byte, key long, n long"), "counted")
-    if depth < SPLIT:
-        raise ValueError(f"depth below {SPLIT}")
-    schema = "kind byte, slot short, ctx int, key long, one float, share float, zeros long, ones long, log_pw double"
-    ctx = F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * SPLIT)) - 1)
-    fitted = counted.where("kind = 0").select("key", "n").repartition(partitions(spark), ctx).mapInArrow(_fit(depth), schema)
-    fitted = materialize(fitted, "nodes")
-    level = {}
-    table = fitted.where("kind = 1").groupBy("slot", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]).toArrow()
+def top_of(sums: DataFrame, depth: int) -> dict:
+    """Nodes of contexts of fewer than SPLIT bytes; at most 255 * 65536 sums reach the driver."""
+    table = sums.groupBy("slot", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]).toArrow()
     slot, key = table["slot"].to_numpy(), table["key"].to_numpy().view(U)
+    level = {}
     for j in range(8):
         at = np.flatnonzero(slot == j)
         at = at[np.argsort(key[at])]
         level[j] = (key[at], *(table[c].to_numpy()[at] for c in ("zeros", "ones", "log_pw")))
-    top = build_top(level, SPLIT)
-    nodes = fitted.where("kind = 0")
-    sizes = [(r.ctx, r["count"]) for r in nodes.groupBy("ctx").count().orderBy("ctx").collect()]
-    blobs = []
-    for low, high in ranges(sizes, BLOB_ROWS):
-        table = nodes.where((F.col("ctx") >= low) & (F.col("ctx") < high)).select("slot", "key", "one", "share").toArrow()
-        slot, key = table["slot"].to_numpy(), table["key"].to_numpy().view(U)
-        order = np.lexsort((key, slot))
-        slot, key = slot[order], key[order]
-        one, share = (table[c].to_numpy()[order].astype(np.float16) for c in ("one", "share"))
-        del table, order
-        arrays = {}
-        for s in np.unique(slot):
-            a, b = np.searchsorted(slot, [s, s + 1])
-            arrays |= {f"key{s}": key[a:b], f"one{s}": one[a:b], f"share{s}": share[a:b]}
-        tree = Blob(spark, arrays)
-        del arrays, slot, key, one, share
-        seen = fitted.where((F.col("kind") == 2) & (F.col("ctx") >= low) & (F.col("ctx") < high)).select("key")
-        table = seen.mapInArrow(_code(depth, low, high, tree, top), "key long, bits float").toArrow()
-        key = table["key"].to_numpy().view(U)
-        order = np.argsort(key)
-        blobs.append((low, high, tree, Blob(spark, {"key": key[order], "bits": table["bits"].to_numpy()[order]})))
-    words = materialize(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total = words.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    n_parts = max(1, -(-total.distinct // BLOB_ROWS))
-    n_parts = 1 << (n_parts - 1).bit_length()
-    word_blobs = []
-    for k in range(n_parts):
-        bits = n_parts.bit_length() - 1
-        part = words.where(F.shiftrightunsigned("key", 64 - bits) == k) if bits else words
-        table = part.toArrow()
-        key = table["key"].to_numpy().view(U)
-        order = np.argsort(key)
-        span = 1 << (64 - bits)
-        word_blobs.append((k * span, (k + 1) * span, Blob(spark, {"key": key[order], "n": small_counts(table["n"].to_numpy()[order])})))
-    return blobs, top, word_blobs, {"distinct": total.distinct, "n": total.n}
-
-
-def _score(depth: int, blobs, top: dict, word_blobs, base: dict):
-    def run(batches):
-        for rows in chunks(batches, "doc_id", "row"):
-            texts = [r[-1] for r in rows]
-            # The tree's code length.
-            keys, starts = grams(texts, depth)
-            order = np.argsort(keys)
-            ordered = keys[order]
-            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            unique = ordered[new]
-            inverse = np.empty(len(keys), np.int32)
-            inverse[order] = np.cumsum(new) - 1
-            del keys, order, ordered, new
-            context = (unique >> U(8)) & U(0xFFFF)
-            bits = np.zeros(len(unique))
-            for low, high, tree, seen in blobs:
-                at = np.flatnonzero((context >= U(low)) & (context < U(high)))
-                if not len(at):
-                    continue
-                q, arrays = unique[at], Opened.of(seen)
-                k = np.minimum(np.searchsorted(arrays["key"], q), len(arrays["key"]) - 1)
-                found = arrays["key"][k] == q
-                bits[at] = arrays["bits"][k]
-                new = at[~found]
-                if len(new):
-                    bits[new] = log2_probability(unique[new], tree_of(tree, depth), top, depth)
-            if base["rest"]:
-                # Contexts that no blob of any pass holds: only the top has nodes for them.
-                at = np.ones(len(unique), bool)
-                for low, high in base["ranges"]:
-                    at &= ~((context >= U(low)) & (context < U(high)))
-                at = np.flatnonzero(at)
-                if len(at):
-                    none = {(d, j): (np.zeros(0, U),) * 3 for d in range(SPLIT, depth + 1) for j in range(8)}
-                    bits[at] = log2_probability(unique[at], none, top, depth)
-            score = np.add.reduceat(bits[inverse], starts) * np.log10(2)
-            del inverse, unique, bits
-            # The baseline.
-            hashes, n_words = word_hashes(texts)
-            n = np.zeros(len(hashes), np.int64)
-            mine = np.zeros(len(hashes), bool)
-            for low, high, blob in word_blobs:
-                at = np.flatnonzero((hashes >= U(low)) & (hashes <= U(high - 1)))
-                mine[at] = True
-                arrays = Opened.of(blob)
-                if len(at) and len(arrays["key"]):
-                    q = hashes[at]
-                    sort = np.argsort(q)
-                    k = np.empty(len(q), np.int64)
-                    k[sort] = np.minimum(np.searchsorted(arrays["key"], q[sort]), len(arrays["key"]) - 1)
-                    n[at] = np.where(arrays["key"][k] == q, arrays["n"][k], 0)
-            log = np.where(mine, np.log10((n + 0.5) / base["denominator"]), 0.0)
-            text = np.repeat(np.arange(len(rows)), n_words)
-            sums, known = np.bincount(text, log, len(rows)), np.bincount(text, n > 0, len(rows)).astype(np.int64)
-            end = np.log10((base["end"] + 0.5) / base["denominator"]) if base["rest"] else 0.0
-            ends = int(base["end"] > 0 and base["rest"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(n_words + 1, pa.int64()),
-                    pa.array(known + ends, pa.int64()), pa.array(sums + end, pa.float64()), pa.array(score, pa.float64()),
-                    pa.array([len(t) + 1 for t in texts], pa.int64()),
-                ],
-                ("doc_id", "row", "n_tokens", "n_known", "base_score", "score", "n_bytes"),
-            )
-
-    return run
+    return build_top(level, SPLIT)
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per row of docs."""
+    if depth < SPLIT:
+        raise ValueError(f"depth below {SPLIT}")
     spark = docs.sparkSession
     ship(spark)
-    doc_id = F.col(id_col).cast("long")
-    held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
-    rows = docs.select(doc_id.alias("doc_id"), F.monotonically_increasing_id().alias("row"), held_out.alias("held_out"), F.coalesce(text_col, F.lit("")).alias("text"))
-    training = rows.where("NOT held_out")
-    blobs, top, word_blobs, total = train(training, depth)
-    ends = training.select("doc_id").count()
-    n, distinct = total["n"] + ends, total["distinct"] + (ends > 0)
-    base = {"end": ends, "denominator": n + 0.5 * (distinct + 1), "ranges": [(b[0], b[1]) for b in blobs]}
-    passes: list[tuple[list, list]] = [([], [])]
-    held = 0
-    for kind, blob in [(0, b) for b in blobs] + [(1, b) for b in word_blobs]:
-        size = sum(b.size for b in blob[2:])
-        if held and held + size > PASS_BYTES:
-            passes.append(([], []))
-            held = 0
-        passes[-1][kind].append(blob)
-        held += size
-    schema = "doc_id long, row long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
-    out = None
-    for k, (some, words) in enumerate(passes):
-        part = rows.select("doc_id", "row", "text").mapInArrow(_score(depth, some, top, words, base | {"rest": k == 0}), schema)
-        out = part if out is None else out.unionByName(part)
-    if len(passes) > 1:
-        out = out.groupBy("doc_id", "row").agg(F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")], F.max("n_bytes").alias("n_bytes"))
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+
+    def held_out(c):
+        return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5 == 1
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
+    n_chunks, n_parts = (max(8, -(-size.bytes // b)) for b in (CHUNK_BYTES, PART_BYTES))
+    # The chunk follows from the row alone, so both readings of the texts agree.
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+
+    def dealt(df, n, *keys):
+        return df.repartition(max(partitions(spark), n), keys[0]).sortWithinPartitions(*keys)
+
+    asked = materialize(dealt(rows.select("chunk", "held_out", "text"), n_chunks, "chunk").mapInArrow(_request(depth, n_parts), REQUEST), "asked")
+    grams_of = dealt(asked.where("kind = 0").select("part", "chunk", "key", "counts"), n_parts // 4, "part")
+    top = top_of(grams_of.mapInArrow(_sums(depth), "slot short, key long, zeros long, ones long, log_pw double"), depth)
+    answers = grams_of.mapInArrow(_answer(depth, spark.sparkContext.broadcast(top)), "chunk int, key binary, bits binary")
+
+    words = asked.where("kind = 1").select("chunk", "key", "n")
+    totals = materialize(words.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    whole = totals.agg(F.count(F.when(F.col("n") > 0, 1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n, distinct = whole.n + size.ends, whole.distinct + (size.ends > 0)
+    base = {"end": size.ends, "denominator": n + 0.5 * (distinct + 1)}
+    none = {"doc_id": "long", "key": "binary", "bits": "binary", "n": "long", "text": "string"}
+
+    def stream(df, kind):
+        return df.select("chunk", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+    both = stream(answers, 0).unionByName(stream(words.select("chunk", "key").join(totals, "key"), 1)).unionByName(stream(rows.select("chunk", "doc_id", "text"), 2))
+    out = dealt(both, n_chunks, "chunk", "kind").mapInArrow(_score(depth, base), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -125,8 +125,8 @@ def test_context_tree_weighting(spark, docs, monkeypatch):
         want = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words) + math.log10((len(train) + 0.5) / (n + 0.5 * (v + 1)))
         assert abs(want - got[i].base_score) < 1e-6 and got[i].n_tokens == len(words) + 1 and got[i].train_tokens == n
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
-    monkeypatch.setattr(ctw, "PASS_BYTES", 1)
-    monkeypatch.setattr(ctw, "BLOB_ROWS", 5000)
+    for name in ("CHUNK_BYTES", "PART_BYTES", "PIECE_BYTES"):
+        monkeypatch.setattr(ctw, name, 100)
     again = {r.doc_id: r for r in ctw.lm_score(small, depth=3).collect()}
     assert all(abs(again[i].score - got[i].score) + abs(again[i].base_score - got[i].base_score) < 1e-6 for i in ids)
 
