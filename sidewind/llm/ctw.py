@@ -8,16 +8,17 @@ the weighted one, Pw = (Pe + product of the children's Pw) / 2. Block probabilit
 alone, so the weights come bottom-up from counts of all (depth + 1)-grams of the training texts, and
 the frozen tree gives the code length of any byte.
 
-At scale the model never is in one place. Texts are dealt out to chunks of about CHUNK_BYTES, and a
-chunk asks for the code lengths of its distinct grams, giving along how often its training texts hold
-each. Requests go to parts of the tree, by the three bytes before the predicted one: a part folds all
-chunks' counts, builds its subtrees and answers each chunk. Two rounds do this: the first adds up what
-the nodes of contexts of two bytes need, which is all that reaches the driver and is broadcast (at most
-255 * 65536 nodes); the second answers. A chunk then scores its texts, piece by piece. Requests and
-answers travel as compressed arrays, one row per chunk and part. Words of the baseline are counted
-and looked up in the same way, as exact words. Memory: a chunk's distinct grams, a part's grams, and a
-piece of text or the longest text. Chunks and parts grow in number with the input; what does not split
-further is the tree below one context of three bytes.
+At scale the model never is in one place. The tasks that read the texts cut them into chunks of at most
+CHUNK_BYTES. A chunk asks for the code lengths of its distinct grams and the counts of its distinct
+words, giving along how often its training texts hold each; its texts are packed beside these requests
+in one table in the shared folder. Requests go to parts, grams by the three bytes before the predicted
+one: a part folds all chunks' counts, builds its subtrees and answers each chunk. Two rounds do this: the
+first adds up what the nodes of contexts of two bytes need, which is all that reaches the driver and is
+broadcast (at most 255 * 65536 nodes); the second answers, and each chunk scores its texts. Requests and
+answers travel as compressed arrays, one row per chunk and part. Code lengths travel with 14 bits of
+precision. Memory: a chunk's distinct grams and words, a part's grams, and a piece of text or the longest
+text. Chunks and parts grow in number with the input; what does not split further is the tree below one
+context of three bytes.
 
 Defined results: null text is the empty text, with one token, the end; null ids count as the empty
 id, which is in the training part; repeated rows each count and each give a row; with no training
@@ -27,11 +28,13 @@ result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,7 @@ from .simhash_dedup import LOWER
 DEPTH = 6
 END = 0xFF
 #: Bytes of text of a chunk, per part of the tree, and that are counted or scored at once.
-CHUNK_BYTES, PART_BYTES, PIECE_BYTES = 8 << 20, 4 << 20, 2 << 20
-#: Rows of text in an Arrow batch are few; blobs are some ten kilobytes each.
+CHUNK_BYTES, PART_BYTES, PIECE_BYTES = 32 << 20, 4 << 20, 2 << 20
 U = np.uint64
 #: Bytes of context by which grams are dealt out; nodes of shorter contexts are built from their sums.
 SPLIT = 3
@@ -188,13 +190,13 @@ def counts_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.concatenate([first, [len(keys)]]))
 
 
-REQUEST = "kind byte, chunk int, part int, key binary, counts binary, n long"
+REQUEST = "kind byte, chunk long, part int, key binary, n binary"
 
 
 def _request(depth: int, n_parts: int):
-    """Per chunk: its distinct grams with their counts in training texts (kind 0, a row per part), and its distinct words (kind 1)."""
-    names = ("kind", "chunk", "part", "key", "counts", "n")
-    kinds = (pa.int8(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    """Per chunk and part: distinct grams (kind 0) and words (kind 1) with their counts in training texts; and the texts, packed by piece (kind 2)."""
+    names = ("kind", "chunk", "part", "key", "n")
+    kinds = (pa.int8(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def put_out(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -204,60 +206,80 @@ def _request(depth: int, n_parts: int):
         part = part_of(keys, n_parts)
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order])) + 1
-        rows = [(0, chunk, int(part[at[0]]), pack(keys[at]), pack(n[at].astype(np.int64)), None) for at in np.split(order, cuts)]
+        rows = [(0, chunk, int(part[at[0]]), pack(keys[at]), pack(n[at])) for at in np.split(order, cuts)]
+        by_part: dict[int, list[bytes]] = {}
+        for w in sorted(words):
+            by_part.setdefault(zlib.crc32(w) % n_parts, []).append(w)
+        rows += [(1, chunk, p, zstandard.ZstdCompressor(level=3).compress(b" ".join(some)), pack(np.array([words[w] for w in some], np.int64))) for p, some in by_part.items()]
         for i in range(0, len(rows), 200):
             yield put_out(rows[i : i + 200])
-        rows = [(1, chunk, None, w, None, c) for w, c in words.items()]
-        for i in range(0, len(rows), 20_000):
-            yield put_out(rows[i : i + 20_000])
 
     def run(batches):
-        now, have, words, held, size = None, None, Counter(), ([], []), 0
+        chunk, have, words, held, size, whole, piece = TaskContext.get().partitionId() << 32, None, Counter(), [], 0, 0, 0
 
-        def count():
-            nonlocal have, held, size
-            for texts, weight in zip(held, (1, 0), strict=True):
+        def of_piece():
+            nonlocal have, held, size, piece
+            for out in (False, True):
+                texts = [t for _, t, o in held if o == out]
                 if texts:
                     keys, n = counts_of(texts, depth)
-                    have = (keys, n * weight) if have is None else fold(np.concatenate([have[0], keys]), np.concatenate([have[1], n * weight]))
-            held, size = ([], []), 0
+                    n = n * (not out)
+                    have = (keys, n) if have is None else fold(np.concatenate([have[0], keys]), np.concatenate([have[1], n]))
+            rows = pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.large_binary())], ("doc_id", "text"))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(rows)
+            packed = (2, chunk, piece, sink.getvalue().to_pybytes(), None)
+            held, size, piece = [], 0, piece + 1
+            return put_out([packed])
 
         for batch in batches:
-            for chunk, held_out, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "held_out")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if chunk != now:
-                    if now is not None:
-                        count()
-                        yield from of_chunk(now, have, words)
-                    now, have, words = chunk, None, Counter()
+            for doc_id, out, raw in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 text = raw.translate(LOWER)
-                held[held_out].append(text)
-                size += len(text)
-                if held_out:
-                    for w in set(text.split()):
-                        words[w] += 0
+                held.append((doc_id, text, out))
+                if out:
+                    words.update(dict.fromkeys(text.split(), 0))
                 else:
                     words.update(text.split())
-                if size >= PIECE_BYTES:
-                    count()
-        if now is not None:
-            count()
-            yield from of_chunk(now, have, words)
+                size += len(text) + 1
+                whole += len(text) + 1
+                if size >= PIECE_BYTES or whole >= CHUNK_BYTES:
+                    yield of_piece()
+                if whole >= CHUNK_BYTES:
+                    yield from of_chunk(chunk, have, words)
+                    chunk, have, words, whole, piece = chunk + 1, None, Counter(), 0, 0
+        if held:
+            yield of_piece()
+        if have is not None:
+            yield from of_chunk(chunk, have, words)
 
     return run
 
 
+def words_in(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b" ")
+
+
 def parts(batches):
-    """(part, [(chunk, packed grams, grams, counts)]) from rows sorted by part."""
+    """(kind, rows) of each part, rows as (chunk, packed keys, keys, counts); the input is sorted by part and kind."""
     now, held = None, []
     for batch in batches:
-        for part, chunk, key, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "key", "counts")), strict=True):
-            if part != now:
+        for part, kind, chunk, key, n in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "chunk", "key", "n")), strict=True):
+            if (part, kind) != now:
                 if held:
-                    yield held
-                now, held = part, []
-            held.append((chunk, key, unpack(key, U), unpack(counts, np.int64)))
+                    yield now[1], held
+                now, held = (part, kind), []
+            held.append((chunk, key, words_in(key) if kind else unpack(key, U), unpack(n, np.int64)))
     if held:
-        yield held
+        yield now[1], held
+
+
+def counts_of_words(part) -> Counter:
+    out = Counter()
+    for _, _, words, n in part:
+        for w, c in zip(words, n.tolist(), strict=True):
+            out[w] += c
+    return out
 
 
 def tree_of(part, depth: int):
@@ -270,51 +292,61 @@ def tree_of(part, depth: int):
 
 
 def _sums(depth: int):
-    """What nodes of contexts of SPLIT - 1 bytes need of their children: counts and log Pw."""
+    """What nodes of contexts of SPLIT - 1 bytes need of their children: counts and log Pw. Slot -1: distinct words and words."""
 
     def run(batches):
-        for part in parts(batches):
-            for j, (u, zeros, ones, log_pw) in tree_of(part, depth)[2].items():
-                up, at = np.unique(u & U((1 << (8 * (SPLIT - 1) + j)) - 1), return_inverse=True)
-                sums = [np.bincount(at, x, len(up)) for x in (zeros, ones, log_pw)]
+        for kind, part in parts(batches):
+            if kind:
+                n = counts_of_words(part).values()
+                level = {-1: [np.zeros(1, U), np.array([sum(c > 0 for c in n)]), np.array([sum(n)]), np.zeros(1)]}
+            else:
+                level = {}
+                for j, (u, *sums) in tree_of(part, depth)[2].items():
+                    up, at = np.unique(u & U((1 << (8 * (SPLIT - 1) + j)) - 1), return_inverse=True)
+                    level[j] = [up, *(np.bincount(at, x, len(up)) for x in sums)]
+            for slot, (up, zeros, ones, log_pw) in level.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(up), j, np.int16)), pa.array(up.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(sums[2])],
+                    [pa.array(np.full(len(up), slot, np.int16)), pa.array(up.view(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(log_pw)],
                     ("slot", "key", "zeros", "ones", "log_pw"),
                 )
 
     return run
 
 
+def short(bits: np.ndarray) -> np.ndarray:
+    """To 14 bits of precision, so the last byte is zero."""
+    return ((bits.astype(np.float32).view(np.uint32) + np.uint32(1 << 8)) & np.uint32(0xFFFFFE00)).view(np.float32)
+
+
 def _answer(depth: int, shared):
-    """For each chunk that asks: its grams and their code lengths in bits."""
+    """For each chunk that asks: its grams and their code lengths in bits, or its words and their counts."""
 
     def run(batches):
         top = shared.value
-        for part in parts(batches):
-            keys, nodes, _ = tree_of(part, depth)
-            bits = log2_probability(keys, nodes, top, depth).astype(np.float32)
-            del nodes
-            for i in range(0, len(part), 200):
-                some = part[i : i + 200]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p[0] for p in some], pa.int32()), pa.array([p[1] for p in some], pa.binary()),
-                        pa.array([pack(bits[np.searchsorted(keys, p[2])]) for p in some], pa.binary()),
-                    ],
-                    ("chunk", "key", "bits"),
-                )
+        for kind, part in parts(batches):
+            if kind:
+                counts = counts_of_words(part)
+                answers = (np.array([counts[w] for w in p[2]], np.int64) for p in part)
+            else:
+                keys, nodes, _ = tree_of(part, depth)
+                bits = short(log2_probability(keys, nodes, top, depth))
+                del nodes
+                answers = (bits[np.searchsorted(keys, p[2])] for p in part)
+            rows = [(kind, p[0], p[1], pack(a)) for p, a in zip(part, answers, strict=True)]
+            for i in range(0, len(rows), 200):
+                columns = zip(zip(*rows[i : i + 200], strict=True), (pa.int8(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ("kind", "chunk", "key", "n"))
 
     return run
 
 
 def _score(depth: int, base: dict):
-    """Rows come sorted by chunk and kind: answers (0), words (1), then the texts (2)."""
+    """Rows come sorted by chunk and kind: answers for grams (0) and words (1), then the packed texts (2)."""
 
     def log_of(n):
-        return float(np.log10((n + 0.5) / base["denominator"]))
+        return np.log10((n + 0.5) / base["denominator"])
 
-    def scores(rows, keys, bits, words):
-        texts = [r[1] for r in rows]
+    def scores(ids, texts, keys, bits, words):
         mine, starts = grams(texts, depth)
         order = np.argsort(mine)
         ordered = mine[order]
@@ -323,53 +355,40 @@ def _score(depth: int, base: dict):
         per_place = np.empty(len(mine))
         per_place[order] = per_gram[np.cumsum(new) - 1]
         score = np.add.reduceat(per_place, starts) * np.log10(2)
-        n_words, known, sums = [], [], []
-        for t in texts:
-            found = [words[w] for w in t.split()]
-            n_words.append(len(found))
-            known.append(sum(k for k, _ in found))
-            sums.append(float(np.sum([x for _, x in found])))
-        n_words, known = np.array(n_words), np.array(known)
+        counts = [np.array([words[w] for w in t.split()], np.int64) for t in texts]
+        n_words, known, sums = (np.array(x) for x in zip(*((len(c), np.count_nonzero(c), log_of(c).sum()) for c in counts), strict=True))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([r[0] for r in rows], pa.int64()), pa.array(n_words + 1, pa.int64()), pa.array(known + (base["end"] > 0), pa.int64()),
-                pa.array(np.array(sums) + log_of(base["end"]), pa.float64()), pa.array(score, pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()),
+                ids.cast(pa.int64()), pa.array(n_words + 1, pa.int64()), pa.array(known + (base["end"] > 0), pa.int64()),
+                pa.array(sums + log_of(base["end"]), pa.float64()), pa.array(score, pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()),
             ],
             ("doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"),
         )
 
     def run(batches):
-        now, answers, words, known, held, size = None, [], {}, None, [], 0
+        now, answers, words, known = None, [], {}, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("chunk", "kind", "doc_id", "key", "bits", "n")]
-            for chunk, kind, doc_id, key, bits, n, raw in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for chunk, kind, key, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "key", "n")), strict=True):
                 if chunk != now:
-                    if held:
-                        yield scores(held, *known, words)
-                    now, answers, words, known, held, size = chunk, [], {}, None, [], 0
+                    now, answers, words, known = chunk, [], {}, None
                 if kind == 0:
-                    answers.append((unpack(key, U), unpack(bits, np.float32)))
+                    answers.append((unpack(key, U), unpack(n, np.float32)))
                 elif kind == 1:
-                    words[key] = (n > 0, log_of(n))
+                    words.update(zip(words_in(key), unpack(n, np.int64).tolist(), strict=True))
                 else:
                     if known is None:
                         keys, code = (np.concatenate(x) for x in zip(*answers, strict=True))
                         order = np.argsort(keys)
                         known, answers = (keys[order], code[order].astype(float)), []
-                    held.append((doc_id, raw.translate(LOWER)))
-                    size += len(raw)
-                    if size >= PIECE_BYTES:
-                        yield scores(held, *known, words)
-                        held, size = [], 0
-        if held:
-            yield scores(held, *known, words)
+                    rows = pa.ipc.open_stream(key).read_next_batch()
+                    yield scores(rows.column("doc_id"), rows.column("text").to_pylist(), *known, words)
 
     return run
 
 
-def top_of(sums: DataFrame, depth: int) -> dict:
+def top_of(sums: DataFrame) -> dict:
     """Nodes of contexts of fewer than SPLIT bytes; at most 255 * 65536 sums reach the driver."""
-    table = sums.groupBy("slot", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]).toArrow()
+    table = sums.toArrow()
     slot, key = table["slot"].to_numpy(), table["key"].to_numpy().view(U)
     level = {}
     for j in range(8):
@@ -392,28 +411,20 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     n_chunks, n_parts = (max(8, -(-size.bytes // b)) for b in (CHUNK_BYTES, PART_BYTES))
-    # The chunk follows from the row alone, so both readings of the texts agree.
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
     def dealt(df, n, *keys):
         return df.repartition(max(partitions(spark), n), keys[0]).sortWithinPartitions(*keys)
 
-    asked = materialize(dealt(rows.select("chunk", "held_out", "text"), n_chunks, "chunk").mapInArrow(_request(depth, n_parts), REQUEST), "asked")
-    grams_of = dealt(asked.where("kind = 0").select("part", "chunk", "key", "counts"), n_parts // 4, "part")
-    top = top_of(grams_of.mapInArrow(_sums(depth), "slot short, key long, zeros long, ones long, log_pw double"), depth)
-    answers = grams_of.mapInArrow(_answer(depth, spark.sparkContext.broadcast(top)), "chunk int, key binary, bits binary")
-
-    words = asked.where("kind = 1").select("chunk", "key", "n")
-    totals = materialize(words.groupBy("key").agg(F.sum("n").alias("n")), "words")
-    whole = totals.agg(F.count(F.when(F.col("n") > 0, 1)).alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    n, distinct = whole.n + size.ends, whole.distinct + (size.ends > 0)
+    asked = materialize(rows.mapInArrow(_request(depth, n_parts), REQUEST), "asked")
+    requests = dealt(asked.where("kind < 2"), n_parts // 4, "part", "kind")
+    sums = requests.mapInArrow(_sums(depth), "slot short, key long, zeros long, ones long, log_pw double")
+    sums = materialize(sums.groupBy("slot", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]), "sums")
+    words = sums.where("slot = -1").first()
+    n, distinct = (words.ones if words else 0) + size.ends, (words.zeros if words else 0) + (size.ends > 0)
     base = {"end": size.ends, "denominator": n + 0.5 * (distinct + 1)}
-    none = {"doc_id": "long", "key": "binary", "bits": "binary", "n": "long", "text": "string"}
-
-    def stream(df, kind):
-        return df.select("chunk", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
-
-    both = stream(answers, 0).unionByName(stream(words.select("chunk", "key").join(totals, "key"), 1)).unionByName(stream(rows.select("chunk", "doc_id", "text"), 2))
+    top = spark.sparkContext.broadcast(top_of(sums.where("slot >= 0")))
+    answers = requests.mapInArrow(_answer(depth, top), "kind byte, chunk long, key binary, n binary")
+    both = answers.unionByName(asked.where("kind = 2").select("kind", "chunk", "key", "n"))
     out = dealt(both, n_chunks, "chunk", "kind").mapInArrow(_score(depth, base), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
