@@ -74,24 +74,36 @@ def lower_ascii(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
+#: Rows of a few narrow columns that are broadcast at most; beyond it the join is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_within(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, counted; its columns should be few and narrow."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
     """Left join of rows to their group, groups unique by key with ``size`` rows each.
 
     A group of more than ``total / HOT_SHARE`` rows is hot; there are at most HOT_SHARE of these,
-    so they are broadcast. A row of a hot group gets a key of its own in the shuffled join, which
-    matches nothing and so spreads over all tasks.
+    so they are broadcast. A row of a hot group, or with a null in its key, gets a key of its own in
+    the shuffled join, which matches nothing and so spreads over all tasks.
     """
     rest = [c for c in groups.columns if c not in key]
-    least = max(total // HOT_SHARE, 1000)
+    least = max(total // HOT_SHARE, 100)
     hot = groups.where(F.col(size) > least).select(*[F.col(c).alias(f"_h_{c}") for c in groups.columns])
     cold = groups.where(F.col(size) <= least).select(
         F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key]).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in rest]
     )
     on = [F.col(c) == F.col(f"_h_{c}") for c in key]
     found = F.col(f"_h_{key[0]}").isNotNull()
+    null = F.lit(False)
+    for c in key:
+        null = null | F.col(c).isNull()
     out = rows.join(F.broadcast(hot), on, "left").withColumn(
         "_k",
-        F.when(found, F.concat(F.lit("\u0002"), F.monotonically_increasing_id().cast("string"))).otherwise(
+        F.when(found | null, F.concat(F.lit("\u0002"), F.monotonically_increasing_id().cast("string"))).otherwise(
             F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key])
         ),
     )
@@ -105,7 +117,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014): the number of rounds grows
     with the logarithm of the size. Each round is a few joins and aggregations with map-side
     combination; the round's edges are written to the shared folder, so lineage stays short, and
-    only a count and a checksum reach the driver. A hub's rows are split by AQE's skew join.
+    only a count and a checksum reach the driver. A hub's rows take its least neighbour by broadcast.
     """
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -119,11 +131,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, least, ["u"], "n", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least, "u")
+            join_groups(large, least, ["u"], "n", 2 * now[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
