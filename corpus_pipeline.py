@@ -4,55 +4,57 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 which is written as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
 
-The near-dedup stage takes five words and a wider radius than the operator's default query: copies
-with a shingle similarity of 0.8 or more differ by about 10 of 64 bits. The index is cut for the whole
-radius, so all pairs within RADIUS bits are looked at; MORE_RADIUS bits of a second fingerprint keep
-texts apart that only chance brings together.
+The near-dedup stage links texts whose sets of five-word shingles have a similarity of 0.8 or more:
+deletion-variant signatures propose pairs, their exact similarity decides.
+
+Rows are told apart by doc_id and a hash of the text, so rows that share an id, or have none, are
+judged one by one, and of repeated rows one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sidewind.llm.bpe import bpe
-from sidewind.llm.common import materialize
+from sidewind.llm.common import broadcast_within, materialize
 from sidewind.llm.decontam import keep_clean
 from sidewind.llm.exact_dedup import exact_dedup, normalise
-from sidewind.llm.simhash_dedup import near_dedup
+from sidewind.llm.near_copies import near_copies, text_hash
 from sidewind.llm.toxicity import fit, keep_below
 
-RADIUS, MORE_RADIUS = 10, 18
-#: What the index guarantees: all that can link.
-SURE = RADIUS
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that more likely than not have a severity of at least one grade."""
     return keep_below(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _drop(docs: DataFrame, judged: DataFrame, text_hash: Column) -> DataFrame:
+    """docs without the rows whose id and text hash judged(doc_id, hash, stays) drops, and with one each of those that stay."""
+    out = docs.withColumn("__hash", text_hash)
+    keys = judged.select(F.col("doc_id").alias("__a"), F.col("hash").alias("__b"), "stays")
+    same = out["doc_id"].cast("long").eqNullSafe(F.col("__a")) & (F.col("__hash") == F.col("__b"))
+    out = out.join(broadcast_within(keys.where("NOT stays").select("__a", "__b").distinct()), same, "left_anti")
+    again = materialize(keys.where("stays").groupBy("__a", "__b").count().where("count > 1").select("__a", "__b"), "again")
+    if again.isEmpty():
+        return out.drop("__hash")
+    first = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
+    one = out.join(broadcast_within(again), same, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return out.join(broadcast_within(again), same, "left_anti").unionByName(one).drop("__hash")
+
+
 def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of each group of equal texts, and one of repeated rows."""
-    dropped = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
-    others = dropped.where("NOT (__id <=> __keep)").select("__id", "__sha").distinct()
-    sha = F.sha2(normalise(docs.text), 256)
-    out = docs.withColumn("__text_sha", sha).join(others, docs.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left_anti")
-    again = dropped.where("__id <=> __keep").select("__id", "__sha").distinct()
-    if again.isEmpty():
-        return out.drop("__text_sha")
-    twice = docs.doc_id.eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
-    first = Window.partitionBy("doc_id", "__text_sha").orderBy(F.lit(1))
-    one = out.join(again, twice, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return out.join(again, twice, "left_anti").unionByName(one).drop("__text_sha")
+    judged = materialize(exact_dedup(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("hash"), F.expr("doc_id <=> keep_id").alias("stays")), "judged")
+    return _drop(docs, judged, F.sha2(normalise(docs.text), 256))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that near-copies link."""
-    groups = near_dedup(docs, words=5, radius=RADIUS, more_radius=MORE_RADIUS, sure=SURE)
-    others = groups.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__id"))
-    return docs.join(others, docs.doc_id.eqNullSafe(others["__id"]), "left_anti")
+    """Keeps the row with the smallest doc_id of each group that near copies link, and one of repeated rows."""
+    groups = near_copies(docs)
+    stays = F.expr("doc_id <=> keep_id AND text_hash = keep_hash")
+    judged = materialize(groups.select("doc_id", F.col("text_hash").alias("hash"), stays.alias("stays")), "judged")
+    return _drop(docs, judged, text_hash(docs.text))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
