@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sidewind.llm import common, decontam, exact_dedup, simhash_dedup
+from sidewind.llm import common, decontam, exact_dedup, near_copies, simhash_dedup
 from sidewind.llm.simhash_dedup import LOWER, WORD
 
 
@@ -101,6 +101,67 @@ def test_near_dedup_takes_smallest_id(spark):
     assert {r.doc_id: r.component_id for r in simhash_dedup.near_dedup(df).collect()} == {9: 4, 4: 4, 7: 4, 1: 1}
 
 
+def altered(rng, words, share):
+    return " ".join(w if rng.random() > share else f"x{rng.randrange(10**6)}" for w in words)
+
+
+@pytest.mark.parametrize("cell", [4000, 7])
+def test_near_copies_equal_brute_force(spark, monkeypatch, cell):
+    """Families from loose to tight: every group is one that links of similarity 0.8 make, in cells of any size."""
+    rng, texts = random.Random(11), []
+    for _ in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        share = rng.choice([0.005, 0.01, 0.02, 0.03])
+        texts += [" ".join(words), *(altered(rng, words, share) for _ in range(rng.randint(1, 9)))]
+    monkeypatch.setattr(near_copies, "CELL_ROWS", cell)
+    sets = [near_copies.shingle_set(t.encode(), 5) for t in texts]
+    up, links = list(range(len(texts))), 0
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_copies.similarity(sets[i], sets[j]) >= 0.8:
+                links += 1
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in near_copies.near_copies(df).collect()}
+    size = Counter(root(i) for i in range(len(texts)))
+    assert links > 150 and 5 < sum(n == 1 for n in size.values()) < 100
+    assert got == {i: (root(i), size[root(i)]) for i in range(len(texts)) if size[root(i)] > 1}
+
+
+@pytest.mark.parametrize(("hot", "dense"), [(20_000, 16), (20_000, 0), (30, 16)])
+def test_candidates_connect_all_that_meet(spark, monkeypatch, hot, dense):
+    """Against all pairs: those that share a variant and lie within the radius, with buckets searched or dealt out."""
+    rng, prints = random.Random(8), set()
+    centre = [rng.getrandbits(64) for _ in range(3)]
+    while len(prints) < 300:
+        base = rng.choice([centre, centre, [rng.getrandbits(64) for _ in range(3)]])
+        flip = rng.sample(range(192), rng.randint(0, 40))
+        prints.add(tuple(w ^ sum(1 << (f % 64) for f in flip if f // 64 == k) for k, w in enumerate(base)))
+    prints = sorted(prints)
+    monkeypatch.setattr(near_copies, "max", lambda *a: hot if a == (20_000, 0) else max(*a), raising=False)
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    signed = [[x - (1 << 64) if x >> 63 else x for x in p] for p in prints]
+    node = near_copies.node_of(*(np.array(x, np.uint64) for x in zip(*prints, strict=True))).view(np.int64).tolist()
+    edges = near_copies.candidates(spark.createDataFrame(signed, "a long, b long, c long"), len(prints))
+    comp = {r.node: r.component for r in common.connected_components(edges).collect()}
+    mask, pairs = (1 << near_copies.WIDTH) - 1, 0
+    for i, p in enumerate(prints):
+        for j in range(i):
+            x = [u ^ v for u, v in zip(p, prints[j], strict=True)]
+            meets = any((x[w] >> lo & mask).bit_count() <= 1 for w, lo in near_copies.CUT)
+            if meets and sum(u.bit_count() for u in x) <= near_copies.RADIUS:
+                pairs += 1
+                assert comp[node[i]] == comp[node[j]]
+    assert pairs > 500
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
