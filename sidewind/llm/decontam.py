@@ -1,18 +1,19 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every window of a document that has as many words as a benchmark item gets a 64-bit SimHash of its
-five-word shingles, weighted by how often they occur. A multi-index of Hamming blocks finds each item
-within ``radius`` bits: the fingerprint is cut into blocks, and of two fingerprints within the radius
-at least one block differs by at most radius // blocks bits, so looking up each block's near values
-misses none. Candidates are then verified by the exact similarity of their weighted shingles (sum of
-the smaller counts over sum of the larger), which must reach ``least``.
+five-word shingles, weighted by how often they occur. A multi-index of Hamming blocks leads from a
+window to the items of its size within ``radius`` bits: the fingerprint is cut into blocks, and of two
+fingerprints within the radius at least one block differs by at most radius // blocks bits, so looking
+up each block's value and all values so near finds every item. Candidates are then verified by the
+exact similarity of their weighted shingles (sum of the smaller counts over sum of the larger), which
+must reach ``least``.
 
-A window that shares no shingle with any item has similarity 0, so only windows that hold a shingle
-of an item of their size are fingerprinted. That skips no match at any threshold above 0.
+Windows are skipped only where verification could not succeed: a window whose shingles that occur in
+any item are fewer than ``least`` of the larger size reaches no similarity of ``least`` with any item.
 
 Size: documents are scanned once, in place, without a shuffle. The items' index is broadcast in
-blocks of at most BLOCK_WORDS words; a larger benchmark is scanned block by block. Long documents
-are windowed in slices, so memory does not grow with their length.
+blocks of at most BLOCK_WORDS words; of a larger benchmark each block's matches are written before the
+next block is made. Long documents are windowed in slices, so memory does not grow with their length.
 
 Defined results: null or empty texts and items match nothing; items of fewer than five words count
 as one shingle; a document shorter than an item is one window; equal items each match; of equally
@@ -22,7 +23,6 @@ result. Only the id and text columns are read, but for keep_clean, which passes
 
 from __future__ import annotations
 
-import bisect
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -30,20 +30,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, ship
 from .simhash_dedup import bits_of, majority, popcount, shingle_hashes
 
 SHINGLE, LEAST, RADIUS, BLOCKS = 5, 0.8, 23, 8
+WIDTH = 64 // BLOCKS
 #: Words of benchmark items that are broadcast at once; windows that are fingerprinted at once.
 BLOCK_WORDS, SLICE = 2_000_000, 8192
 
 
+class Sized:
+    """The items of one number of shingles: their fingerprints by block value."""
+
+    def __init__(self, items: list[int], prints: list[int]):
+        self.items, self.prints = np.array(items), np.array(prints, np.uint64)
+        self.order, self.first = [], []
+        for j in range(BLOCKS):
+            value = self.block(self.prints, j)
+            self.order.append(np.argsort(value, kind="stable"))
+            self.first.append(np.searchsorted(value[self.order[-1]], np.arange((1 << WIDTH) + 1)))
+
+    @staticmethod
+    def block(fps: np.ndarray, j: int) -> np.ndarray:
+        return ((fps >> np.uint64(j * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+
+    def within(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in items) of all fingerprints within the radius, by any block's near values."""
+        near = np.arange(1 << WIDTH)
+        near = near[popcount(near) <= radius // BLOCKS]
+        windows, places = [], []
+        for j in range(BLOCKS):
+            value = self.block(fps, j)[:, None] ^ near
+            low, high = self.first[j][value].ravel(), self.first[j][value + 1].ravel()
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            windows.append(np.repeat(np.repeat(np.arange(len(fps)), len(near)), n))
+            places.append(self.order[j][at])
+        pair = np.unique(np.concatenate(windows) * len(self.prints) + np.concatenate(places))
+        w, i = np.divmod(pair, len(self.prints))
+        ok = popcount(fps[w] ^ self.prints[i]) <= radius
+        return w[ok], i[ok]
+
+
 class Index:
-    """Items by size, with their shingles and Hamming blocks."""
+    """Items by their number of shingles, and which shingles occur in any of them."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, least: float = LEAST):
-        self.radius, self.least = radius, least
-        self.items, self.owners = [], defaultdict(list)
+        self.radius, self.least, self.items = radius, least, []
+        shingles, sized = defaultdict(set), defaultdict(list)
         for item_id, text in items:
             raw = (text or "").encode("utf-8", "surrogatepass")
             n_words = len(raw.split())
@@ -51,28 +85,11 @@ class Index:
             if not k:
                 continue
             hashes = shingle_hashes(raw, k)
-            counts = Counter(hashes.tolist())
-            fp = int(majority(bits_of(hashes).sum(0, dtype=np.int64), len(hashes)))
-            for h in counts:
-                self.owners[k, h].append(len(self.items))
-            self.items.append((item_id, n_words, len(hashes), counts, fp))
-        self.lengths = sorted({k for k, _ in self.owners})
-        self.shingles = {k: np.array(sorted(h for j, h in self.owners if j == k), np.uint64) for k in self.lengths}
-        near = radius // BLOCKS
-        width = 64 // BLOCKS
-        values = np.arange(1 << width, dtype=np.uint64)
-        #: For each value of a block: which of its values are within reach.
-        self.near = popcount(values[:, None] ^ values[None, :]) <= near
-
-    def candidates(self, fps: np.ndarray, fp: int) -> np.ndarray:
-        """Windows within the radius of an item: by any block first, then by the whole distance."""
-        width = 64 // BLOCKS
-        mask = (1 << width) - 1
-        maybe = np.zeros(len(fps), bool)
-        for j in range(BLOCKS):
-            maybe |= self.near[(fp >> (j * width)) & mask][((fps >> np.uint64(j * width)) & np.uint64(mask)).astype(np.int64)]
-        found = np.flatnonzero(maybe)
-        return found[popcount(fps[found] ^ np.uint64(fp)) <= self.radius]
+            shingles[k].update(hashes.tolist())
+            sized[k, len(hashes)].append(len(self.items))
+            self.items.append((item_id, n_words, Counter(hashes.tolist()), int(majority(bits_of(hashes).sum(0, dtype=np.int64), len(hashes)))))
+        self.known = {k: np.array(sorted(v), np.uint64) for k, v in sorted(shingles.items())}
+        self.sized = {km: Sized(at, [self.items[i][3] for i in at]) for km, at in sorted(sized.items())}
 
     def similarity(self, window: np.ndarray, item: Counter) -> float:
         counts = Counter(window.tolist())
@@ -82,62 +99,30 @@ class Index:
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item_id, first word, words, bits that differ, similarity): each item's best window."""
         raw = (text or "").encode("utf-8", "surrogatepass")
-        out = []
-        for k in self.lengths:
-            n_words = None
+        best: dict[int, tuple] = {}
+        for k, known in self.known.items():
             hashes = shingle_hashes(raw, k)
-            known = self.shingles[k]
             at = np.searchsorted(known, hashes)
             at[at == len(known)] = 0
-            hits = np.flatnonzero(known[at] == hashes) if len(hashes) else np.zeros(0, int)
-            if not len(hits):
+            hits = known[at] == hashes
+            if not hits.any():
                 continue
-            by_item: dict[int, list[int]] = defaultdict(list)
-            for p in hits.tolist():
-                for i in self.owners[k, int(hashes[p])]:
-                    by_item[i].append(p)
-            if len(hashes) == 1:
-                n_words = len(raw.split())
-            by_size: dict[int, list[int]] = defaultdict(list)
-            for i in by_item:
-                by_size[self.items[i][2]].append(i)
-            for m, items in sorted(by_size.items()):
+            n_words = len(raw.split()) if len(hashes) == 1 else None
+            seen = np.concatenate([[0], np.cumsum(hits)])
+            for (_, m), sized in ((km, v) for km, v in self.sized.items() if km[0] == k):
                 size = min(m, len(hashes))
-                last = len(hashes) - size
-                places = np.unique(np.concatenate([by_item[i] for i in items]))
-                # The starts of all windows that hold a hit, in runs.
-                low = np.clip(places - size + 1, 0, last)
-                high = np.minimum(places, last)
-                runs, a, b = [], int(low[0]), int(high[0])
-                for x, y in zip(low[1:].tolist(), high[1:].tolist(), strict=True):
-                    if x <= b + 1:
-                        b = max(b, y)
-                    else:
-                        runs.append((a, b))
-                        a, b = x, y
-                runs.append((a, b))
-                best: dict[int, tuple] = {}
-                for a, b in runs:
-                    for start in range(a, b + 1, SLICE):
-                        stop = min(b + 1, start + SLICE)
-                        part = hashes[start : stop - 1 + size]
-                        sums = np.zeros((len(part) + 1, 64), np.int32)
-                        np.cumsum(bits_of(part), axis=0, out=sums[1:])
-                        fps = majority(sums[size:] - sums[:-size], size)
-                        for i in items:
-                            ps = by_item[i]
-                            item_id, words, _, counts, fp = self.items[i]
-                            for w in self.candidates(fps, fp).tolist():
-                                s = start + w
-                                near = bisect.bisect_left(ps, s + size) - bisect.bisect_left(ps, s)
-                                # No more shingles can be shared than hits lie in the window.
-                                if near < self.least * max(size, m):
-                                    continue
-                                sim = self.similarity(hashes[s : s + size], counts)
-                                if sim >= self.least and (i not in best or sim > best[i][-1]):
-                                    best[i] = (item_id, s, min(words, n_words or words), int(popcount(fps[w] ^ np.uint64(fp))), sim)
-                out += [best[i] for i in sorted(best)]
-        return out
+                starts = np.flatnonzero(seen[size:] - seen[:-size] >= self.least * max(size, m) - 1e-9)
+                for part in np.split(starts, np.flatnonzero((np.diff(starts) > size) | (np.arange(1, len(starts)) % SLICE == 0)) + 1) if len(starts) else ():
+                    sums = np.zeros((part[-1] - part[0] + size + 1, 64), np.int32)
+                    np.cumsum(bits_of(hashes[part[0] : part[-1] + size]), axis=0, out=sums[1:])
+                    fps = majority(sums[part - part[0] + size] - sums[part - part[0]], size)
+                    for w, i in zip(*(x.tolist() for x in sized.within(fps, self.radius)), strict=True):
+                        s, item = int(part[w]), int(sized.items[i])
+                        item_id, words, counts, fp = self.items[item]
+                        sim = self.similarity(hashes[s : s + size], counts)
+                        if sim >= self.least and (item not in best or sim > best[item][-1]):
+                            best[item] = (item_id, s, min(words, n_words or words), int(popcount(fps[w] ^ np.uint64(fp))), sim)
+        return [best[i] for i in sorted(best)]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
@@ -171,10 +156,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    found = None
-    for block in _blocks(benchmark, item_id, item_text):
-        part = rows.mapInArrow(scan(spark.sparkContext.broadcast(Index(block, radius, least))), "doc_id long, item_id long, first_word long, n_words long, bits int, similarity double")
-        found = part if found is None else found.unionByName(part)
+    found, blocks = None, _blocks(benchmark, item_id, item_text)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        shared = spark.sparkContext.broadcast(Index(block, radius, least))
+        part = rows.mapInArrow(scan(shared), "doc_id long, item_id long, first_word long, n_words long, bits int, similarity double")
+        if after is not None or found is not None:
+            part = materialize(part, "matches")
+            shared.destroy()
+        found, block = part if found is None else found.unionByName(part), after
     return found
 
 

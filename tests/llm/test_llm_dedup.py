@@ -217,11 +217,26 @@ def test_decontamination_equals_brute_force(spark, sf):
 
 def test_blocks_miss_nothing_within_radius():
     rng = np.random.default_rng(2)
-    index = decontam.Index([])
-    fp = int(rng.integers(0, 1 << 63))
-    fps = np.array([fp ^ int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(0, 40) for _ in range(20)], np.uint64)
-    want = np.flatnonzero(np.bitwise_count(fps ^ np.uint64(fp)) <= index.radius)
-    assert index.candidates(fps, fp).tolist() == want.tolist()
+    items = rng.integers(0, 1 << 63, 30).astype(np.uint64)
+    index = decontam.Sized(list(range(30)), items.tolist())
+    fps = np.array([int(items[k % 30]) ^ int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in range(0, 40) for _ in range(20)], np.uint64)
+    far = np.bitwise_count(fps[:, None] ^ items[None, :])
+    for radius in (decontam.RADIUS, 7, 0):
+        want = list(zip(*np.nonzero(far <= radius), strict=True))
+        assert list(zip(*index.within(fps, radius), strict=True)) == want and len(want) >= 20
+
+
+def test_benchmark_in_blocks_and_ties(spark, monkeypatch):
+    """Several blocks of items give the same matches; of equally similar windows the first counts, and equal items each match."""
+    item = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "a b c d e f g")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y {item} z"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+    want = [(1, 1, 1, 1.0), (1, 2, 1, 1.0), (2, 3, 0, 1.0)]
+    for words in (decontam.BLOCK_WORDS, 1):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", words)
+        got = sorted((r.doc_id, r.item_id, r.first_word, r.similarity) for r in decontam.contaminated(docs, bench).collect())
+        assert got == want
+        assert [r.doc_id for r in decontam.keep_clean(docs, bench).collect()] == [3]
 
 
 def test_shared_folders_can_be_cleared(spark, tmp_path, monkeypatch):
