@@ -75,3 +75,24 @@ def test_url_edges(spark):
     got = sorted((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df).collect())
     assert got == [("1", "", "", None, "allow"), ("2", "", "", None, "allow"), ("3", "", "", None, "allow"), ("4", "a.example.com", "/en/7", "example.com/en/7", "allow"), ("4", "a.example.com", "/en/7", "example.com/en/7", "allow"), ("None", "y", "", None, "allow")]
     assert url_filter.url_filter(df.where("false")).count() == 0
+
+
+def test_decisions_spread_over_redirects(spark):
+    """Chains, targets that are no pages, relative and protocol-relative addresses, and allow before block."""
+    link, go = '<LINK href="{}" rel="canonical">', "<meta http-equiv='refresh' content='3; url={}'>"
+    rows = [
+        (1, "http://a.test/1", link.format("http://b.test/2")),
+        (2, "https://b.test/2/", go.format("/3")),
+        (3, "http://b.test/3?utm_source=x", link.format("http://unseen.com/en/9")),
+        (4, "http://c.test/1", link.format("//www.example.com/en/7/x")),
+        (5, "http://c.test/2", link.format("1")),
+        (6, "http://c.test/3", link.format("http://c.test/2") + go.format("http://d.org/es/1")),
+        (7, "http://d.org/es/1", None),
+        (8, "http://e.test/1", link.format("http://e.test/1")),
+        (9, "http://f.test/1", link.format("")),
+        (10, "http://g.com/en/1", link.format("http://www.example.com/en/7/x")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(df).collect()}
+    assert {i: v for i, (_, v) in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block"}
+    assert got[7][0] == "org/es/" and got[10][0] == "com/en/" and got[1][0] is None
