@@ -44,7 +44,7 @@ from .simhash_dedup import LOWER
 DEPTH = 6
 END = 0xFF
 #: Bytes of text of a chunk, per part of the tree, and that are counted or scored at once.
-CHUNK_BYTES, PART_BYTES, PIECE_BYTES = 32 << 20, 4 << 20, 2 << 20
+CHUNK_BYTES, PART_BYTES, PIECE_BYTES = 16 << 20, 4 << 20, 2 << 20
 U = np.uint64
 #: Bytes of context by which grams are dealt out; nodes of shorter contexts are built from their sums.
 SPLIT = 3
@@ -425,7 +425,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     top = spark.sparkContext.broadcast(top_of(sums.where("slot >= 0")))
     answers = requests.mapInArrow(_answer(depth, top), "kind byte, chunk long, key binary, n binary")
     both = answers.unionByName(asked.where("kind = 2").select("kind", "chunk", "key", "n"))
-    out = dealt(both, n_chunks, "chunk", "kind").mapInArrow(_score(depth, base), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    # More tasks than chunks, so few tasks get two.
+    out = dealt(both, 3 * n_chunks, "chunk", "kind").mapInArrow(_score(depth, base), "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
