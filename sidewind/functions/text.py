@@ -36,8 +36,8 @@ def url_tail(url: Column) -> Column:
 
 
 def x_of_y(text: Column) -> Column:
-    """'X of Y' as struct(landed, attempted); (0, 0) if it is not that."""
-    part = lambda k: F.coalesce(F.regexp_extract(text, r"^\s*(\d+)\s+of\s+(\d+)\s*$", k).try_cast("int"), F.lit(0))
+    """'X of Y', whatever follows, as struct(landed, attempted); (0, 0) if it is not that."""
+    part = lambda k: F.coalesce(F.regexp_extract(text, r"^\s*(\d+)\s+of\s+(\d+)", k).try_cast("int"), F.lit(0))
     return F.struct(part(1).alias("landed"), part(2).alias("attempted"))
 
 
@@ -45,19 +45,24 @@ def first_int(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(text, r"(\d+)", 1).try_cast("int"), F.lit(0))
 
 
+def _clock(text: Column) -> Column:
+    part = lambda k: F.regexp_extract(text, r"^\s*(\d+):(\d{2})", k).try_cast("int")
+    return part(1) * 60 + part(2)
+
+
 def clock_seconds(text: Column) -> Column:
-    m = F.regexp_extract(text, r"^\s*(\d+):(\d+)\s*$", 1).try_cast("int")
-    s = F.regexp_extract(text, r"^\s*(\d+):(\d+)\s*$", 2).try_cast("int")
-    return F.coalesce(m * 60 + s, F.lit(0))
+    """'M:SS', whatever follows, in seconds; 0 if it is not that."""
+    return F.coalesce(_clock(text), F.lit(0))
 
 
 def elapsed_seconds(round_no: Column, clock: Column) -> Column:
-    return (F.greatest(round_no, F.lit(1)) - 1) * 300 + clock_seconds(clock)
+    """Seconds from the start of the bout; 0 if the clock cannot be read."""
+    return F.coalesce((F.greatest(round_no, F.lit(1)) - 1) * 300 + _clock(clock), F.lit(0))
 
 
 def month_date(text: Column) -> Column:
-    """'May. 30, 2026' and the like, full or short month names, as a date; null if it is not that."""
-    p = r"^\s*([A-Za-z]+)\.?\s+(\d{1,2}),\s*(\d{4})\s*$"
+    """'May. 30, 2026' and the like, full or short month names, with or without dots and comma, as a date; null if it is not that."""
+    text, p = F.replace(text, F.lit("."), F.lit("")), r"^\s*([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(text, p, 1), 1, 3)))
     iso = F.concat_ws("-", F.regexp_extract(text, p, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, p, 2), 2, "0"))
     return F.when(month > 0, iso.try_cast("date"))
@@ -78,14 +83,15 @@ def ordered_contains(text: Column, names: list[str], otherwise: Column) -> Colum
 
 def class_of(text: Column) -> Column:
     order = [c for c in CLASSES if c != "heavyweight"] + ["heavyweight"]
-    return ordered_contains(text, order, strip_ws(F.regexp_replace(F.lower(text), "bout", "")))
+    return ordered_contains(text, order, strip_ws(F.regexp_replace(F.lower(text), r"\s*bout\s*$", "")))
 
 
 def method_of(text: Column) -> Column:
     low = F.lower(text)
     return (
-        F.when(low.contains("ko"), "KO/TKO").when(low.contains("sub"), "Submission").when(low.contains("unanimous"), "Decision - Unanimous")
-        .when(low.contains("split"), "Decision - Split").when(low.contains("majority"), "Decision - Majority").when(low.contains("dec"), "Decision")
+        F.when(low.contains("ko"), "KO/TKO").when(low.contains("sub"), "Submission")
+        .when(low.contains("s-dec") | low.contains("split"), "Decision - Split").when(low.contains("m-dec") | low.contains("majority"), "Decision - Majority")
+        .when(low.contains("dec") | low.contains("unanimous"), "Decision - Unanimous")
         .when(low.contains("dq") | low.contains("disq"), "DQ").when(low.contains("no contest") | low.contains("cnc"), "CNC").otherwise(F.trim(text))
     )
 
@@ -105,13 +111,15 @@ def is_finish(method: Column) -> Column:
 
 
 def height_cm(text: Column) -> Column:
-    p = r"(\d+)'\s*(\d+)?"
-    feet, inches = F.regexp_extract(text, p, 1).try_cast("int"), F.coalesce(F.regexp_extract(text, p, 2).try_cast("int"), F.lit(0))
+    """Feet and inches; null where either is missing."""
+    p = r"(\d+)'\s*(\d+)"
+    feet, inches = F.regexp_extract(text, p, 1).try_cast("int"), F.regexp_extract(text, p, 2).try_cast("int")
     return F.bround((feet * 12 + inches) * F.lit(2.54), 1)
 
 
 def reach_cm(text: Column) -> Column:
-    return F.bround(F.regexp_extract(text, r"([\d.]+)\s*\"", 1).try_cast("double") * 2.54, 1)
+    """The first number, in inches, with or without a mark."""
+    return F.bround(F.regexp_extract(text, r"([\d.]+)", 1).try_cast("double") * 2.54, 1)
 
 
 def american_odds(text: Column) -> Column:

@@ -61,15 +61,20 @@ def write_version(df: DataFrame, root: str, version: int, sort: list[str] | None
     return path
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under root, by the store's own listing."""
+def versions(spark: SparkSession, root: str, torn: bool = False) -> list[int]:
+    """Complete versions under root, by the store's own listing; torn: also those whose writer died."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(conf)
     if not fs.exists(at):
         return []
     found = [s.getPath() for s in fs.listStatus(at)]
-    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted(int(p.getName()[2:]) for p in found if p.getName().startswith("v=") and (torn or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))))
+
+
+def next_version(spark: SparkSession, root: str) -> int:
+    """A number that no version has, so a retry never meets what a dead writer left."""
+    return max(versions(spark, root, torn=True), default=0) + 1
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:

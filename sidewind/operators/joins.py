@@ -100,9 +100,31 @@ def best_match(left: DataFrame, right: DataFrame, block: list[str], floors: tupl
     return ok.groupBy("id").agg(F.max_by("rid", F.struct(F.col("_x") + F.col("_y"), -F.col("rid"))).alias("rid"), F.max(F.col("_x") + F.col("_y")).alias("score"))
 
 
-def closest(names: DataFrame, candidates: DataFrame, block: Column, candidate_block: Column, cutoff: float = 0.8) -> DataFrame:
-    """names(name) with the most similar of candidates(candidate) in its block, if it reaches the cutoff."""
-    pairs = names.withColumn("_b", block).join(candidates.withColumn("_b", candidate_block), "_b")
+def bag_prefix(name: Column, cutoff: float) -> Column:
+    """The letters by which names of a ratio of at least ``cutoff`` are sure to meet.
+
+    The ratio of two names is at most twice their common letters over all letters, counted with
+    repeats. So of a name of n letters at least n * cutoff / (2 - cutoff) must be common, and in any
+    one order of numbered letters ("s2" is the second s) the first n - common + 1 of both names share one.
+    """
+    letters = F.split(F.coalesce(name, F.lit("")), "")
+    letters = F.filter(letters, lambda x: x != "")
+    numbered = F.transform(letters, lambda x, i: F.struct(-F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)), x))
+    n = F.size(letters)
+    need = F.ceil(n * F.lit(cutoff / (2 - cutoff)) - 1e-9).cast("int")
+    return F.slice(F.array_sort(numbered), 1, F.greatest(n - need + 1, F.lit(0)))
+
+
+def closest(names: DataFrame, candidates: DataFrame, block: Column | None = None, candidate_block: Column | None = None, cutoff: float = 0.8) -> DataFrame:
+    """names(name) with the most similar of candidates(candidate), in its block if blocks are given, if it reaches the cutoff.
+
+    Without blocks every pair that can reach the cutoff is compared: they meet by bag_prefix().
+    """
+    if block is None:
+        l = names.select("name", F.explode(bag_prefix(F.col("name"), cutoff)).alias("_b"))
+        pairs = l.join(candidates.select("candidate", F.explode(bag_prefix(F.col("candidate"), cutoff)).alias("_b")), "_b").select("name", "candidate").distinct()
+    else:
+        pairs = names.withColumn("_b", block).join(candidates.withColumn("_b", candidate_block), "_b")
     scored = pairs.withColumn("score", similarity(F.col("name"), F.col("candidate"))).where(F.col("score") >= cutoff)
     best = scored.groupBy("name").agg(F.max_by("candidate", F.struct("score", "candidate")).alias("match"), F.max("score").alias("score"))
     return names.join(best, "name", "left")

@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import finish_class
 from .aggregates import auc
+from .evaluate import purged_folds
 
 KINDS = ("lr", "rf", "gbt", "mlp")
 
@@ -104,6 +106,47 @@ def stack(valid: DataFrame, columns: list[str], target: str = "target") -> Pipel
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_vector"), LogisticRegression(featuresCol="_vector", labelCol=target)]).fit(valid)
 
 
+def tune(df: DataFrame, kind: str, grid: list[dict], order: str = "date", target: str = "target", folds: int = 5, gap_days: int = 180, least: tuple[int, int] = (50, 20)) -> tuple[dict, DataFrame]:
+    """The parameters of the grid with the least mean Brier score over purged folds, and (params, fold, brier, accuracy) of all.
+
+    A model is fitted on each fold's training rows, which end gap_days before its test rows. At equal
+    scores the earlier parameters win. ``df`` is cut into folds once.
+    """
+    rows = purged_folds(df, order, folds, gap_days, least).persist()
+    found = sorted(r.fold for r in rows.select("fold").distinct().collect())
+    p, y = F.col("_p"), F.col(target).cast("double")
+    out = []
+    for at, params in enumerate(grid):
+        for fold in found:
+            part = rows.where(F.col("fold") == fold)
+            scored = score(fit(kind, part.where("role = 'train'"), target, **params), part.where("role = 'test'"), "_p")
+            r = scored.agg(F.avg((p - y) ** 2).alias("brier"), F.avg(((p >= 0.5).cast("double") == y).cast("double")).alias("accuracy")).first()
+            out.append((at, str(params), fold, r.brier, r.accuracy))
+    rows.unpersist()
+    means = {at: sum(r[3] for r in out if r[0] == at) / len(found) for at in range(len(grid))} if found else {}
+    best = grid[min(means, key=lambda at: (means[at], at))] if means else grid[0]
+    return best, df.sparkSession.createDataFrame([r[1:] for r in out], "params string, fold int, brier double, accuracy double")
+
+
+def finish_rows(m: DataFrame, methods: DataFrame) -> DataFrame:
+    """Matrix rows with ``finish``: 0 knock-out, 1 submission, 2 decision; other endings are left out."""
+    named = methods.select("bout_id", finish_class(F.col("method")).alias("finish"))
+    return m.join(named, "bout_id").where("finish >= 0")
+
+
+def fit_finish(train: DataFrame, kind: str = "lr", **params) -> PipelineModel:
+    """A model of three classes over finish_rows(), with balanced weights."""
+    return fit(kind, train, "finish", **({"classes": 3} if kind == "mlp" else {}), **params)
+
+
+def score_finish(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """Adds p_ko, p_sub, p_dec and the most likely ``finish_pick``."""
+    keep = df.columns
+    p = vector_to_array("probability")
+    out = model.transform(df).select(*keep, *[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(("p_ko", "p_sub", "p_dec"))], F.col("prediction").cast("int").alias("finish_pick"))
+    return out
+
+
 def importance(model: PipelineModel, df: DataFrame, features: list[str] | None = None, target: str = "target", repeats: int = 3, seed: int = 42) -> DataFrame:
     """(feature, drop): the loss of accuracy when a feature's values are dealt anew among the rows.
 

@@ -12,7 +12,7 @@ import math
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ELO_DIVISOR, ELO_K, ELO_K_NEW, ELO_NEW_BOUTS, ELO_START
@@ -59,7 +59,8 @@ def elo_global(bouts: DataFrame) -> DataFrame:
     """(bout_id, elo_r, elo_b, after_r, after_b) of bouts(bout_id, ts, r_id, b_id, red_win), in order of (ts, bout_id)."""
     ship(bouts.sparkSession)
     rows = bouts.select("ts", F.col("bout_id").cast("long").alias("bout_id"), F.col("r_id").cast("long").alias("r_id"), F.col("b_id").cast("long").alias("b_id"), F.col("red_win").cast("double").alias("red_win"))
-    return rows.coalesce(1).sortWithinPartitions("ts", "bout_id").mapInArrow(_fold, ELO_SCHEMA)
+    # The exchange to one task comes after the scan and the joins before it, which stay parallel.
+    return rows.repartition(1).sortWithinPartitions("ts", "bout_id").mapInArrow(_fold, ELO_SCHEMA)
 
 
 def _by_class(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,17 +72,23 @@ def _by_class(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def class_key() -> Column:
+    """Classes in one spelling: lower case, without outer space; null is the empty class."""
+    return F.coalesce(F.lower(F.trim("class")), F.lit("")).alias("class")
+
+
 def elo_by_class(bouts: DataFrame) -> DataFrame:
     ship(bouts.sparkSession)
-    rows = bouts.select("class", "ts", F.col("bout_id").cast("long").alias("bout_id"), "r_id", "b_id", F.col("red_win").cast("double").alias("red_win"))
+    rows = bouts.select(class_key(), "ts", F.col("bout_id").cast("long").alias("bout_id"), "r_id", "b_id", F.col("red_win").cast("double").alias("red_win"))
     return rows.groupBy("class").applyInPandas(_by_class, ELO_SCHEMA)
 
 
-def current_elo(bouts: DataFrame, rated: DataFrame) -> DataFrame:
-    """(participant_id, elo, bouts) after the last bout of each."""
-    b = bouts.select("bout_id", "ts", "r_id", "b_id").join(rated, "bout_id")
-    long = b.select("ts", "bout_id", F.inline(F.array(F.struct(F.col("r_id").alias("participant_id"), F.col("after_r").alias("elo")), F.struct(F.col("b_id").alias("participant_id"), F.col("after_b").alias("elo")))))
-    return long.groupBy("participant_id").agg(F.max_by("elo", F.struct("ts", "bout_id")).alias("elo"), F.count("*").alias("bouts"))
+def current_elo(bouts: DataFrame, rated: DataFrame, by_class: bool = False) -> DataFrame:
+    """(participant_id, elo, bouts) after the last bout of each; by_class, of ratings by class: (class, participant_id, elo, bouts)."""
+    own = ["class"] if by_class else []
+    b = bouts.select(*([class_key()] if by_class else []), "bout_id", "ts", "r_id", "b_id").join(rated, "bout_id")
+    long = b.select(*own, "ts", "bout_id", F.inline(F.array(F.struct(F.col("r_id").alias("participant_id"), F.col("after_r").alias("elo")), F.struct(F.col("b_id").alias("participant_id"), F.col("after_b").alias("elo")))))
+    return long.groupBy(*own, "participant_id").agg(F.max_by("elo", F.struct("ts", "bout_id")).alias("elo"), F.count("*").alias("bouts"))
 
 
 def strength_of_schedule(side_rows: DataFrame, rated: DataFrame, n: int = 5) -> DataFrame:
@@ -112,7 +119,7 @@ def glicko_update(r: float, rd: float, sigma: float, games: list[tuple[float, fl
     """One rating period: games of (opponent's rating, opponent's deviation, score). After Glickman's published steps."""
     mu, phi = (r - G_R) / SCALE, rd / SCALE
     if not games:
-        return r, min(math.hypot(phi, sigma) * SCALE, G_RD), sigma
+        return r, math.hypot(phi, sigma) * SCALE, sigma
     total = weight = 0.0
     for r_j, rd_j, s in games:
         g = 1 / math.sqrt(1 + 3 * (rd_j / SCALE) ** 2 / math.pi**2)
@@ -152,8 +159,16 @@ def glicko_update(r: float, rd: float, sigma: float, games: list[tuple[float, fl
 GLICKO_SCHEMA = "bout_id long, r_rating double, r_rd double, r_sigma double, b_rating double, b_rd double, b_sigma double"
 
 
-def glicko_by_class(bouts: DataFrame) -> DataFrame:
-    """Ratings at the start of each bout's quarter. Idle participants' deviation grows once per quarter in which any class has a bout; the list of quarters is at most four per year."""
+GLICKO_NOW = "class string, participant_id long, rating double, rd double, sigma double"
+
+
+def current_glicko(bouts: DataFrame) -> DataFrame:
+    """(class, participant_id, rating, rd, sigma) after the last quarter."""
+    return glicko_by_class(bouts, current=True)
+
+
+def glicko_by_class(bouts: DataFrame, current: bool = False) -> DataFrame:
+    """Ratings at the start of each bout's quarter. Idle participants' deviation grows, without bound, once per quarter in which any class has a bout; the list of quarters is at most four per year."""
     ship(bouts.sparkSession)
     quarter = F.date_trunc("quarter", "ts").cast("date")
     quarters = sorted(r[0] for r in bouts.select(quarter.alias("q")).distinct().collect())
@@ -176,7 +191,9 @@ def glicko_by_class(bouts: DataFrame) -> DataFrame:
                     games.setdefault(b, []).append((x[0], x[1], 1 - s))
             new = {k: glicko_update(*state.get(k, fresh), games.get(k, [])) for k in state.keys() | games.keys()}
             state = new
+        if current:
+            return pd.DataFrame([(pdf["class"].iloc[0], int(k), *v) for k, v in sorted(state.items())], columns=[c.split(" ")[0] for c in GLICKO_NOW.split(", ")])
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in GLICKO_SCHEMA.split(", ")])
 
-    rows = bouts.select("class", "ts", F.col("bout_id").cast("long").alias("bout_id"), "r_id", "b_id", F.col("red_win").cast("double").alias("red_win"), quarter.alias("q"))
-    return rows.groupBy("class").applyInPandas(run, GLICKO_SCHEMA)
+    rows = bouts.select(class_key(), "ts", F.col("bout_id").cast("long").alias("bout_id"), "r_id", "b_id", F.col("red_win").cast("double").alias("red_win"), quarter.alias("q"))
+    return rows.groupBy("class").applyInPandas(run, GLICKO_NOW if current else GLICKO_SCHEMA)

@@ -7,14 +7,16 @@ means; ``current=True`` gives the online variant that includes it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.safe import div
 
-#: Earlier rows that an exponentially weighted mean looks at; what lies before weighs under 1e-15.
-EWMA_ROWS = 90
+#: What lies before the rows that an exponentially weighted mean looks at weighs less than this.
+EWMA_REST = 1e-16
 
 
 def timeline() -> WindowSpec:
@@ -56,7 +58,7 @@ def last_std(c: Column, n: int, current: bool = False) -> Column:
 
 
 def slope(c: Column, n: int = 5, need: int = 5, current: bool = False) -> Column:
-    """Slope of the last n values against their order; 0 with fewer than ``need``."""
+    """Slope of the last n values against their order; 0 with fewer than ``need``, which online states set to 2."""
     w = last(n, current)
     out = F.regr_slope(c, F.col("_at")).over(w)
     return F.when(F.count(c).over(w) >= need, F.coalesce(out, F.lit(0.0))).otherwise(0.0)
@@ -70,7 +72,8 @@ def with_order(df):
 def ewma(c: Column, span: int = 5, current: bool = False) -> Column:
     """Exponentially weighted mean (weights adjusted at the start); null with no row."""
     q = 1 - 2 / (span + 1)
-    values = F.collect_list(c).over(timeline().rowsBetween(-EWMA_ROWS, 0 if current else -1))
+    rows = math.ceil(math.log(EWMA_REST) / math.log(q)) if q else 1
+    values = F.collect_list(c).over(timeline().rowsBetween(-rows, 0 if current else -1))
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
     return F.aggregate(
         values, zero, lambda a, v: F.struct((a.n * q + v).alias("n"), (a.d * q + 1).alias("d")), lambda a: F.try_divide(a.n, a.d)

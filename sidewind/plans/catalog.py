@@ -154,6 +154,25 @@ def _(spark, d):
     return serve.search(table(spark, d, "customer"), "00001", "c_name").select("c_custkey", "c_name")
 
 
+@query("q_parse_loose", """
+    SELECT event_id, CAST(floor(value) AS INTEGER) AS landed, CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 AS INTEGER) AS kind,
+           CAST(CAST(ts AS DATE) AS VARCHAR) AS d1, CAST(CAST(ts AS DATE) AS VARCHAR) AS d2,
+           CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 0 THEN 'Decision - Unanimous' WHEN 1 THEN 'Decision - Split' WHEN 2 THEN 'Decision - Majority' ELSE 'Decision - Unanimous' END AS method,
+           round(CAST((event_id % 90) * 2.54 AS DOUBLE), 1) AS reach, CAST(NULL AS DOUBLE) AS height, CAST((event_id % 5) * 300 + event_id % 60 AS INTEGER) AS elapsed, 0 AS unread
+    FROM events""")
+def _(spark, d):
+    """The forms that sources write beside the usual ones: percentages, no comma, codes, no inch mark, no inches, words after a clock."""
+    e, k, v, i = table(spark, d, "events"), F.get_json_object("props", "$.k").cast("int") % 4, F.floor("value").cast("int").cast("string"), F.col("event_id")
+    code = F.element_at(F.array(*map(F.lit, ("U-DEC", "S-DEC", "M-DEC", "dec"))), k + 1)
+    clock = F.concat(F.lit("0:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(" left"))
+    return e.select(
+        "event_id", text.x_of_y(F.concat(v, F.lit(" of 9 (50%)"))).landed.alias("landed"), k.alias("kind"),
+        day(text.month_date(F.date_format("ts", "MMM d yyyy"))).alias("d1"), day(text.month_date(F.date_format("ts", "MMMM. d, yyyy 'GMT'"))).alias("d2"), text.method_of(code).alias("method"),
+        F.round(text.reach_cm((i % 90).cast("string")), 1).alias("reach"), text.height_cm(F.lit("6'")).alias("height"),
+        text.elapsed_seconds((i % 5 + 1).cast("int"), clock).alias("elapsed"), text.elapsed_seconds(F.lit(3), F.lit("--")).alias("unread"),
+    )
+
+
 # Dates.
 @query("q_age_quarter", "SELECT o_orderkey, round(date_diff('day', DATE '1980-02-29', CAST(o_orderdate AS DATE)) / 365.25, 9) AS age, CAST(date_diff('day', DATE '1980-02-29', CAST(o_orderdate AS DATE)) // 365 AS INTEGER) AS age_whole, CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) AS VARCHAR) AS quarter FROM orders")
 def _(spark, d):
@@ -579,14 +598,49 @@ def _rated(b: DataFrame) -> DataFrame:
     return b.select("bout_id", "ts", "class", "r_id", "b_id", "red_win")
 
 
-@query("q_elo_global")
+def _elo_sql(key: str) -> str:
+    """Replays the bouts one by one, with all ratings in a map; key: what a participant's rating is kept by."""
+    k = lambda at: f"coalesce(m[{key.format(at)}], {{'e': 1400.0::DOUBLE, 'n': 0}})"
+    return "WITH RECURSIVE " + BOUTS_SQL.strip().removeprefix("WITH ") + f"""
+    o AS (SELECT *, row_number() OVER (ORDER BY ts, bout_id) AS i, coalesce(CAST(red_win AS DOUBLE), 0.5) AS s FROM bouts),
+    st AS (
+        SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS bout_id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y2, CAST(MAP {{}} AS MAP(VARCHAR, STRUCT(e DOUBLE, n INTEGER))) AS m
+        UNION ALL
+        SELECT i, bout_id, a.e, b.e, a2, b2, map_concat(m, MAP([{key.format('r_id')}, {key.format('b_id')}], [{{'e': a2, 'n': a.n + 1}}, {{'e': b2, 'n': b.n + 1}}]))
+        FROM (SELECT *, a.e + CASE WHEN a.n < 3 THEN 90 ELSE 32 END * (s - p) AS a2, b.e + CASE WHEN b.n < 3 THEN 90 ELSE 32 END * (p - s) AS b2
+              FROM (SELECT *, 1 / (1 + pow(10, (b.e - a.e) / 200)) AS p
+                    FROM (SELECT o.i, o.bout_id, o.r_id, o.b_id, o.class, o.s, st.m, {k('r_id')} AS a, {k('b_id')} AS b FROM st JOIN o ON o.i = st.i + 1)))
+    ), elo AS (SELECT bout_id, x AS elo_r, y AS elo_b, x2 AS after_r, y2 AS after_b FROM st WHERE i > 0) """
+
+
+ELO_SQL, ELO_CLASS_SQL = _elo_sql("CAST({0} AS VARCHAR)"), _elo_sql("class || ':' || {0}")
+ELO_COLUMNS = "round(elo_r, 6) AS elo_r, round(elo_b, 6) AS elo_b, round(after_r, 6) AS after_r, round(after_b, 6) AS after_b"
+ELO_NOW_SQL = ", long AS (SELECT ts, bout_id, r_id AS participant_id, b_id AS opponent_id, 'r' AS side, elo_r AS elo, elo_b AS opp, after_r AS after FROM bouts JOIN elo USING (bout_id) UNION ALL SELECT ts, bout_id, b_id, r_id, 'b', elo_b, elo_r, after_b FROM bouts JOIN elo USING (bout_id)), now AS (SELECT participant_id, max_by(after, (ts, bout_id)) AS elo, count(*) AS bouts FROM long GROUP BY 1) "
+
+
+def _six(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: rd(c, 6) for c in columns})
+
+
+@query("q_elo_global", ELO_SQL + f"SELECT bout_id, {ELO_COLUMNS} FROM elo")
+def _(spark, d):
+    return _six(ratings.elo_global(_rated(data.bouts(spark, d))), "elo_r", "elo_b", "after_r", "after_b")
+
+
+@query("q_elo_class", ELO_CLASS_SQL + f"SELECT bout_id, {ELO_COLUMNS} FROM elo")
 def _(spark, d):
-    return ratings.elo_global(_rated(data.bouts(spark, d)))
+    return _six(ratings.elo_by_class(_rated(data.bouts(spark, d))), "elo_r", "elo_b", "after_r", "after_b")
 
 
-@query("q_elo_class")
+@query("q_elo_current_class", ELO_CLASS_SQL + ", long AS (SELECT class, ts, bout_id, r_id AS participant_id, after_r AS after FROM bouts JOIN elo USING (bout_id) UNION ALL SELECT class, ts, bout_id, b_id, after_b FROM bouts JOIN elo USING (bout_id)) SELECT class, participant_id, round(max_by(after, (ts, bout_id)), 6) AS elo, count(*) AS bouts FROM long GROUP BY ALL")
 def _(spark, d):
-    return ratings.elo_by_class(_rated(data.bouts(spark, d)))
+    b = _rated(data.bouts(spark, d))
+    return _six(ratings.current_elo(b, ratings.elo_by_class(b), by_class=True), "elo")
+
+
+@query("q_glicko_current")
+def _(spark, d):
+    return ratings.current_glicko(_rated(data.bouts(spark, d)))
 
 
 @query("q_glicko_class")
@@ -594,10 +648,10 @@ def _(spark, d):
     return ratings.glicko_by_class(_rated(data.bouts(spark, d)))
 
 
-@query("q_elo_current")
+@query("q_elo_current", ELO_SQL + ELO_NOW_SQL + "SELECT participant_id, round(elo, 6) AS elo, bouts FROM now")
 def _(spark, d):
     b = data.bouts(spark, d)
-    return ratings.current_elo(b, ratings.elo_global(_rated(b)))
+    return _six(ratings.current_elo(b, ratings.elo_global(_rated(b))), "elo")
 
 
 @query("q_elo_history")
@@ -687,21 +741,59 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", n64(F.size(html.links(F.col("html")))).alias("n_links"), F.coalesce(F.get(html.links(F.col("html")), F.lit(0)), F.lit("")).alias("first_link"))
 
 
-@query("q_html_rows")
+def _plain_sql(x: str) -> str:
+    for entity, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{c}')" if entity != "&nbsp;" else f"replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' ')"
+    return f"trim(regexp_replace({x}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query("q_html_rows", f"""
+    WITH p AS (SELECT page_id, {_plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1) AS found FROM pages),
+    x AS (SELECT page_id, title, unnest(range(len(found))) AS place, unnest(found) AS raw FROM p)
+    SELECT page_id, title, CAST(place AS INTEGER) AS "at", {_plain_sql("raw")} AS paragraph FROM x""")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"), F.posexplode(html.tag_text(F.col("html"), "p")).alias("at", "paragraph"))
 
 
-@query("q_markdown")
+@query("q_markdown", SCORED_SQL + """SELECT class AS event, '# ' || class || chr(10) || chr(10) || '| Bout | Pick | Confidence |' || chr(10) || '|---|---|---|' || chr(10)
+    || string_agg('| ' || r_id || ' vs ' || b_id || ' | ' || CASE WHEN p_red >= 0.5 THEN r_id ELSE b_id END || ' | ' || CAST(round(CAST(CAST(greatest(p_red, 1 - p_red) * 100 AS VARCHAR) AS DECIMAL(18, 12)), 1) AS DECIMAL(5, 1)) || '%'  || ' |', chr(10) ORDER BY bout_id) || chr(10) AS report FROM scored GROUP BY 1""")
 def _(spark, d):
     rows = scored(spark, d).select(F.col("class").alias("event"), F.lpad(F.col("bout_id").cast("string"), 9, "0").alias("label"), F.col("r_id").cast("string").alias("red_name"), F.col("b_id").cast("string").alias("blue_name"), F.col("p_red").alias("red_prob"))
     return sinks.markdown(rows)
 
 
 # Features, models, serving.
-@query("q_feature_matrix")
-def _(spark, d):
-    return features.matrix(data.bouts(spark, d), side_rows(spark, d))
+def _features_sql(current: bool) -> str:
+    """Leading expressions up to feats: the features of each side row, named as in features.FEATURES."""
+    upto, start = ("CURRENT ROW", lambda n: n - 1) if current else ("1 PRECEDING", lambda n: n)
+    w = "OVER (PARTITION BY participant_id ORDER BY ts, bout_id ROWS BETWEEN {} AND " + upto + ")"
+    fr, last = w.format("UNBOUNDED PRECEDING"), lambda n: w.format(f"{start(n)} PRECEDING")
+    total = lambda x: f"coalesce(sum({x}) {fr}, 0)"
+    ratio = lambda a, b, by=1.0: f"coalesce({total(a)} * {by} / nullif({total(b)}, 0), 0)"
+    won = lambda m: f"{total(f'CASE WHEN is_win = 1 AND {m} THEN 1 ELSE 0 END')} / greatest({total('is_win')}, 1)"
+    defense = lambda k: f"coalesce(({total(f'opp_{k}attempted')} - {total(f'opp_{k}landed')}) * 100.0 / nullif({total(f'opp_{k}attempted')}, 0), 0)"
+    ewma = lambda x: f"coalesce((SELECT sum(b.{x} * pow(2.0 / 3, f.rn - b.rn)) / sum(pow(2.0 / 3, f.rn - b.rn)) FROM f b WHERE b.participant_id = f.participant_id AND b.rn {'<=' if current else '<'} f.rn), 0)"
+    expressions = {
+        "bouts_before": "rn" if current else "rn - 1", "wins": total("is_win"), "losses": total("is_loss"),
+        "win_streak": "wa" if current else f"coalesce(lag(wa) {TL}, 0)", "loss_streak": "la" if current else f"coalesce(lag(la) {TL}, 0)", "longest": f"coalesce(max(wa) {fr}, 0)",
+        "accuracy": ratio("landed", "attempted"), "td_accuracy": ratio("td_landed", "td_attempted"), "landed_pm": ratio("landed", "seconds", 60.0), "absorbed_pm": ratio("opp_landed", "seconds", 60.0),
+        "td_per_15": ratio("td_landed", "seconds", 900.0), "str_def": defense(""), "td_def": defense("td_"),
+        "recent_win": f"coalesce(avg(is_win) {last(3)}, 0)", "recent_finish": f"coalesce(avg(fin) {last(3)}, 0)", "ko_share": won("method = 'KO/TKO'"), "sub_share": won("method = 'Submission'"), "dec_share": won("method LIKE 'Decision%'"),
+        "idle": "date_diff('day', date, DATE '2030-01-01')" if current else "coalesce(gap, (SELECT coalesce(median(gap), 365) FROM f))",
+        "ko_losses": total("CASE WHEN is_loss = 1 AND method = 'KO/TKO' THEN 1 ELSE 0 END"), "kd_received": total("opp_kd"), "ewma_accuracy": ewma("acc"), "ewma_landed_pm": ewma("pm"),
+        "std_accuracy": f"coalesce(stddev_samp(acc) {last(5)}, 0)", "slope_accuracy": f"CASE WHEN count(acc) {last(5)} >= {2 if current else 5} THEN coalesce(regr_slope(acc, rn) {last(5)}, 0) ELSE 0 END",
+        "rounds": total("greatest(ceil(seconds / 300.0), 1)"), "titles": total("title"),
+    }
+    return STREAK_SQL.split("), s AS (")[0] + f"""), f AS (
+        SELECT *, CASE WHEN attempted = 0 THEN 0 ELSE landed / (attempted + 1e-6) END AS acc, coalesce(landed * 60.0 / nullif(seconds, 0), 0) AS pm,
+               CASE WHEN is_win = 1 AND method IN ('KO/TKO', 'Submission') THEN 1 ELSE 0 END AS fin, date_diff('day', lag(date) {TL}, date) AS gap FROM k
+    ), feats AS (SELECT bout_id, side, participant_id, ts, date, class, {', '.join(f'CAST({x} AS DOUBLE) AS {n}' for n, x in expressions.items())} FROM f) """
+
+
+@query("q_feature_matrix", _features_sql(False) + "SELECT bout_id, CAST(b.date AS VARCHAR) AS date, b.class, red_win AS target, odds_red, odds_blue, " + ", ".join(f"round(r.{f} - l.{f}, 9) + 0 AS {f}_diff" for f in features.FEATURES) + " FROM bouts b JOIN feats r USING (bout_id) JOIN feats l USING (bout_id) WHERE r.side = 'r' AND l.side = 'b' AND red_win IS NOT NULL AND r.bouts_before > 0 AND l.bouts_before > 0")
+def _(spark, d):
+    m = features.matrix(data.bouts(spark, d), side_rows(spark, d))
+    return m.select("bout_id", day("date").alias("date"), "class", "target", "odds_red", "odds_blue", *[rd(f"{f}_diff").alias(f"{f}_diff") for f in features.FEATURES])
 
 
 @query("q_symmetry")
@@ -709,9 +801,24 @@ def _(spark, d):
     return ag.symmetry(features.augmented(features.matrix(data.bouts(spark, d), side_rows(spark, d))))
 
 
-@query("q_state")
+@query("q_state", _features_sql(True) + "SELECT participant_id, bout_id, CAST(date AS VARCHAR) AS date, class, " + ", ".join(f"round({f}, 9) + 0 AS {f}" for f in features.FEATURES) + " FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY ts DESC, bout_id DESC) AS newest FROM feats) WHERE newest = 1")
+def _(spark, d):
+    state = features.latest_state(side_rows(spark, d), as_of=F.to_date(F.lit("2030-01-01")))
+    return state.select("participant_id", "bout_id", day("date").alias("date"), "class", *[rd(F.col(f).cast("double")).alias(f) for f in features.FEATURES])
+
+
+@query("q_tune")
+def _(spark, d):
+    train, valid, _ = _matrix_split(spark, d)
+    return models.tune(train.unionByName(valid), "lr", [{"regParam": r} for r in (0.001, 0.01, 0.1)], gap_days=2)[1]
+
+
+@query("q_finish_score")
 def _(spark, d):
-    return features.latest_state(side_rows(spark, d))
+    train, _, test = _matrix_split(spark, d)
+    methods = data.bouts(spark, d).select("bout_id", "method")
+    fitted = models.fit_finish(models.finish_rows(train, methods))
+    return models.score_finish(fitted, models.finish_rows(test, methods)).select("bout_id", "finish", "p_ko", "p_sub", "p_dec", "finish_pick")
 
 
 @query("q_profile", SIDES_SQL + "x AS (SELECT participant_id, date, class, row_number() OVER (PARTITION BY participant_id ORDER BY ts DESC, bout_id DESC) AS n FROM sides), r AS (SELECT participant_id, CAST(sum(is_win) AS BIGINT) AS wins, CAST(sum(is_loss) AS BIGINT) AS losses FROM sides GROUP BY 1) SELECT participant_id, wins, losses, CAST(date AS VARCHAR) AS last_date, class AS last_class FROM r JOIN x USING (participant_id) WHERE n = 1")
@@ -732,15 +839,15 @@ def _(spark, d):
     return features.with_ratings(features.matrix(b, s), b, s)
 
 
-@query("q_sos_elo")
+@query("q_sos_elo", ELO_SQL + ELO_NOW_SQL + f"SELECT bout_id, side, participant_id, round(elo, 6) AS elo, round(coalesce(avg(opp) {LAST(5)}, 1400), 6) AS sos FROM long")
 def _(spark, d):
-    return ratings.strength_of_schedule(side_rows(spark, d), ratings.elo_global(_rated(data.bouts(spark, d))))
+    return _six(ratings.strength_of_schedule(side_rows(spark, d), ratings.elo_global(_rated(data.bouts(spark, d)))), "elo", "sos")
 
 
-@query("q_sos_current")
+@query("q_sos_current", ELO_SQL + ELO_NOW_SQL + "SELECT participant_id, round(avg(elo), 6) AS sos FROM (SELECT l.participant_id, n.elo, row_number() OVER (PARTITION BY l.participant_id ORDER BY ts DESC, bout_id DESC) AS k FROM long l JOIN now n ON n.participant_id = l.opponent_id) WHERE k <= 5 GROUP BY 1")
 def _(spark, d):
     b = data.bouts(spark, d)
-    return ratings.current_schedule(side_rows(spark, d), ratings.current_elo(b, ratings.elo_global(_rated(b))))
+    return _six(ratings.current_schedule(side_rows(spark, d), ratings.current_elo(b, ratings.elo_global(_rated(b)))), "sos")
 
 
 @query("q_snapshot_row", BOUTS_SQL + "x AS (SELECT 1) SELECT bout_id, r_landed AS R_landed, r_kd AS R_kd, b_landed AS B_landed, b_kd AS B_kd, b_landed - r_landed AS landed_dif, b_kd - r_kd AS kd_dif FROM bouts")
@@ -807,6 +914,12 @@ def _(spark, d):
 QUERIES["q_stream_counts"] = stream_counts
 ORACLE_SQL["q_stream_counts"] = "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2"
 QUERIES["q_stream_sessions"] = stream_sessions
+ORACLE_SQL["q_stream_sessions"] = """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+    SELECT user_id, regexp_replace(CAST(min(ts) AS VARCHAR), '0+$|\\.0+$', CASE WHEN contains(CAST(min(ts) AS VARCHAR), '.') THEN '' ELSE '\\0' END) AS start,
+           regexp_replace(CAST(max(ts) + INTERVAL 6 HOUR AS VARCHAR), '0+$|\\.0+$', CASE WHEN contains(CAST(max(ts) AS VARCHAR), '.') THEN '' ELSE '\\0' END) AS "end", count(*) AS n
+    FROM s GROUP BY user_id, s.n"""
 QUERIES["q_stream_unique"] = stream_unique
 ORACLE_SQL["q_stream_unique"] = "SELECT event_id, user_id FROM events"
 QUERIES["q_stream_ingest"] = stream_ingest

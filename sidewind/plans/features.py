@@ -6,7 +6,7 @@ expressions give a participant's state after the last bout, so serving cannot dr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
@@ -24,9 +24,20 @@ FEATURES = [
 ]
 
 
-def long_features(side_rows: DataFrame, current: bool = False) -> DataFrame:
-    """Per side row, what was known before the bout (with current: including it)."""
+def long_features(side_rows: DataFrame, current: bool = False, as_of: Column | None = None) -> DataFrame:
+    """Per side row, what was known before the bout (with current: including it, at the day ``as_of``, today if not given).
+
+    idle is the number of days since the last bout; before a first bout, the median of all such gaps.
+    """
     c = F.col
+    gap = w.days_since_last()
+    if current:
+        idle = F.greatest(F.datediff(F.current_date() if as_of is None else as_of, "date"), F.lit(0)).cast("double")
+    else:
+        # Gaps are whole days, so the exact median needs one count per number of days.
+        median = side_rows.select(gap.alias("_gap")).agg(F.coalesce(F.median("_gap"), F.lit(365.0)).alias("_median"))
+        side_rows = side_rows.crossJoin(F.broadcast(median))
+        idle = F.coalesce(gap.cast("double"), c("_median"))
     base = w.with_order(w.streaks(side_rows)).withColumns({
         "_acc": sc.accuracy(c("landed"), c("attempted")), "_pm": sc.per_minute(c("landed"), c("seconds")),
         "_finish": ((c("is_win") == 1) & (is_finish(c("method")) == 1)).cast("int"), "_ko_loss": ((c("is_loss") == 1) & (c("method") == "KO/TKO")).cast("int"),
@@ -44,9 +55,9 @@ def long_features(side_rows: DataFrame, current: bool = False) -> DataFrame:
         sc.defense_pct(s(c("opp_landed")), s(c("opp_attempted"))).alias("str_def"), sc.defense_pct(s(c("opp_td_landed")), s(c("opp_td_attempted"))).alias("td_def"),
         w.last_mean(c("is_win"), 3, current=current).alias("recent_win"), w.last_mean(c("_finish"), 3, current=current).alias("recent_finish"),
         (s(won(c("method") == "KO/TKO")) / wins).alias("ko_share"), (s(won(c("method") == "Submission")) / wins).alias("sub_share"), (s(won(c("method").startswith("Decision"))) / wins).alias("dec_share"),
-        F.coalesce(w.days_since_last(), F.lit(365)).alias("idle"), s(c("_ko_loss")).alias("ko_losses"), s(c("opp_kd")).alias("kd_received"),
+        idle.alias("idle"), s(c("_ko_loss")).alias("ko_losses"), s(c("opp_kd")).alias("kd_received"),
         F.coalesce(w.ewma(c("_acc"), current=current), F.lit(0.0)).alias("ewma_accuracy"), F.coalesce(w.ewma(c("_pm"), current=current), F.lit(0.0)).alias("ewma_landed_pm"),
-        w.last_std(c("_acc"), 5, current).alias("std_accuracy"), w.slope(c("_acc"), 5, 5, current).alias("slope_accuracy"),
+        w.last_std(c("_acc"), 5, current).alias("std_accuracy"), w.slope(c("_acc"), 5, 2 if current else 5, current).alias("slope_accuracy"),
         s(sc.rounds_fought(c("seconds"))).alias("rounds"), s(c("title")).alias("titles"),
     )
 
@@ -82,6 +93,6 @@ def augmented(m: DataFrame) -> DataFrame:
     return mirrored(m)
 
 
-def latest_state(side_rows: DataFrame) -> DataFrame:
-    """One row per participant: the features after the last bout."""
-    return latest_per_key(long_features(side_rows, current=True).drop("side"), ["participant_id"], ["ts", "bout_id"])
+def latest_state(side_rows: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """One row per participant: the features after the last bout, at the day ``as_of``, today if not given."""
+    return latest_per_key(long_features(side_rows, current=True, as_of=as_of).drop("side"), ["participant_id"], ["ts", "bout_id"])

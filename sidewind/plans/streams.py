@@ -6,29 +6,31 @@ local folder. Event-time windows and sessions are extensions of the engine.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dml import read_latest
+from ..session import shared_root
 from ..streaming import ingest
 from ..streaming.career import career
 from .bouts import side_rows
 
 
 def folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "sidewind-streams").as_uri()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table's files as a stream; a single file is given by its folder and name."""
+    """The table's files as a stream; a table that is a single file is given by its folder and name."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        reader, path = reader.option("pathGlobFilter", "events.parquet"), sf_dir
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _finish(out: DataFrame, to: str, mode: str = "append") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -23,6 +24,17 @@ def ship(spark: SparkSession) -> None:
     sc._sidewind_shipped = True
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a local master may leave it unset, since a
+    machine's own folder is not seen by other machines."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = Path(tempfile.gettempdir(), "sidewind-shared").as_uri()
+    return root.rstrip("/")
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """ANSI mode and adaptive execution stay on; times are UTC. On a cluster leave both arguments out
     and let the cluster's own settings hold."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dml import insert_ignore, read_latest, upsert_coalesce, versions, write_version
+from ..operators.dml import insert_ignore, next_version, read_latest, upsert_coalesce, versions, write_version
 
 
 def high_water(df: DataFrame, date: str = "date"):
@@ -38,12 +38,11 @@ def ingest(source: DataFrame, root: str, keys: list[str], checkpoint: str, merge
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        have = versions(spark, root)
         new = batch.dropDuplicates(keys)
-        if have:
+        if versions(spark, root):
             old = read_latest(spark, root)
             new = upsert_coalesce(old, new, keys) if merge else insert_ignore(old, new, keys)
-        write_version(new, root, (have[-1] if have else 0) + 1)
+        write_version(new, root, next_version(spark, root))
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
