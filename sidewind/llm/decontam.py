@@ -35,6 +35,8 @@ from .simhash_dedup import bits_of, majority, popcount, shingle_hashes
 
 SHINGLE, LEAST, RADIUS, BLOCKS = 5, 0.8, 23, 8
 WIDTH = 64 // BLOCKS
+#: All values of a block, by their number of bits.
+NEAR = np.array(sorted(range(1 << WIDTH), key=lambda v: (v.bit_count(), v)))
 #: Words of benchmark items that are broadcast at once; windows that are fingerprinted at once.
 BLOCK_WORDS, SLICE = 2_000_000, 8192
 
@@ -44,29 +46,27 @@ class Sized:
 
     def __init__(self, items: list[int], prints: list[int]):
         self.items, self.prints = np.array(items), np.array(prints, np.uint64)
-        self.order, self.first = [], []
-        for j in range(BLOCKS):
-            value = self.block(self.prints, j)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.first.append(np.searchsorted(value[self.order[-1]], np.arange((1 << WIDTH) + 1)))
+        values = self.blocks(self.prints)
+        order = [np.argsort(v, kind="stable") for v in values.T]
+        #: Places by block and value, and where each value of each block begins.
+        self.order = np.concatenate(order)
+        starts = [np.searchsorted(v[o], np.arange((1 << WIDTH) + 1)) + j * len(prints) for j, (v, o) in enumerate(zip(values.T, order, strict=True))]
+        self.first = np.concatenate(starts)
 
     @staticmethod
-    def block(fps: np.ndarray, j: int) -> np.ndarray:
-        return ((fps >> np.uint64(j * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+    def blocks(fps: np.ndarray) -> np.ndarray:
+        """One row of block values for each fingerprint."""
+        return np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), BLOCKS).astype(np.int64)
 
     def within(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, place in items) of all fingerprints within the radius, by any block's near values."""
-        near = np.arange(1 << WIDTH)
-        near = near[popcount(near) <= radius // BLOCKS]
-        windows, places = [], []
-        for j in range(BLOCKS):
-            value = self.block(fps, j)[:, None] ^ near
-            low, high = self.first[j][value].ravel(), self.first[j][value + 1].ravel()
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            windows.append(np.repeat(np.repeat(np.arange(len(fps)), len(near)), n))
-            places.append(self.order[j][at])
-        pair = np.unique(np.concatenate(windows) * len(self.prints) + np.concatenate(places))
+        near = NEAR[: np.searchsorted(popcount(NEAR), radius // BLOCKS, "right")]
+        value = (self.blocks(fps)[:, :, None] ^ near) + np.arange(BLOCKS)[:, None] * ((1 << WIDTH) + 1)
+        low, high = self.first[value].ravel(), self.first[value + 1].ravel()
+        full = np.flatnonzero(high > low)
+        low, n = low[full], (high - low)[full]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair = np.unique(np.repeat(full // (BLOCKS * len(near)), n) * len(self.prints) + self.order[at])
         w, i = np.divmod(pair, len(self.prints))
         ok = popcount(fps[w] ^ self.prints[i]) <= radius
         return w[ok], i[ok]
