@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import PLAIN, ship
 
 #: Words and pieces that a worker remembers before it starts anew.
-WORDS, PIECES = 300_000, 500_000
+WORDS, PIECES = 120_000, 120_000
 END = "</w>"
 
 

@@ -38,7 +38,7 @@ WORD = re.compile("[a-z\x80-\U0010FFFF]+")
 #: Lengths of the word beginnings that are features beside the words.
 STEMS = (3, 4, 5, 6, 7)
 #: Words whose features a worker remembers before it starts anew.
-REMEMBER = 200_000
+REMEMBER = 50_000
 #: Rows in the fitting sample, words in the vocabulary, grades above 0.
 MAX_ROWS, MAX_WORDS, GRADES = 10_000, 1_000, 3
 #: Least likelihood-ratio statistic of a word in the vocabulary; least share of toxic rows among a
