@@ -32,14 +32,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 #: Kinds that the method adds: name, a literal each text with one holds, pattern, group of the value.
 MORE = [
-    ("github", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b"), 0),
+    ("github", "gh", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0),
     ("gitlab", "glpat-", re.compile(r"\bglpat-[A-Za-z0-9_-]{20,}"), 0),
     ("slack", "xox", re.compile(r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}"), 0),
     ("stripe", "_live_", re.compile(r"\b[rs]k_live_[A-Za-z0-9]{16,}"), 0),
     ("google", "AIza", re.compile(r"\bAIza[A-Za-z0-9_-]{35}"), 0),
     ("jwt", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
     ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END (?:[A-Z]+ )?PRIVATE KEY-----"), 0),
-    ("url_password", "://", re.compile(r"://[^/\s:@]{1,64}:([^/\s:@]{6,128})@"), 1),
+    ("url_password", "://", re.compile(r"://[^/\s:@]+:([^/\s:@]{6,})@"), 1),
 ]
 BASE = ("assign", "access", "hex")
 #: Kinds in the order in which spans with one start are listed.
