@@ -4,7 +4,9 @@ Documents are dealt out by ranges of doc_id and sorted, each range is one part.
 documents are packed to chunks of whole documents. A chunk's ids are cut in blocks of a fixed size;
 each block is transposed to byte planes (plane k holds byte k of all its ids) or bit planes, empty
 top planes are left out, and each plane is compressed on its own. A chunk's row in the file also is its index
-entry: part, number, ids before it in the part, and the id and length of each document in it.
+entry: part, number, ids before it in the part, the least and greatest doc_id, and the id and length of
+each document in it. Documents are in order, so read_documents() skips row groups and chunks by the
+index, and decodes only the blocks that the wanted documents lie in.
 
 The files are Parquet containers written by Spark's committer, so a lost executor's half-written
 files never show, and any store that Spark can write to will do. Compression of the container is
@@ -42,7 +44,7 @@ CHUNK = 1 << 20
 #: Pieces whose ids a worker remembers before it starts anew.
 PIECES = 900_000
 
-CHUNKS = "part int, chunk int, before long, n_ids long, kind string, doc_ids array<long>, lengths array<long>, blocks array<struct<n:int,planes:array<binary>>>"
+CHUNKS = "part int, chunk int, before long, n_ids long, first_doc long, last_doc long, kind string, doc_ids array<long>, lengths array<long>, blocks array<struct<n:int,planes:array<binary>>>"
 
 
 class _Learns(dict):
@@ -130,12 +132,13 @@ def _write(path: str, end_id: int, planes: str):
         encoder = CachedEncoder.of(path)
         part, chunk, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, parts, held = [], [], 0
-        kinds = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("planes", pa.list_(pa.binary()))])))])
+        kinds = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("kind", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("planes", pa.list_(pa.binary()))])))])
 
         def close():
             ids = np.concatenate(parts)
+            known = [i for i in doc_ids if i is not None]
             blocks = [{"n": len(b), "planes": pack_block(b, planes)} for b in (ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK))]
-            return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "before": before, "n_ids": len(ids), "kind": planes, "doc_ids": doc_ids, "lengths": [len(p) for p in parts], "blocks": blocks}], kinds)
+            return pa.RecordBatch.from_pylist([{"part": part, "chunk": chunk, "before": before, "n_ids": len(ids), "first_doc": min(known, default=None), "last_doc": max(known, default=None), "kind": planes, "doc_ids": doc_ids, "lengths": [len(p) for p in parts], "blocks": blocks}], kinds)
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -153,16 +156,32 @@ def _write(path: str, end_id: int, planes: str):
     return run
 
 
-def _read(batches):
+def _read(low: int | None, high: int | None):
+    """The documents of each chunk, all of them, or those with low <= doc_id <= high from the blocks that hold them."""
     names = ("part", "place", "doc_id", "n_tokens", "ids")
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.concatenate([unpack_block(b["n"], b["planes"], row["kind"]) for b in row["blocks"]])
-            ends = np.cumsum(row["lengths"])
-            starts = ends - row["lengths"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"]] * len(starts), pa.int32()), pa.array(starts + row["before"], pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names
-            )
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc_ids, lengths = row["doc_ids"], np.array(row["lengths"])
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
+                want = [n for n, i in enumerate(doc_ids) if low is None or i is not None and low <= i <= high]
+                if not want:
+                    continue
+                first = starts[want[0]] // BLOCK
+                blocks = row["blocks"][first : -(-ends[want[-1]] // BLOCK)]
+                ids = np.concatenate([unpack_block(b["n"], b["planes"], row["kind"]) for b in blocks])
+                at = first * BLOCK
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["part"]] * len(want), pa.int32()), pa.array(starts[want] + row["before"], pa.int64()), pa.array([doc_ids[n] for n in want], pa.int64()), pa.array(lengths[want], pa.int64()),
+                        pa.array([ids[starts[n] - at : ends[n] - at].astype("<u4").tobytes() for n in want], pa.binary()),
+                    ],
+                    names,
+                )
+
+    return run
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, to: str | None = None, planes: str = "byte") -> str:
@@ -182,13 +201,24 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start counting all before."""
+    return _tokens(spark, folder, None, None)
+
+
+def read_documents(spark: SparkSession, folder: str, low: int, high: int) -> DataFrame:
+    """As read_tokens(), of the documents with low <= doc_id <= high, found by the index."""
+    return _tokens(spark, folder, low, high)
+
+
+def _tokens(spark: SparkSession, folder: str, low: int | None, high: int | None) -> DataFrame:
     ship(spark)
     chunks = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks")
     # One row per part: the ids before it. The parts are as many as the write had tasks.
     totals = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    out = chunks.select("part", "before", "kind", "doc_ids", "lengths", "blocks").mapInArrow(_read, "part int, place long, doc_id long, n_tokens long, ids binary")
+    if low is not None:
+        chunks = chunks.where((F.col("last_doc") >= low) & (F.col("first_doc") <= high))
+    out = chunks.select("part", "before", "kind", "doc_ids", "lengths", "blocks").mapInArrow(_read(low, high), "part int, place long, doc_id long, n_tokens long, ids binary")
     return out.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("place")).alias("start"), "n_tokens", "ids")
 
 
