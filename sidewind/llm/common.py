@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +18,8 @@ PLAIN = re.compile(r"[\x00-\x1B\x20-\x7E\u00A1-\u024F\u2010-\u2027\u20AC]*").ful
 HOT_SHARE = 512
 
 
-def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where that is unset (local tests) a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "sidewind-shared").as_uri()
-    return root.rstrip("/")
+#: ``spark.checkpoint.dir``, or where that is unset under a local master (tests) a local folder.
+shared_root = session.shared_root
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,8 +59,9 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, rows: int = 0, most: int = 2_000_000) -> int:
+    """Shuffle partitions: as many as the session sets, or more where a task would get over ``most`` of so many rows (or bytes)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
 
 
 def lower_ascii(c: Column) -> Column:

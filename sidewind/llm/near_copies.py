@@ -189,7 +189,7 @@ def candidates(entries: DataFrame, n: int) -> DataFrame:
         rows = rows.join(F.broadcast(sizes), "key", "left").select("key", *FP, F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"))
     else:
         rows = rows.select("key", *FP, F.lit(0).alias("cell"))
-    return rows.repartition(partitions(spark), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_candidates(RADIUS), "a long, b long")
+    return rows.repartition(partitions(spark, n * len(CUT) * WIDTH), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_candidates(RADIUS), "a long, b long")
 
 
 def _verify(words: int, least: float):

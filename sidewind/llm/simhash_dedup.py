@@ -298,7 +298,7 @@ def links(fps: DataFrame, radius: int, n: int, more_radius: int = 64, sure: int
     else:
         rows = rows.select("key", "fp", "more", "node", F.lit(0).alias("cell"))
     return (
-        rows.repartition(partitions(spark), "key", "cell")
+        rows.repartition(partitions(spark, 64 * n), "key", "cell")
         .sortWithinPartitions("key", "cell")
         .mapInArrow(_links(radius, more_radius, sure), "a long, b long")
     )

@@ -41,6 +41,8 @@ PLAIN_PIECES = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^ \t-\r
 BLOCK = 16384
 #: A chunk closes at the first document that brings it to this many ids.
 CHUNK = 1 << 20
+#: Bytes of text in a part, at which more parts are made than the session sets.
+PART_BYTES = 256 << 20
 #: Pieces whose ids a worker remembers before it starts anew.
 PIECES = 900_000
 
@@ -190,8 +192,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     ship(spark)
     to = to or shared_dir(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    parts = parts or partitions(spark, rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], PART_BYTES)
     (
-        rows.repartitionByRange(parts or partitions(spark), "doc_id")
+        rows.repartitionByRange(parts, "doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(_write(tokenizer_path, end_id, planes), CHUNKS)
         .write.option("compression", "none").parquet(f"{to}/chunks")
