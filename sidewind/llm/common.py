@@ -14,8 +14,8 @@ from .. import session
 SPACE = r"[\x20\x09-\x0D]"
 #: Texts of characters on whose classes, case and composition all Unicode versions and libraries agree.
 PLAIN = re.compile(r"[\x00-\x1B\x20-\x7E\u00A1-\u024F\u2010-\u2027\u20AC]*").fullmatch
-#: A group of more than one HOT_SHARE-th of all rows is broadcast; at most HOT_SHARE groups can be that large.
-HOT_SHARE = 512
+#: A group of more than one HOT_SHARE-th of all rows, and of HOT_ROWS, is broadcast; at most HOT_SHARE groups can be that large.
+HOT_SHARE, HOT_ROWS = 512, 100
 
 
 #: ``spark.checkpoint.dir``, or where that is unset under a local master (tests) a local folder.
@@ -88,7 +88,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, t
     the shuffled join, which matches nothing and so spreads over all tasks.
     """
     rest = [c for c in groups.columns if c not in key]
-    least = max(total // HOT_SHARE, 100)
+    least = max(total // HOT_SHARE, HOT_ROWS)
     hot = groups.where(F.col(size) > least).select(*[F.col(c).alias(f"_h_{c}") for c in groups.columns])
     cold = groups.where(F.col(size) <= least).select(
         F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key]).alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in rest]
@@ -123,16 +123,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def sign(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    def with_least(df: DataFrame, rows: int) -> DataFrame:
+        """Adds m, the least v of each u. Only where some u has a large share of the rows, it is joined as a hot group."""
+        least = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        if (least.agg(F.max("n")).first()[0] or 0) > max(rows // HOT_SHARE, HOT_ROWS):
+            return join_groups(df, least, ["u"], "n", rows)
+        return df.join(least.drop("n"), "u")
+
     now = sign(e)
     if not now[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_groups(both, least, ["u"], "n", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = with_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         small = (
-            join_groups(large, least, ["u"], "n", 2 * now[0])
+            with_least(large, 2 * now[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
