@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,24 +62,33 @@ def elo_global(bouts: DataFrame) -> DataFrame:
     return rows.repartition(1).sortWithinPartitions("ts", "bout_id").mapInArrow(_fold, ELO_SCHEMA)
 
 
-def _by_class(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "bout_id"])
-    state = Elo()
-    rows = [state.bout(r, b, _score(w)) for r, b, w in zip(pdf.r_id, pdf.b_id, pdf.red_win, strict=True)]
-    out = pd.DataFrame(rows, columns=["elo_r", "elo_b", "after_r", "after_b"])
-    out.insert(0, "bout_id", pdf.bout_id.to_numpy())
-    return out
-
-
 def class_key() -> Column:
     """Classes in one spelling: lower case, without outer space; null is the empty class."""
     return F.coalesce(F.lower(F.trim("class")), F.lit("")).alias("class")
 
 
+def _fold_by_class(batches):
+    """Rows come class by class, each in time order; state starts anew with each class."""
+    now, state = None, Elo()
+    for batch in batches:
+        rows = []
+        for key, r, b, w in zip(*(batch.column(c).to_pylist() for c in ("class", "r_id", "b_id", "red_win")), strict=True):
+            if key != now:
+                now, state = key, Elo()
+            rows.append(state.bout(r, b, _score(w)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("bout_id"), *(pa.array(c, pa.float64()) for c in cols)], ["bout_id", "elo_r", "elo_b", "after_r", "after_b"])
+
+
+def _in_order(bouts: DataFrame, *more: Column) -> DataFrame:
+    """Narrow rows, a class in one task and in time order; a task holds the states of one class, not its rows."""
+    rows = bouts.select(class_key(), "ts", *[F.col(c).cast("long").alias(c) for c in ("bout_id", "r_id", "b_id")], F.col("red_win").cast("double").alias("red_win"), *more)
+    return rows.repartition("class").sortWithinPartitions("class", "ts", "bout_id")
+
+
 def elo_by_class(bouts: DataFrame) -> DataFrame:
     ship(bouts.sparkSession)
-    rows = bouts.select(class_key(), "ts", F.col("bout_id").cast("long").alias("bout_id"), "r_id", "b_id", F.col("red_win").cast("double").alias("red_win"))
-    return rows.groupBy("class").applyInPandas(_by_class, ELO_SCHEMA)
+    return _in_order(bouts).mapInArrow(_fold_by_class, ELO_SCHEMA)
 
 
 def current_elo(bouts: DataFrame, rated: DataFrame, by_class: bool = False) -> DataFrame:
@@ -174,26 +182,42 @@ def glicko_by_class(bouts: DataFrame, current: bool = False) -> DataFrame:
     quarters = sorted(r[0] for r in bouts.select(quarter.alias("q")).distinct().collect())
     place = {q: i for i, q in enumerate(quarters)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "bout_id"])
-        state: dict[int, tuple[float, float, float]] = {}
-        fresh = (G_R, G_RD, G_SIGMA)
-        out = []
-        groups = {place[q]: g for q, g in pdf.groupby("q", sort=False)}
-        for p in range(len(quarters)):
-            games: dict[int, list] = {}
-            if p in groups:
-                g = groups[p]
-                for bout, r, b, w in zip(g.bout_id, g.r_id, g.b_id, g.red_win, strict=True):
-                    x, y, s = state.get(r, fresh), state.get(b, fresh), _score(w)
+    schema, fresh = (GLICKO_NOW if current else GLICKO_SCHEMA), (G_R, G_RD, G_SIGMA)
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split(" ")[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        now, state, games, at = None, {}, {}, 0
+
+        def advance(to):
+            """Closes quarters up to ``to``: those with games, and idle ones."""
+            nonlocal state, games, at
+            while at < to:
+                state = {k: glicko_update(*state.get(k, fresh), games.get(k, [])) for k in state.keys() | games.keys()}
+                games, at = {}, at + 1
+
+        def final():
+            if now is None or not current:
+                return []
+            advance(len(quarters))
+            return [(now, k, *v) for k, v in sorted(state.items())]
+
+        def put_out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
+
+        for batch in batches:
+            out = []
+            for key, q, bout, r, b, w in zip(*(batch.column(c).to_pylist() for c in ("class", "q", "bout_id", "r_id", "b_id", "red_win")), strict=True):
+                if key != now:
+                    out += final()
+                    now, state, games, at = key, {}, {}, 0
+                advance(place[q])
+                x, y, s = state.get(r, fresh), state.get(b, fresh), _score(w)
+                if not current:
                     out.append((bout, *x, *y))
-                    games.setdefault(r, []).append((y[0], y[1], s))
-                    games.setdefault(b, []).append((x[0], x[1], 1 - s))
-            new = {k: glicko_update(*state.get(k, fresh), games.get(k, [])) for k in state.keys() | games.keys()}
-            state = new
-        if current:
-            return pd.DataFrame([(pdf["class"].iloc[0], int(k), *v) for k, v in sorted(state.items())], columns=[c.split(" ")[0] for c in GLICKO_NOW.split(", ")])
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in GLICKO_SCHEMA.split(", ")])
-
-    rows = bouts.select(class_key(), "ts", F.col("bout_id").cast("long").alias("bout_id"), "r_id", "b_id", F.col("red_win").cast("double").alias("red_win"), quarter.alias("q"))
-    return rows.groupBy("class").applyInPandas(run, GLICKO_NOW if current else GLICKO_SCHEMA)
+                games.setdefault(r, []).append((y[0], y[1], s))
+                games.setdefault(b, []).append((x[0], x[1], 1 - s))
+            yield put_out(out)
+        yield put_out(final())
+
+    return _in_order(bouts, quarter.alias("q")).mapInArrow(run, schema)
