@@ -52,10 +52,15 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: narrow rows travel in large batches, a few megabytes of text in one.
+BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors' Python, once per application, and keeps
-    Arrow batches small, since a row can hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Makes this package importable in the executors' Python, once per application, and bounds Arrow
+    batches by bytes, since a row can hold a very long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     session.ship(spark)
 
 
