@@ -12,7 +12,7 @@ within RADIUS of all 192 bits are candidates (at 0.8 the mean is 29 and the devi
 and 7), and these are verified by the exact similarity of their sets.
 
 Size: texts with equal shingle sets are one entry from the start, so copies cost one row. Buckets put
-out candidates that join something new in their task, never all pairs; segment values of more than
+out links to their least entries, as far as these join something new in their task, never all pairs; segment values of more than
 ``max(20000, n / 10000)`` entries are hot, and their buckets are dealt out in block pairs. Only texts
 that have a candidate are read again. They are verified within the groups that candidates connect,
 in cells of one or two blocks of at most CELL_ROWS texts and CELL_BYTES bytes, by a breadth-first
@@ -42,7 +42,7 @@ SEGMENTS, WIDTH, RADIUS = 4, 14, 50
 CUT = [(w, 16 * k) for w in range(3) for k in range(SEGMENTS)]
 FP = ("a", "b", "c")
 #: Texts and bytes of a block that is verified; index rows that are compared at once.
-CELL_ROWS, CELL_BYTES, ROWS = 4000, 32 << 20, 1 << 16
+CELL_ROWS, CELL_BYTES, ROWS = 1000, 32 << 20, 1 << 16
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -99,21 +99,41 @@ def _candidates(radius: int):
     def run(batches):
         forest = _Forest()
 
-        def edges(x, y):
-            new = [(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if forest.join(p, q)]
+        def stars(node, pairs):
+            """Links from each entry to the least of its bucket's component, as far as they join something new.
+
+            Pairs are places in ``node``, and a place is in one bucket only. In a large group the least entries
+            of most buckets are the same few, so the links of all tasks are few once they are made distinct.
+            """
+            up: dict[int, int] = {}
+
+            def root(p):
+                while (q := up.get(p, p)) != p:
+                    up[p] = up.get(q, q)
+                    p = q
+                return p
+
+            for i, j in pairs:
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = root(p), root(q)
+                    if p != q:
+                        p, q = (p, q) if node[p] < node[q] else (q, p)
+                        up[q] = p
+            new = [(x, y) for p in list(up) if (r := root(p)) != p and forest.join(x := int(node[p]), y := int(node[r]))]
             if new:
                 p, q = zip(*new, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ("a", "b"))
 
         def few(run_of, node, *fp):
             """Neighbours at growing offsets, all buckets at once."""
-            live, k = np.arange(len(node)), 0
+            live, k, pairs = np.arange(len(node)), 0, []
             while len(live):
                 k += 1
                 live = live[live + k < len(node)]
                 live = live[run_of[live] == run_of[live + k]]
                 near = live[sum(popcount(w[live] ^ w[live + k]).astype(np.int16) for w in fp) <= radius] if len(live) else live
-                yield from edges(node[near], node[near + k])
+                pairs.append((near, near + k))
+            yield from stars(node, pairs)
 
         def many(node, *fp):
             """All pairs in blocks of rows; a bucket with many near pairs is searched instead."""
@@ -125,19 +145,17 @@ def _candidates(radius: int):
                 pairs.append((i[i < j] + at, j[i < j] + at))
                 held += len(pairs[-1][0])
                 at += rows
-            if at >= size:
-                for i, j in pairs:
-                    yield from edges(node[i], node[j])
-                return
-            left = np.arange(size)
-            while len(left):
-                queue, left = [left[0]], left[1:]
-                while queue and len(left):
-                    one = queue.pop()
-                    near = sum(popcount(w[left] ^ w[one]).astype(np.int16) for w in fp) <= radius
-                    got, left = left[near], left[~near]
-                    yield from edges(np.full(len(got), node[one]), node[got])
-                    queue += got.tolist()
+            if at < size:
+                pairs, left = [], np.arange(size)
+                while len(left):
+                    queue, left = [left[0]], left[1:]
+                    while queue and len(left):
+                        one = queue.pop()
+                        near = sum(popcount(w[left] ^ w[one]).astype(np.int16) for w in fp) <= radius
+                        got, left = left[near], left[~near]
+                        pairs.append((np.full(len(got), one), got))
+                        queue += got.tolist()
+            yield from stars(node, pairs)
 
         def work(key, cell, *fp):
             fp = [w.view(np.uint64) for w in fp]
@@ -202,14 +220,17 @@ def _verify(words: int, least: float):
         left, out = np.arange(len(rows)), []
         while len(left):
             queue, left = [left[0]], left[1:]
+            group = [queue[0]]
             while queue and len(left):
                 one = queue.pop()
                 maybe = popcount(fp[left] ^ fp[one]).sum(1, dtype=np.int16) <= RADIUS
                 maybe &= np.minimum(size[left], size[one]) >= least * np.maximum(size[left], size[one]) * (1 - 1e-9)
                 got = np.array([i for i in left[maybe].tolist() if similarity(sets[i], sets[one]) >= least], np.int64)
-                out += [(int(sigs[one]), int(sigs[i])) for i in got]
                 left = left[~np.isin(left, got)]
                 queue += got.tolist()
+                group += got.tolist()
+            least_sig = min(int(sigs[i]) for i in group)
+            out += [(int(sigs[i]), least_sig) for i in group if int(sigs[i]) != least_sig]
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ("a", "b"))
 
