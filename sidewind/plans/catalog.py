@@ -654,10 +654,10 @@ def _(spark, d):
     return _six(ratings.current_elo(b, ratings.elo_global(_rated(b))), "elo")
 
 
-@query("q_elo_history")
+@query("q_elo_history", ELO_SQL + ELO_NOW_SQL + "SELECT bout_id, opponent_id, round(elo, 1) AS before, round(after, 1) AS after, round(after - elo, 1) AS change FROM long WHERE participant_id = 7")
 def _(spark, d):
     b = data.bouts(spark, d)
-    return ratings.history(b, ratings.elo_global(_rated(b)), 7)
+    return ratings.history(b, ratings.elo_global(_rated(b)), 7).drop("ts")
 
 
 # DML.
@@ -796,9 +796,16 @@ def _(spark, d):
     return m.select("bout_id", day("date").alias("date"), "class", "target", "odds_red", "odds_blue", *[rd(f"{f}_diff").alias(f"{f}_diff") for f in features.FEATURES])
 
 
-@query("q_symmetry")
+def _symmetry_sql() -> str:
+    both = ", ".join(f"unnest([r.{f} - l.{f}, l.{f} - r.{f}]) AS {f}" for f in features.FEATURES)
+    m = f", m AS (SELECT {both} FROM bouts b JOIN feats r USING (bout_id) JOIN feats l USING (bout_id) WHERE r.side = 'r' AND l.side = 'b' AND red_win IS NOT NULL AND r.bouts_before > 0 AND l.bouts_before > 0) "
+    return _features_sql(False) + m + " UNION ALL ".join(f"SELECT '{f}_diff' AS \"column\", round(avg({f}), 9) + 0 AS mean, round(stddev_samp({f}), 9) AS std, abs(avg({f})) < stddev_samp({f}) AS ok FROM m" for f in features.FEATURES)
+
+
+@query("q_symmetry", _symmetry_sql())
 def _(spark, d):
-    return ag.symmetry(features.augmented(features.matrix(data.bouts(spark, d), side_rows(spark, d))))
+    out = ag.symmetry(features.augmented(features.matrix(data.bouts(spark, d), side_rows(spark, d))))
+    return out.withColumns({"mean": rd("mean"), "std": rd("std")})
 
 
 @query("q_state", _features_sql(True) + "SELECT participant_id, bout_id, CAST(date AS VARCHAR) AS date, class, " + ", ".join(f"round({f}, 9) + 0 AS {f}" for f in features.FEATURES) + " FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY ts DESC, bout_id DESC) AS newest FROM feats) WHERE newest = 1")
@@ -810,7 +817,7 @@ def _(spark, d):
 @query("q_tune")
 def _(spark, d):
     train, valid, _ = _matrix_split(spark, d)
-    return models.tune(train.unionByName(valid), "lr", [{"regParam": r} for r in (0.001, 0.01, 0.1)], gap_days=2)[1]
+    return models.tune(train.unionByName(valid), "lr", [{"regParam": r} for r in (0.001, 0.1)], folds=3, gap_days=2)[1]
 
 
 @query("q_finish_score")

@@ -38,6 +38,6 @@ def test_a_wrong_query_is_caught(spark, sf, db):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) != rows([c[0] for c in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q_elo_class", "q_glicko_class", "q_feature_matrix", "q_html_rows", "q_markdown", "q_fuzzy_pairs", "q_stream_sessions", "q_elo_history"])
+@pytest.mark.parametrize("name", ["q_glicko_class", "q_glicko_current", "q_fuzzy_pairs", "q_finish_score"])
 def test_queries_without_oracle_have_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
