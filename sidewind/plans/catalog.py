@@ -756,7 +756,7 @@ def _(spark, d):
 
 
 @query("q_markdown", SCORED_SQL + """SELECT class AS event, '# ' || class || chr(10) || chr(10) || '| Bout | Pick | Confidence |' || chr(10) || '|---|---|---|' || chr(10)
-    || string_agg('| ' || r_id || ' vs ' || b_id || ' | ' || CASE WHEN p_red >= 0.5 THEN r_id ELSE b_id END || ' | ' || CAST(round(CAST(CAST(greatest(p_red, 1 - p_red) * 100 AS VARCHAR) AS DECIMAL(18, 12)), 1) AS DECIMAL(5, 1)) || '%'  || ' |', chr(10) ORDER BY bout_id) || chr(10) AS report FROM scored GROUP BY 1""")
+    || string_agg('| ' || r_id || ' vs ' || b_id || ' | ' || CASE WHEN p_red >= 0.5 THEN r_id ELSE b_id END || ' | ' || CAST(round(CAST(CAST(greatest(p_red, 1 - p_red) * 100 AS VARCHAR) AS DECIMAL(24, 18)), 1) AS DECIMAL(5, 1)) || '%'  || ' |', chr(10) ORDER BY bout_id) || chr(10) AS report FROM scored GROUP BY 1""")
 def _(spark, d):
     rows = scored(spark, d).select(F.col("class").alias("event"), F.lpad(F.col("bout_id").cast("string"), 9, "0").alias("label"), F.col("r_id").cast("string").alias("red_name"), F.col("b_id").cast("string").alias("blue_name"), F.col("p_red").alias("red_prob"))
     return sinks.markdown(rows)
