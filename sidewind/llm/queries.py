@@ -95,6 +95,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_context_tree": op2_context_tree,
@@ -107,6 +113,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE_SQL = {
@@ -174,4 +181,26 @@ ORACLE_SQL = {
         )
         SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
     """,
+    "op12_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), s AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d
+        ), t AS (
+            SELECT doc, doc_id, len(terms) AS n, unnest(terms) AS term FROM d
+        ), p AS (
+            SELECT doc, doc_id, term, any_value(n) AS n, count(*) AS tf FROM t GROUP BY doc, doc_id, term
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, n_docs
+        ), q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), i AS (
+            SELECT item_id, term, count(*) AS n FROM q GROUP BY item_id, term
+        ), r AS (
+            SELECT i.item_id, p.doc, p.doc_id, sum(i.n * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * n_docs) // n_terms))))::BIGINT AS score
+            FROM i JOIN p USING (term) JOIN w USING (term), s GROUP BY i.item_id, p.doc, p.doc_id
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10
+    """,
 }
