@@ -101,6 +101,14 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .learned_partitions import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_context_tree": op2_context_tree,
@@ -114,6 +122,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_source_divergence": op11_source_divergence,
     "op12_ranked_search": op12_ranked_search,
+    "op13_learned_partitions": op13_learned_partitions,
 }
 
 ORACLE_SQL = {
