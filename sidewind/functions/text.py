@@ -101,13 +101,28 @@ def finish_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, code), code)
 
 
+#: Methods that end a bout early, by class.
+STOPPED = ("KO/TKO", "TKO - Doctor's Stoppage", "Could Not Continue")
+
+
 def finish_class(method: Column) -> Column:
-    """0 knock-out, 1 submission, 2 decision, -1 otherwise."""
-    return F.when(method == "KO/TKO", 0).when(method == "Submission", 1).when(method.startswith("Decision"), 2).otherwise(-1)
+    """0 knock-out or stoppage, 1 submission, 2 decision, -1 otherwise. ``finish_number`` has the classes in the order of stored models."""
+    return F.when(method.isin(*STOPPED), 0).when(method == "Submission", 1).when(method.isin("Decision - Unanimous", "Decision - Split", "Decision - Majority"), 2).otherwise(-1)
+
+
+def finish_number(method: Column) -> Column:
+    """0 decision, 1 knock-out or stoppage, 2 submission, -1 otherwise (null too)."""
+    k = finish_class(method)
+    return F.when(k == 0, 1).when(k == 1, 2).when(k == 2, 0).otherwise(-1)
 
 
 def is_finish(method: Column) -> Column:
-    return method.isin("KO/TKO", "Submission").cast("int")
+    return F.coalesce(method.isin(*STOPPED, "Submission").cast("int"), F.lit(0))
+
+
+def no_contest(method: Column) -> Column:
+    low = F.lower(method)
+    return F.coalesce(low.isin("cnc", "nc") | low.contains("no contest") | low.contains("overturned"), F.lit(False))
 
 
 def height_cm(text: Column) -> Column:
@@ -123,8 +138,8 @@ def reach_cm(text: Column) -> Column:
 
 
 def american_odds(text: Column) -> Column:
-    """Whole odds with either minus sign; null if it is not that."""
-    return F.replace(F.trim(text), F.lit("−"), F.lit("-")).try_cast("int")
+    """The whole number at the start, with either minus sign, whatever follows; null if there is none."""
+    return F.regexp_extract(F.replace(text, F.lit("−"), F.lit("-")), r"^\s*([+-]?\d+)", 1).try_cast("int")
 
 
 def location(text: Column) -> Column:

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scans import positions
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds pos (0, 1, ... in order) and n.
-
-    A global running number needs a global order; to keep it distributed, rows are counted by day
-    first, the days' offsets are a small table, and rows are numbered within their day.
-    """
-    days = df.groupBy(F.to_date(order[0]).alias("_day")).agg(F.count("*").alias("_rows"))
-    w = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = days.select("_day", F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy()).alias("n"))
-    inner = Window.partitionBy("_day").orderBy(*order)
-    return df.withColumn("_day", F.to_date(order[0])).withColumn("_in", F.row_number().over(inner) - 1).join(F.broadcast(offsets), "_day").withColumn("pos", F.col("_before") + F.col("_in")).drop("_day", "_in", "_before")
+    """Adds pos (0, 1, ... in order) and n. Rows without a time come first. No day or other group is one task's work (``scans``)."""
+    return positions(df, order)
 
 
 def time_split(df: DataFrame, order: list[str], shares: tuple[float, ...] = (0.8, 0.2), names: tuple[str, ...] = ("train", "test")) -> DataFrame:

@@ -130,6 +130,18 @@ def closest(names: DataFrame, candidates: DataFrame, block: Column | None = None
     return names.join(best, "name", "left")
 
 
+def rank_in_class(asked: DataFrame, ranks: DataFrame, key: str, cls: str, order: list[str]) -> DataFrame:
+    """asked with the newest rank of its key, of the rows whose class holds the asked one (case and hyphens aside); where no
+    row does, or no class is asked for, of all rows. By one aggregation: rows that fit come before all others."""
+    plain = lambda c: F.replace(F.lower(c), F.lit("-"), F.lit(" "))
+    a = asked.select(F.monotonically_increasing_id().alias("_id"), "*")
+    r = ranks.select(F.col(key).alias("_key"), F.col(cls).alias("_cls"), F.col("rank").alias("_rank"), F.struct(*order).alias("_at"))
+    fits = F.coalesce(F.contains(plain(F.col("_cls")), plain(F.col(cls))), F.lit(False))
+    out = a.join(r, F.col(key) == F.col("_key"), "left")
+    rest = [c for c in asked.columns if c != "rank"]
+    return out.groupBy("_id", *rest).agg(F.max_by("_rank", F.struct(fits, F.col("_at"))).alias("rank")).drop("_id")
+
+
 def with_alias(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """Replaces names by aliases(alias, name), a dimension with unique aliases."""
     dim = small(aliases.select(F.col("alias").alias("_a"), F.col("name").alias("_to")))

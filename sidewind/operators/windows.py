@@ -80,21 +80,47 @@ def ewma(c: Column, span: int = 5, current: bool = False) -> Column:
     )
 
 
-def streaks(df, win: str = "is_win", loss: str = "is_loss"):
-    """Adds win_streak and loss_streak before each bout, and <streak>_after it; a draw or no contest ends both.
+def is_decided(win: str = "is_win", loss: str = "is_loss") -> Column:
+    """Bouts with a winner. The others, no contests, say nothing about form, and end no streak."""
+    return (F.col(win) == 1) | (F.col(loss) == 1)
 
-    A streak is the distance to the last row that ended it, so the timeline's own sort serves.
+
+def decided_mean(c: Column, n: int, current: bool = False, decided: Column | None = None) -> Column:
+    """Mean of c over the last n decided bouts; 0 with none.
+
+    The mean is had where a bout was decided, over the decided ones alone, and carried from there to
+    the undecided rows after it. Both windows share the participant's exchange.
+    """
+    decided = is_decided() if decided is None else decided
+    alone = Window.partitionBy("participant_id", decided).orderBy("ts", "bout_id").rowsBetween(1 - n, 0)
+    after = F.when(decided, F.avg(c).over(alone))
+    return F.coalesce(F.last(after, ignorenulls=True).over(prior(current)), F.lit(0.0))
+
+
+def streaks(df, win: str = "is_win", loss: str = "is_loss", draw: Column | None = None):
+    """Adds win_streak and loss_streak before each bout, and <streak>_after it.
+
+    Rows that are neither won nor lost are skipped; those that ``draw`` names, if it is given, end both
+    streaks. A streak is the distance to the last counted row that ended it, so the timeline's own sort serves.
     """
-    at = F.row_number().over(timeline())
-    df = df.withColumn("_row", at)
+    counted = is_decided(win, loss) if draw is None else is_decided(win, loss) | draw
+    df = df.withColumn("_row", F.sum(counted.cast("int")).over(prior(True)))
     for out, c in (("win_streak", win), ("loss_streak", loss)):
-        ended = F.max(F.when(F.col(c) == 1, None).otherwise(F.col("_row"))).over(prior(True))
+        ended = F.max(F.when(counted & (F.col(c) != 1), F.col("_row"))).over(prior(True))
         df = df.withColumn(f"{out}_after", (F.col("_row") - F.coalesce(ended, F.lit(0))).cast("long"))
     for out in ("win_streak", "loss_streak"):
         df = df.withColumn(out, F.coalesce(F.lag(f"{out}_after").over(timeline()), F.lit(0)).cast("long"))
     return df.drop("_row")
 
 
+def record_with_offset(df, wins: str = "total_wins", losses: str = "total_losses"):
+    """Adds wins and losses before each bout where ``total_wins`` and ``total_losses`` are a participant's whole record,
+    which may count bouts that df lacks: what df's own bouts do not explain came before all of them."""
+    every = Window.partitionBy("participant_id")
+    of = lambda c, total: (prior_sum(F.col(c)) + F.col(total) - F.sum(c).over(every)).cast("long")
+    return df.withColumns({"wins": of("is_win", wins), "losses": of("is_loss", losses)})
+
+
 def longest_before(c: Column) -> Column:
     return F.coalesce(F.max(c).over(prior()), F.lit(0))
 

@@ -545,12 +545,19 @@ def _(spark, d):
     return w.with_order(side_rows(spark, d)).select("bout_id", "side", rd(w.slope(F.col("landed").cast("double"))).alias("slope"), rd(w.slope(F.col("landed").cast("double"), 5, 2)).alias("slope_early"))
 
 
-STREAK_SQL = SIDES_SQL + f"""g AS (SELECT *, row_number() {TL} AS rn FROM sides
-), k AS (SELECT *, rn - coalesce(max(CASE WHEN is_win = 1 THEN NULL ELSE rn END) OVER (PARTITION BY participant_id ORDER BY ts, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS wa,
-                 rn - coalesce(max(CASE WHEN is_loss = 1 THEN NULL ELSE rn END) OVER (PARTITION BY participant_id ORDER BY ts, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS la FROM g
+UPTO = "OVER (PARTITION BY participant_id ORDER BY ts, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def streak_sql(leading: str) -> str:
+    """dn numbers the decided bouts; a streak is the distance to the last of them that ended it, and others are skipped."""
+    return leading + f"""g AS (SELECT *, row_number() {TL} AS rn, CAST(sum(is_win + is_loss) {UPTO} AS BIGINT) AS dn FROM sides
+), k AS (SELECT *, dn - coalesce(max(CASE WHEN is_loss = 1 THEN dn END) {UPTO}, 0) AS wa, dn - coalesce(max(CASE WHEN is_win = 1 THEN dn END) {UPTO}, 0) AS la FROM g
 ), s AS (SELECT *, CAST(coalesce(lag(wa) {TL}, 0) AS BIGINT) AS win_streak, CAST(coalesce(lag(la) {TL}, 0) AS BIGINT) AS loss_streak, CAST(coalesce(max(wa) {PRIOR}, 0) AS BIGINT) AS longest FROM k) """
 
 
+STREAK_SQL = streak_sql(SIDES_SQL)
+
+
 @query("q_win_streak", STREAK_SQL + "SELECT bout_id, side, win_streak, loss_streak FROM s")
 def _(spark, d):
     return w.streaks(side_rows(spark, d)).select("bout_id", "side", "win_streak", "loss_streak")
@@ -773,12 +780,13 @@ def _features_sql(current: bool) -> str:
     won = lambda m: f"{total(f'CASE WHEN is_win = 1 AND {m} THEN 1 ELSE 0 END')} / greatest({total('is_win')}, 1)"
     defense = lambda k: f"coalesce(({total(f'opp_{k}attempted')} - {total(f'opp_{k}landed')}) * 100.0 / nullif({total(f'opp_{k}attempted')}, 0), 0)"
     ewma = lambda x: f"coalesce((SELECT sum(b.{x} * pow(2.0 / 3, f.rn - b.rn)) / sum(pow(2.0 / 3, f.rn - b.rn)) FROM f b WHERE b.participant_id = f.participant_id AND b.rn {'<=' if current else '<'} f.rn), 0)"
+    decided = lambda x: f"coalesce((SELECT avg(b.{x}) FROM f b WHERE b.participant_id = f.participant_id AND b.is_win + b.is_loss = 1 AND b.dn <= f.{'dn' if current else 'dn - f.is_win - f.is_loss'} AND b.dn > f.{'dn' if current else 'dn - f.is_win - f.is_loss'} - 3), 0)"
     expressions = {
         "bouts_before": "rn" if current else "rn - 1", "wins": total("is_win"), "losses": total("is_loss"),
         "win_streak": "wa" if current else f"coalesce(lag(wa) {TL}, 0)", "loss_streak": "la" if current else f"coalesce(lag(la) {TL}, 0)", "longest": f"coalesce(max(wa) {fr}, 0)",
         "accuracy": ratio("landed", "attempted"), "td_accuracy": ratio("td_landed", "td_attempted"), "landed_pm": ratio("landed", "seconds", 60.0), "absorbed_pm": ratio("opp_landed", "seconds", 60.0),
         "td_per_15": ratio("td_landed", "seconds", 900.0), "str_def": defense(""), "td_def": defense("td_"),
-        "recent_win": f"coalesce(avg(is_win) {last(3)}, 0)", "recent_finish": f"coalesce(avg(fin) {last(3)}, 0)", "ko_share": won("method = 'KO/TKO'"), "sub_share": won("method = 'Submission'"), "dec_share": won("method LIKE 'Decision%'"),
+        "recent_win": decided("is_win"), "recent_finish": decided("fin"), "ko_share": won("method = 'KO/TKO'"), "sub_share": won("method = 'Submission'"), "dec_share": won("method LIKE 'Decision%'"),
         "idle": "date_diff('day', date, DATE '2030-01-01')" if current else "coalesce(gap, (SELECT coalesce(median(gap), 365) FROM f))",
         "ko_losses": total("CASE WHEN is_loss = 1 AND method = 'KO/TKO' THEN 1 ELSE 0 END"), "kd_received": total("opp_kd"), "ewma_accuracy": ewma("acc"), "ewma_landed_pm": ewma("pm"),
         "std_accuracy": f"coalesce(stddev_samp(acc) {last(5)}, 0)", "slope_accuracy": f"CASE WHEN count(acc) {last(5)} >= {2 if current else 5} THEN coalesce(regr_slope(acc, rn) {last(5)}, 0) ELSE 0 END",
@@ -933,3 +941,6 @@ QUERIES["q_stream_ingest"] = stream_ingest
 ORACLE_SQL["q_stream_ingest"] = "SELECT event_id, user_id, value FROM events"
 QUERIES["q_stream_career"] = stream_career
 ORACLE_SQL["q_stream_career"] = STREAK_SQL + f"SELECT bout_id, participant_id, CAST(coalesce(sum(is_win) {PRIOR}, 0) AS BIGINT) AS wins, CAST(coalesce(sum(is_loss) {PRIOR}, 0) AS BIGINT) AS losses, win_streak, loss_streak, longest, CAST(coalesce(sum(landed) {PRIOR}, 0) AS BIGINT) AS landed FROM s"
+
+# The queries of these modules are added to the same tables.
+from . import catalog_scale  # noqa: E402, F401

@@ -53,7 +53,7 @@ def long_features(side_rows: DataFrame, current: bool = False, as_of: Column | N
         w.prior_ratio(c("landed"), c("attempted"), current=current).alias("accuracy"), w.prior_ratio(c("td_landed"), c("td_attempted"), current=current).alias("td_accuracy"),
         w.prior_ratio(c("landed"), c("seconds"), 60.0, current).alias("landed_pm"), w.prior_ratio(c("opp_landed"), c("seconds"), 60.0, current).alias("absorbed_pm"), w.prior_ratio(c("td_landed"), c("seconds"), 900.0, current).alias("td_per_15"),
         sc.defense_pct(s(c("opp_landed")), s(c("opp_attempted"))).alias("str_def"), sc.defense_pct(s(c("opp_td_landed")), s(c("opp_td_attempted"))).alias("td_def"),
-        w.last_mean(c("is_win"), 3, current=current).alias("recent_win"), w.last_mean(c("_finish"), 3, current=current).alias("recent_finish"),
+        w.decided_mean(c("is_win"), 3, current).alias("recent_win"), w.decided_mean(c("_finish"), 3, current).alias("recent_finish"),
         (s(won(c("method") == "KO/TKO")) / wins).alias("ko_share"), (s(won(c("method") == "Submission")) / wins).alias("sub_share"), (s(won(c("method").startswith("Decision"))) / wins).alias("dec_share"),
         idle.alias("idle"), s(c("_ko_loss")).alias("ko_losses"), s(c("opp_kd")).alias("kd_received"),
         F.coalesce(w.ewma(c("_acc"), current=current), F.lit(0.0)).alias("ewma_accuracy"), F.coalesce(w.ewma(c("_pm"), current=current), F.lit(0.0)).alias("ewma_landed_pm"),

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from ..functions.text import contains_ci
+from ..functions.text import contains_ci, is_finish, no_contest
 from ..operators.aggregates import method_rates, record
 from ..operators.joins import head_to_head, latest_per_key
 from ..operators.models import score_all, vote
-from ..operators.windows import last_rows
+from ..operators.windows import decided_mean, last_rows, streaks
 from .features import FEATURES
 
 
@@ -29,11 +29,20 @@ def profile(side_rows: DataFrame, ratings: DataFrame | None = None) -> DataFrame
 
 
 def recent_form(side_rows: DataFrame, n: int = 5) -> DataFrame:
-    """The newest n (1 to 20) bouts of each participant with W, L or D."""
-    result = F.when(F.col("is_win") == 1, "W").when(F.col("is_loss") == 1, "L").otherwise("D")
+    """The newest n (1 to 20) bouts of each participant with W, L or D; no contests by name (NC)."""
+    nc = no_contest(F.col("method"))
+    result = F.when(F.col("is_win") == 1, "W").when(F.col("is_loss") == 1, "L").when(nc, "NC").otherwise("D")
     return last_rows(side_rows, min(max(n, 1), 20)).select("participant_id", "bout_id", "date", "opponent_id", "method", result.alias("result"), F.col("_n").alias("n"))
 
 
+def form(side_rows: DataFrame, n: int = 3) -> DataFrame:
+    """(participant_id, recent_win, recent_finish, win_streak): shares among the last n decided bouts, and wins in a row up to
+    the last; bouts without a winner are skipped. A participant without a decided bout has zeros."""
+    rows = streaks(side_rows).withColumns({"_win": decided_mean(F.col("is_win"), n, True), "_finish": decided_mean(is_finish(F.col("method")), n, True)})
+    newest = latest_per_key(rows.select("participant_id", "ts", "bout_id", "_win", "_finish", "win_streak_after"), ["participant_id"], ["ts", "bout_id"])
+    return newest.select("participant_id", F.col("_win").alias("recent_win"), F.col("_finish").alias("recent_finish"), F.col("win_streak_after").alias("win_streak"))
+
+
 def compare(profiles: DataFrame, pairs: DataFrame, bouts: DataFrame) -> DataFrame:
     """pairs(red, blue) with both records, the differences, and the number of their bouts."""
     cols = ["wins", "losses", "draws"]

@@ -11,7 +11,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dml import read_latest
 from ..session import shared_root
 from ..streaming import ingest
 from ..streaming.career import career
@@ -70,9 +69,10 @@ def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingests twice into one table: the second run finds every key there."""
     to = folder(spark)
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "value")
     for k in (1, 2):
-        ingest.ingest(_events(spark, sf_dir).select("event_id", "user_id", "value"), f"{to}/table", ["event_id"], f"{to}/checkpoint{k}").awaitTermination()
-    return read_latest(spark, f"{to}/table")
+        ingest.ingest(rows, f"{to}/table", ["event_id"], f"{to}/checkpoint{k}").awaitTermination()
+    return ingest.delta_table(spark, f"{to}/table", rows, ["event_id"]).read()
 
 
 def stream_career(spark: SparkSession, sf_dir: str) -> DataFrame:

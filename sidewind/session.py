@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,6 +36,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def written(df: DataFrame, name: str = "part") -> DataFrame:
+    """Writes df to a new folder below shared_root() and reads it back: what was sampled or drawn stays as it is, and a
+    lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/sidewind-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """ANSI mode and adaptive execution stay on; times are UTC. On a cluster leave both arguments out
     and let the cluster's own settings hold."""

@@ -16,14 +16,15 @@ FIELDS = [f.split(" ")[0] for f in STATE.split(", ")]
 
 
 def advance(state: dict, row: dict) -> dict:
-    """The state after a bout; a draw or no contest ends both streaks."""
+    """The state after a bout. Without a winner it leaves the streaks as they are; with ``is_draw`` set, a draw ends both."""
     s = dict(state)
-    win, loss = int(row["is_win"]), int(row["is_loss"])
+    win, loss, draw = int(row["is_win"]), int(row["is_loss"]), int(row.get("is_draw") or 0)
     s["wins"] += win
     s["losses"] += loss
     s["draws"] += int(not win and not loss)
-    s["win_streak"] = s["win_streak"] + 1 if win else 0
-    s["loss_streak"] = s["loss_streak"] + 1 if loss else 0
+    if win or loss or draw:
+        s["win_streak"] = s["win_streak"] + 1 if win else 0
+        s["loss_streak"] = s["loss_streak"] + 1 if loss else 0
     s["longest"] = max(s["longest"], s["win_streak"])
     for c in ("landed", "attempted", "seconds"):
         s[c] += int(row[c])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dml import insert_ignore, next_version, read_latest, upsert_coalesce, versions, write_version
+from ..operators.deltas import DeltaTable
 
 
 def high_water(df: DataFrame, date: str = "date"):
@@ -33,16 +35,22 @@ def stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int
     return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(folder)
 
 
-def ingest(source: DataFrame, root: str, keys: list[str], checkpoint: str, merge: bool = False):
-    """Writes each batch as the table's next version. A batch that is replayed adds nothing, since its keys are there."""
+def delta_table(spark: SparkSession, root: str, like: DataFrame, keys: list[str], merge: bool = False, order: tuple[str, ...] = (), slices: int = 16) -> DeltaTable:
+    """The table that ingest() fills: known keys stay as they are, or with merge take each newer value that is not null."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema)
+    return DeltaTable(spark, root, schema, keys, order, "coalesce" if merge else "ignore", slices=slices)
+
+
+def ingest(source: DataFrame, root: str, keys: list[str], checkpoint: str, merge: bool = False, order: tuple[str, ...] = (), compact_every: int = 10, slices: int = 16):
+    """Adds each batch of a stream to a delta table. A batch is named by its checkpoint and number, so one that is replayed
+    is not added again; after every ``compact_every`` batches the slices that these have touched are compacted."""
+    stream_name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        if versions(spark, root):
-            old = read_latest(spark, root)
-            new = upsert_coalesce(old, new, keys) if merge else insert_ignore(old, new, keys)
-        write_version(new, root, next_version(spark, root))
+        t = delta_table(batch.sparkSession, root, source, keys, merge, order, slices)
+        t.append(batch, f"{stream_name}-{number}")
+        if (number + 1) % compact_every == 0:
+            t.compact()
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -47,19 +47,21 @@ def test_closest_without_blocks_misses_no_name(spark, cutoff):
         assert got[n] == (best if best >= cutoff else None)
 
 
-def test_ingest_goes_on_after_a_torn_version(spark, tmp_path):
+def test_ingest_goes_on_after_a_torn_batch(spark, tmp_path):
     root = f"{tmp_path}/table"
     rows = lambda a, b: spark.range(a, b).withColumnRenamed("id", "k")
     rows(0, 5).write.parquet(f"{tmp_path}/in/1")
     source = lambda: ingest.stream(spark, f"{tmp_path}/in/*", "k long")
+    table = ingest.delta_table(spark, root, rows(0, 1), ["k"])
     ingest.ingest(source(), root, ["k"], f"{tmp_path}/checkpoint").awaitTermination()
     # A writer that died: files without the mark of success.
-    shutil.copytree(f"{root}/v=000001", f"{root}/v=000002", ignore=shutil.ignore_patterns("_SUCCESS"))
-    assert dml.versions(spark, root) == [1] and dml.next_version(spark, root) == 3
+    name = table.batches()[1]
+    shutil.copytree(f"{root}/deltas/_batch=00000001~{name}", f"{root}/deltas/_batch=00000002~{name[:-1]}1", ignore=shutil.ignore_patterns("_SUCCESS"))
+    assert list(table.batches()) == [1] and list(table.batches(torn=True)) == [1, 2]
     rows(3, 9).write.parquet(f"{tmp_path}/in/2")
     ingest.ingest(source(), root, ["k"], f"{tmp_path}/checkpoint").awaitTermination()
-    assert sorted(r.k for r in dml.read_latest(spark, root).collect()) == list(range(9))
-    assert dml.versions(spark, root) == [1, 3]
+    assert sorted(r.k for r in table.read().collect()) == list(range(9))
+    assert list(table.batches()) == [1, 3]
 
 
 def test_streams_read_tables_that_are_folders(spark, sf, tmp_path):
