@@ -1,8 +1,8 @@
-"""Models over feature matrices: MLlib estimators, calibration, votes, stacking, importance, drift.
+"""Models over feature matrices: estimators, calibration, votes, stacking, importance, drift.
 
-MLlib has one gradient-boosting estimator, which stands for both boosting libraries of the models it
-replaces, and its perceptron has no dropout or row weights; its scaler divides by the sample
-deviation. Metrics are reported as measured.
+The kinds are MLlib's logistic regression (lr), forest (rf), level-wise boosting (gbt) and perceptron (mlp),
+and the engine's own leaf-wise boosting (leaf, ``boosting``) and residual perceptron (net, ``perceptron``).
+MLlib's scaler divides by the sample deviation. Metrics are reported as measured.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import finish_class
+from . import boosting, perceptron
 from .aggregates import auc
 from .evaluate import purged_folds
 
-KINDS = ("lr", "rf", "gbt", "mlp")
+KINDS = ("lr", "rf", "gbt", "leaf", "net")
 
 
 def diffs(df: DataFrame) -> list[str]:
@@ -51,12 +52,18 @@ def estimator(kind: str, features: list[str], target: str = "target", seed: int
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_vector", handleInvalid="keep"), StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True), out])
 
 
-def fit(kind: str, train: DataFrame, target: str = "target", **params) -> PipelineModel:
+def fit(kind: str, train: DataFrame, target: str = "target", held: DataFrame | None = None, **params):
+    """A model of train's differences. ``held`` rows stop the training of leaf and net models early; others do not look at them."""
     rows = train if "row_weight" in train.columns else balanced(train, target)
+    if kind in ("leaf", "net"):
+        stop = {"held": held, "patience": 10} if held is not None else {}
+        return (boosting if kind == "leaf" else perceptron).fit(rows, diffs(train), target, "row_weight", **stop | params)
     return estimator(kind, diffs(train), target, **params).fit(rows)
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "p_red") -> DataFrame:
+def score(model, df: DataFrame, out: str = "p_red") -> DataFrame:
+    if isinstance(model, boosting.Booster | perceptron.Perceptron):
+        return model.score(df, out)
     keep = df.columns
     return model.transform(df).select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias(out))
 
@@ -185,11 +192,12 @@ def adversarial(old: DataFrame, new: DataFrame, seed: int = 42) -> DataFrame:
     return a.withColumn("verdict", F.when(F.col("auc") > 0.65, "drift").when(F.col("auc") >= 0.55, "mild").otherwise("none"))
 
 
-def train_all(train: DataFrame, valid: DataFrame, kinds: tuple[str, ...] = KINDS) -> dict:
-    """Models by kind, each with a Platt calibration fitted on rows that neither training nor test use."""
+def train_all(train: DataFrame, valid: DataFrame, kinds: tuple[str, ...] = KINDS, params: dict[str, dict] | None = None) -> dict:
+    """Models by kind, each with a Platt calibration fitted on rows that neither training nor test use; the same rows stop
+    the training of leaf and net models."""
     out = {}
     for k in kinds:
-        m = fit(k, train)
+        m = fit(k, train, held=valid, **(params or {}).get(k, {}))
         out[k] = (m, platt(score(m, valid, "_p"), "_p"))
     return out
 

@@ -14,6 +14,7 @@ from ..functions import safe, scalar, text
 from ..operators import aggregates as ag
 from ..operators import dml, evaluate, joins, longform, models, ratings
 from ..operators import windows as w
+from ..session import written
 from ..sources import html, schema, sinks
 from ..streaming import ingest
 from . import bouts as data
@@ -893,7 +894,8 @@ def _(spark, d):
 
 
 def _matrix_split(spark, d):
-    m = evaluate.time_split(features.matrix(data.bouts(spark, d), side_rows(spark, d)), ["ts", "bout_id"], (0.7, 0.1, 0.2), ("train", "valid", "test")).persist()
+    """Train, valid and test rows; the split matrix is written once, as every fit reads it again and again."""
+    m = written(evaluate.time_split(features.matrix(data.bouts(spark, d), side_rows(spark, d)), ["ts", "bout_id"], (0.7, 0.1, 0.2), ("train", "valid", "test")), "split")
     return [m.where(F.col("split") == s).drop("split") for s in ("train", "valid", "test")]
 
 
@@ -905,9 +907,10 @@ def _(spark, d):
 
 @query("q_ensemble_vote")
 def _(spark, d):
+    """All five kinds, of sizes for the test tables; weights by 500 draws on the validation rows."""
     train, valid, test = _matrix_split(spark, d)
-    fitted = models.train_all(train, valid, ("lr", "rf", "gbt"))
-    weights = models.search_weights(models.score_all(fitted, valid), [f"p_{k}" for k in fitted], tries=50)
+    fitted = models.train_all(train, valid, params={"leaf": {"rounds": 6, "leaves": 8, "depth": 4, "bins": 16}, "net": {"width": 16, "blocks": 1, "epochs": 6, "batches": 2}})
+    weights = models.search_weights(models.score_all(fitted, valid), [f"p_{k}" for k in fitted], tries=500)
     return models.vote(models.score_all(fitted, test), weights).select("bout_id", "target", "p_red")
 
 
@@ -920,7 +923,7 @@ def _(spark, d):
 @query("q_predict_card")
 def _(spark, d):
     train, valid, _ = _matrix_split(spark, d)
-    state = features.latest_state(side_rows(spark, d))
+    state = features.latest_state(side_rows(spark, d), as_of=F.to_date(F.lit("2030-01-01")))
     requests = state.select(F.col("participant_id").alias("red"), (F.col("participant_id") + 1).alias("blue"), F.col("participant_id").alias("request_id"))
     return serve.predict(models.train_all(train, valid, ("lr",)), requests, state)
 
@@ -943,4 +946,4 @@ QUERIES["q_stream_career"] = stream_career
 ORACLE_SQL["q_stream_career"] = STREAK_SQL + f"SELECT bout_id, participant_id, CAST(coalesce(sum(is_win) {PRIOR}, 0) AS BIGINT) AS wins, CAST(coalesce(sum(is_loss) {PRIOR}, 0) AS BIGINT) AS losses, win_streak, loss_streak, longest, CAST(coalesce(sum(landed) {PRIOR}, 0) AS BIGINT) AS landed FROM s"
 
 # The queries of these modules are added to the same tables.
-from . import catalog_scale  # noqa: E402, F401
+from . import catalog_models, catalog_scale  # noqa: E402, F401
