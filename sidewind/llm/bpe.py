@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, ship
+from .common import PLAIN, ship, tidied
 
 #: Words and pieces that a worker remembers before it starts anew.
 WORDS, PIECES = 120_000, 120_000
@@ -243,12 +243,12 @@ def bpe(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """(doc_id, n_tokens, ids, decoded): ids as little-endian unsigned 32-bit integers."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_run(tokenizer_path, True), "doc_id long, n_tokens long, ids binary, decoded string")
+    return rows.mapInArrow(tidied(_run(tokenizer_path, True)), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def bpe_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), without sending ids and texts back to the JVM."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_run(tokenizer_path, False), "doc_id long, n_tokens long, ids string, decoded string")
+    out = rows.mapInArrow(tidied(_run(tokenizer_path, False)), "doc_id long, n_tokens long, ids string, decoded string")
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,21 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
 
 
+def tidied(run):
+    """run(batches), which gives memory back to the system at the end of its task: Python workers live on, and what one
+    stage held would count beside what the next one holds."""
+
+    def out(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return out
+
+
 def partitions(spark: SparkSession, rows: int = 0, most: int = 2_000_000) -> int:
     """Shuffle partitions: as many as the session sets, or more where a task would get over ``most`` of so many rows (or bytes)."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))

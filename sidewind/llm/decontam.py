@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, tidied
 from .simhash_dedup import bits_of, majority, popcount, shingle_hashes
 
 SHINGLE, LEAST, RADIUS, BLOCKS = 5, 0.8, 23, 8
@@ -184,5 +184,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         return run
 
     for block in _blocks(benchmark, item_id, item_text):
-        docs = docs.mapInArrow(scan(spark.sparkContext.broadcast(Index(block, radius, least))), docs.schema)
+        docs = docs.mapInArrow(tidied(scan(spark.sparkContext.broadcast(Index(block, radius, least)))), docs.schema)
     return docs

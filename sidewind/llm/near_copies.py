@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_within, connected_components, join_groups, materialize, partitions, ship
+from .common import broadcast_within, connected_components, join_groups, materialize, partitions, ship, tidied
 from .simhash_dedup import BLOCK, DENSE, _Forest, of_hashes, popcount, shingle_hashes, stir
 
 WORDS, LEAST = 5, 0.8
@@ -207,7 +207,7 @@ def candidates(entries: DataFrame, n: int) -> DataFrame:
         rows = rows.join(F.broadcast(sizes), "key", "left").select("key", *FP, F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"))
     else:
         rows = rows.select("key", *FP, F.lit(0).alias("cell"))
-    return rows.repartition(partitions(spark, n * len(CUT) * WIDTH), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_candidates(RADIUS), "a long, b long")
+    return rows.repartition(partitions(spark, n * len(CUT) * WIDTH), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidied(_candidates(RADIUS)), "a long, b long")
 
 
 def _verify(words: int, least: float):
@@ -262,7 +262,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    digest = materialize(rows.mapInArrow(_digest(words), "doc_id long, text_hash long, sig long, size long, a long, b long, c long, node long"), "digest")
+    digest = materialize(rows.mapInArrow(tidied(_digest(words)), "doc_id long, text_hash long, sig long, size long, a long, b long, c long, node long"), "digest")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     entries = materialize(digest.groupBy("sig", *FP, "node").agg(first, F.max("size").alias("size"), F.count("*").alias("n")), "entries")
     prints = entries.groupBy("node", *FP).agg(F.count("*").alias("sets"))
@@ -279,7 +279,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = linked.select("label", "sig", *FP, F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     texts = rows.join(broadcast_within(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["sig"])
     texts = texts.join(large, "label", "left").select("label", F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"), "sig", *FP, "text")
-    verified = texts.repartition(partitions(spark), "label", "cell").sortWithinPartitions("label", "cell").mapInArrow(_verify(words, least), "a long, b long")
+    verified = texts.repartition(partitions(spark), "label", "cell").sortWithinPartitions("label", "cell").mapInArrow(tidied(_verify(words, least)), "a long, b long")
     found = connected_components(verified).select(F.col("node").alias("sig"), "component")
     # Groups: what links connect, and sets that several rows share.
     members = entries.join(broadcast_within(found), "sig", "left").where("component IS NOT NULL OR n > 1").select("sig", "n", "first", F.coalesce("component", "sig").alias("component"))

@@ -29,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, tidied
 from .simhash_dedup import shingle_hashes
 
 WORD = re.compile("[a-z\x80-\U0010FFFF]+")
@@ -45,6 +46,8 @@ MAX_ROWS, MAX_WORDS, GRADES = 10_000, 1_000, 3
 #: Least likelihood-ratio statistic of a word in the vocabulary; least share of toxic rows among a
 #: telling word's.
 LEAST_G, TELLING = 40.0, 0.7
+#: Bytes of text whose features are held at once, or one longer text.
+FEW_BYTES = 1 << 18
 #: Shingle hashes in a sketch.
 SKETCH = 16
 
@@ -123,9 +126,11 @@ def _counts(batches):
     """Feature counts, and as a sketch the SKETCH smallest hashes of the five-word shingles."""
     entry = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
     for whole in batches:
-        # Features take far more room than texts: few rows at a time.
-        for at in range(0, whole.num_rows, 32):
-            batch = whole.slice(at, 32)
+        # Features take far more room than texts: little text at a time.
+        size = np.cumsum(pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False)) // FEW_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), whole.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            batch = whole.slice(at, end - at)
             texts = batch.column("text").to_pylist()
             counts = [counts_of(t) for t in texts]
             ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
@@ -155,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = text.join(F.broadcast(sample), text.doc_id == F.col("_id")).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
-    rows = rows.select("doc_id", "toxic", "text").mapInArrow(_counts, "doc_id long, toxic int, words array<struct<word:string,n:int>>, sketch array<long>")
+    rows = rows.select("doc_id", "toxic", "text").mapInArrow(tidied(_counts), "doc_id long, toxic int, words array<struct<word:string,n:int>>, sketch array<long>")
     counted = materialize(rows, "counted")
     # Near copies, which would teach the words that they happen to share, are left out: at most max_rows sketches.
     ids = unlike([(r.doc_id, r.sketch) for r in counted.select("doc_id", "sketch").orderBy("doc_id").collect()])
@@ -206,7 +211,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, severity, tails), one row per row of docs: expected severity, and P(severity >= k) for k from 1."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, severity double, tails array<double>")
+    return rows.mapInArrow(tidied(_score(model)), "doc_id long, severity double, tails array<double>")
 
 
 def keep_below(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -219,4 +224,4 @@ def keep_below(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
             keep = [model.severity(t)[1][0] < least for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
