@@ -18,12 +18,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import finish_class
+from ..session import written
 from . import boosting, perceptron
 from .aggregates import auc
+from .donors import with_donors
 from .evaluate import purged_folds
+from .scans import positions
 
 KINDS = ("lr", "rf", "gbt", "leaf", "net")
 
@@ -154,23 +156,23 @@ def score_finish(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out
 
 
-def importance(model: PipelineModel, df: DataFrame, features: list[str] | None = None, target: str = "target", repeats: int = 3, seed: int = 42) -> DataFrame:
-    """(feature, drop): the loss of accuracy when a feature's values are dealt anew among the rows.
+def importance(model, df: DataFrame, features: list[str] | None = None, target: str = "target", repeats: int = 10, seed: int = 42) -> DataFrame:
+    """(feature, drop): the mean loss of accuracy when a feature's values are dealt anew among all rows.
 
-    Values move by a join of two random orders' running numbers within hash groups, so no global sort is needed.
+    Every row gets a feature's value from the row that a keyed permutation of the rows' positions names (``donors``);
+    all features and repeats are scored in one pass, and no group of rows or order of its own is needed.
     """
     features = features or diffs(df)
-    hit = lambda d: score(model, d, "_p").agg(F.avg(((F.col("_p") >= 0.5).cast("int") == F.col(target)).cast("double")).alias("a")).first()[0]
-    base, out = hit(df), []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            keyed = df.withColumn("_g", F.pmod(F.xxhash64("bout_id", F.lit(seed + r)), F.lit(16)))
-            left = keyed.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("bout_id")))
-            right = keyed.select("_g", F.row_number().over(Window.partitionBy("_g").orderBy(F.xxhash64("bout_id", F.lit(7 * seed + r)))).alias("_i"), F.col(f).alias("_v"))
-            drops.append(base - hit(left.join(right, ["_g", "_i"]).withColumn(f, F.col("_v")).drop("_g", "_i", "_v")))
-        out.append((f, float(sum(drops) / repeats)))
-    return df.sparkSession.createDataFrame(out, "feature string, drop double")
+    rows = written(positions(df, ["bout_id"]).drop("n"), "placed")
+    n = rows.count()
+    hit = F.avg(((F.col("_p") >= 0.5).cast("int") == F.col(target)).cast("double"))
+    base = score(model, df, "_p").agg(hit).first()[0]
+    if not n:
+        return df.sparkSession.createDataFrame([], "feature string, drop double")
+    dealt = with_donors(rows, n, features, seed, repeats).withColumn("_f", F.explode(F.array(*[F.lit(f) for f in features])))
+    dealt = dealt.select("repeat", "_f", *[F.when(F.col("_f") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) if f in features else F.col(f) for f in df.columns])
+    each = score(model, dealt, "_p").groupBy("_f", "repeat").agg(hit.alias("a"))
+    return each.groupBy(F.col("_f").alias("feature")).agg(F.avg(F.lit(base) - F.col("a")).alias("drop"))
 
 
 def prune(importances: list[DataFrame], threshold: float, models: int = 3) -> DataFrame:

@@ -80,6 +80,16 @@ def ewma(c: Column, span: int = 5, current: bool = False) -> Column:
     )
 
 
+def ewmas(columns: list[Column], span: int = 5, current: bool = False) -> Column:
+    """Exponentially weighted means of several columns in one array, over one frame; null with no row. Null values count as 0."""
+    q = 1 - 2 / (span + 1)
+    rows = math.ceil(math.log(EWMA_REST) / math.log(q)) if q else 1
+    values = F.collect_list(F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in columns])).over(timeline().rowsBetween(-rows, 0 if current else -1))
+    zero = F.struct(F.array(*[F.lit(0.0) for _ in columns]).alias("n"), F.lit(0.0).alias("d"))
+    step = lambda a, v: F.struct(F.zip_with(a.n, v, lambda x, y: x * q + y).alias("n"), (a.d * q + 1).alias("d"))
+    return F.aggregate(values, zero, step, lambda a: F.when(a.d > 0, F.transform(a.n, lambda x: x / a.d)))
+
+
 def is_decided(win: str = "is_win", loss: str = "is_loss") -> Column:
     """Bouts with a winner. The others, no contests, say nothing about form, and end no streak."""
     return (F.col(win) == 1) | (F.col(loss) == 1)

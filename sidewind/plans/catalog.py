@@ -14,6 +14,7 @@ from ..functions import safe, scalar, text
 from ..operators import aggregates as ag
 from ..operators import dml, evaluate, joins, longform, models, ratings
 from ..operators import windows as w
+from ..operators.donors import exact_quantile
 from ..session import written
 from ..sources import html, schema, sinks
 from ..streaming import ingest
@@ -441,7 +442,7 @@ def _(spark, d):
 @query("q_global_median", SIDES_SQL + "x AS (SELECT 1) SELECT CAST(median(seconds) AS DOUBLE) AS median_seconds, round(avg(CASE WHEN kd > 0 THEN kd END), 9) AS kd FROM sides")
 def _(spark, d):
     s = side_rows(spark, d)
-    return s.agg(F.median("seconds").alias("median_seconds"), rd(F.avg(safe.positive(F.col("kd")))).alias("kd"))
+    return s.agg(F.lit(exact_quantile(s, "seconds", 0.5)).alias("median_seconds"), rd(F.avg(safe.positive(F.col("kd")))).alias("kd"))
 
 
 @query("q_league_mean", SIDES_SQL + "x AS (SELECT 1) SELECT round(avg(CASE WHEN landed > 0 THEN landed END), 9) AS landed, round(avg(CASE WHEN ctrl > 0 THEN ctrl END), 9) AS ctrl FROM sides")
@@ -946,4 +947,4 @@ QUERIES["q_stream_career"] = stream_career
 ORACLE_SQL["q_stream_career"] = STREAK_SQL + f"SELECT bout_id, participant_id, CAST(coalesce(sum(is_win) {PRIOR}, 0) AS BIGINT) AS wins, CAST(coalesce(sum(is_loss) {PRIOR}, 0) AS BIGINT) AS losses, win_streak, loss_streak, longest, CAST(coalesce(sum(landed) {PRIOR}, 0) AS BIGINT) AS landed FROM s"
 
 # The queries of these modules are added to the same tables.
-from . import catalog_models, catalog_scale  # noqa: E402, F401
+from . import catalog_models, catalog_scale, catalog_wide  # noqa: E402, F401

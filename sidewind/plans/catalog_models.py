@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boosting, evaluate, models, search
+from ..operators import boosting, evaluate, models, ratings, scans, search
+from ..operators import donors as dn
 from ..session import written
 from . import bouts as data
-from .bouts import BOUTS_SQL
-from .catalog import query
+from .bouts import BOUTS_SQL, table
+from .catalog import ORACLE_SQL, _six, query
+from .catalog import _rated as rated_bouts
 
 #: Edges of the bins, so that SQL can cut the same.
 EDGES = {"landed_diff": [-110.0, -35.0, 40.0, 115.0], "ctrl_diff": [float(x) for x in range(-80, 81, 10)], "kd_diff": [-1.0, 0.0, 1.0]}
@@ -62,3 +64,57 @@ def _(spark, d):
         return scored.agg(F.avg((F.col("_p") - F.col("target")) ** 2)).first()[0]
 
     return search.tune(m, fit_score, {"l2": ("log", 1e-4, 10.0), "mix": ("float", 0.0, 1.0)}, rounds=3, order="date", folds=2, gap_days=2)[1]
+
+
+def _donor_sql(repeats: int, seed: int) -> str:
+    """The network in SQL, walked by recursion: positions of customers by number, for each repeat."""
+    mask = "(CAST(pow(2, k) AS BIGINT))"
+    keys = "(" + " UNION ALL ".join(f"SELECT {r} AS repeat, {', '.join(f'{x} AS k{i}' for i, x in enumerate(dn.keys_of(seed, r)))}" for r in range(repeats)) + ")"
+    step = "x // {m} AS l, x % {m} AS r".format(m=mask)
+    turn = lambda i, src: f"(SELECT * EXCLUDE (l, r), r AS l, xor(l, ((((r * {dn.MIX} + k{i}) % {dn.PRIME}) * {dn.STRETCH}) // 16) % {mask}) AS r FROM {src})"
+    net = lambda src: turn(3, turn(2, turn(1, turn(0, f"(SELECT * EXCLUDE (x), {step} FROM {src})"))))
+    return f"""
+        WITH RECURSIVE c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer
+        ), s AS (SELECT c_custkey, pos, n, CAST(greatest(1, ceil(ceil(log2(greatest(n, 2))) / 2)) AS BIGINT) AS k, pos AS x, q.* FROM c, {keys} q
+        ), walk AS (
+            SELECT * EXCLUDE (l, r), l * {mask} + r AS x FROM {net("s")}
+            UNION ALL
+            SELECT * EXCLUDE (l, r), l * {mask} + r AS x FROM {net("(SELECT * FROM walk WHERE x >= n)")}
+        )
+        SELECT w.c_custkey, CAST(repeat AS INTEGER) AS repeat, d.c_custkey AS donor FROM walk w JOIN c d ON d.pos = w.x WHERE w.x < w.n"""
+
+
+@query("q_donors", _donor_sql(3, 42))
+def _(spark, d):
+    """The customer from whom each gets a value in each of three shuffles."""
+    rows = scans.positions(table(spark, d, "customer").select("c_custkey"), ["c_custkey"])
+    out = dn.with_donors(rows, rows.count(), ["c_custkey"], seed=42, repeats=3)
+    return out.select("c_custkey", "repeat", F.col("_d_c_custkey").alias("donor"))
+
+
+@query("q_importance")
+def _(spark, d):
+    """Ten shuffles of each feature of a logistic regression."""
+    rows = written(evaluate.time_split(plain_matrix(spark, d).drop("weight"), ["ts", "bout_id"]), "split")
+    m = models.fit("lr", rows.where("split = 'train'"))
+    return models.importance(m, rows.where("split = 'test'"))
+
+
+SHARES = [0.0, 0.1, 0.5, 0.999, 1.0]
+
+
+@query("q_exact_quantiles", " UNION ALL ".join(f"SELECT CAST({s} AS DOUBLE) AS share, round(CAST(quantile_cont(l_extendedprice, {s}) AS DOUBLE), 6) AS price, round(CAST(quantile_cont(l_quantity, {s}) AS DOUBLE), 6) AS quantity FROM lineitem" for s in SHARES))
+def _(spark, d):
+    l = table(spark, d, "lineitem")
+    found = [(s, *(round(dn.exact_quantile(l, c, s), 6) for c in ("l_extendedprice", "l_quantity"))) for s in SHARES]
+    return spark.createDataFrame(found, "share double, price double, quantity double")
+
+
+@query("q_elo_refresh", ORACLE_SQL["q_elo_current_class"])
+def _(spark, d):
+    """Current ratings by class from a snapshot of the first half of the bouts and a replay of the others."""
+    b = data.bouts(spark, d)
+    middle = b.agg(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    _, state, position = ratings.refresh_by_class(rated_bouts(b.where(F.unix_seconds(F.col("ts").cast("timestamp")) <= middle)))
+    _, state, _ = ratings.refresh_by_class(rated_bouts(b), state, position)
+    return _six(state, "elo").select("class", "participant_id", "elo", "bouts")

@@ -24,10 +24,11 @@ FEATURES = [
 ]
 
 
-def long_features(side_rows: DataFrame, current: bool = False, as_of: Column | None = None) -> DataFrame:
+def long_features(side_rows: DataFrame, current: bool = False, as_of: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """Per side row, what was known before the bout (with current: including it, at the day ``as_of``, today if not given).
 
-    idle is the number of days since the last bout; before a first bout, the median of all such gaps.
+    idle is the number of days since the last bout; before a first bout, the median of all such gaps. ``more`` are further
+    columns over the same windows.
     """
     c = F.col
     gap = w.days_since_last()
@@ -59,6 +60,7 @@ def long_features(side_rows: DataFrame, current: bool = False, as_of: Column | N
         F.coalesce(w.ewma(c("_acc"), current=current), F.lit(0.0)).alias("ewma_accuracy"), F.coalesce(w.ewma(c("_pm"), current=current), F.lit(0.0)).alias("ewma_landed_pm"),
         w.last_std(c("_acc"), 5, current).alias("std_accuracy"), w.slope(c("_acc"), 5, 2 if current else 5, current).alias("slope_accuracy"),
         s(sc.rounds_fought(c("seconds"))).alias("rounds"), s(c("title")).alias("titles"),
+        *[x.alias(n) for n, x in (more or {}).items()],
     )
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sidewind.operators import boosting, perceptron, search
+from sidewind.operators import boosting, donors, models, perceptron, ratings, search
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +147,61 @@ def test_tuner_finds_the_better_penalty(spark):
     got = trials.collect()
     assert len(got) == 20 and abs(math.log10(best["l2"]) + 1) < 0.5
     assert min(r.score for r in got[8:]) <= min(r.score for r in got[:8])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
+def test_donors_are_a_permutation(n):
+    pos = np.arange(n)
+    every = [donors.permuted(pos, n, 42, r) for r in range(4)]
+    assert all(sorted(e.tolist()) == pos.tolist() for e in every)
+    if n >= 1000:
+        assert all((e != pos).mean() > 0.99 for e in every) and (every[0] != every[1]).mean() > 0.99
+        # No drift: donors of neighbours are as far apart as any two positions.
+        assert abs(np.abs(np.diff(every[0])).mean() / (n / 3) - 1) < 0.15
+
+
+def test_importance_is_that_of_shuffled_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 3))
+    rows = [(i, float(a), float(b), float(c), int(2 * a + b > 0)) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "bout_id long, a_diff double, b_diff double, c_diff double, target int")
+    m = models.fit("lr", df)
+    got = {r.feature: r["drop"] for r in models.importance(m, df, repeats=6).collect()}
+    hit = lambda z: ((2 * z[:, 0] + z[:, 1] > 0) == (2 * x[:, 0] + x[:, 1] > 0)).mean()
+    for j, name in enumerate(("a_diff", "b_diff", "c_diff")):
+        want = np.mean([1 - hit(np.column_stack([rng.permutation(x[:, k]) if k == j else x[:, k] for k in range(3)])) for _ in range(20)])
+        assert abs(got[name] - want) < 0.03
+    assert set(got) == {"a_diff", "b_diff", "c_diff"} and got["a_diff"] > got["b_diff"] > 0.05
+
+
+@pytest.mark.parametrize(("bins", "few"), [(4, 1), (7, 30), (1024, 10_000)])
+def test_quantiles_equal_sorting(spark, bins, few):
+    rng = np.random.default_rng(6)
+    values = [*rng.normal(size=300).tolist(), *[7.0] * 200, *[-0.0, 0.0, 1e300, -1e300, 5e-324], *(10 ** rng.uniform(-9, 9, 100)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    ranks = [0, 1, 150, len(values) // 2, len(values) - 2, len(values) - 1]
+    assert donors.order_statistics(df, "v", ranks, bins, few) == [sorted(values)[r] for r in ranks]
+    assert donors.exact_quantile(df, "v", 0.5, bins, few) == float(np.median(values))
+    assert donors.exact_quantile(df.where("false"), "v", 0.5) is None
+
+
+def test_ratings_go_on_from_a_snapshot(spark):
+    rng = random.Random(8)
+    rows = [(i, f"2024-01-{i // 8 + 1:02d}", rng.choice(["Fly", " fly", "light", "heavy"]), a, b, rng.choice([1.0, 0.0, None])) for i in range(160) for a, b in [rng.sample(range(9), 2)]]
+    b = spark.createDataFrame(rows, "bout_id long, d string, class string, r_id long, b_id long, red_win double").withColumn("ts", F.to_timestamp("d"))
+    want = {(r["class"], r.participant_id): (r.elo, r.bouts) for r in ratings.current_elo(b, ratings.elo_by_class(b), by_class=True).collect()}
+    now = lambda s: {(r["class"], r.participant_id): (r.elo, r.bouts) for r in s.collect()}
+    same = lambda x, y: x.keys() == y.keys() and all(abs(x[k][0] - y[k][0]) < 1e-9 and x[k][1] == y[k][1] for k in x)
+    early = b.where("bout_id < 100 AND NOT (class = 'heavy' AND bout_id > 40)")
+    _, state, position = ratings.refresh_by_class(early)
+    rated, state2, position2 = ratings.refresh_by_class(b, state, position)
+    # Only later bouts are replayed.
+    replayed = {r.bout_id for r in rated.collect()}
+    assert same(now(state2), want) and replayed == {r[0] for r in rows} - {r.bout_id for r in early.collect()}
+    assert ratings.refresh_by_class(b, state2, position2)[0].count() == 0
+    # A bout of before the snapshot that comes late: its class is replayed, others are not.
+    late = spark.createDataFrame([(999, "2024-01-02", "light", 1, 2, 1.0)], "bout_id long, d string, class string, r_id long, b_id long, red_win double").withColumn("ts", F.to_timestamp("d"))
+    more = b.unionByName(late)
+    rated, state3, _ = ratings.refresh_by_class(more, state2, position2)
+    want = {(r["class"], r.participant_id): (r.elo, r.bouts) for r in ratings.current_elo(more, ratings.elo_by_class(more), by_class=True).collect()}
+    assert same(now(state3), want) and rated.count() == more.where("class = 'light'").count()
