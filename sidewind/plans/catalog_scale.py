@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, text
-from ..operators import dml, joins, scans
+from ..operators import dml, indexes, joins, scans
 from ..operators import windows as w
 from ..operators.deltas import DeltaTable
 from ..operators.longform import sides
+from ..sources import page_stream, sinks
 from . import bouts as data
 from . import serve
 from .bouts import BOUTS_SQL, SIDES_SQL, side_rows, table
-from .catalog import PRIOR, TL, query, rd, streak_sql
+from .catalog import PRIOR, SCORED_SQL, TL, query, rd, scored, streak_sql
 from .streams import folder
 
 # No contests: every bout for a title is taken as one without a winner.
@@ -108,3 +109,40 @@ def _(spark, d):
     ranks = data.bouts(spark, d).select(F.col("r_id").alias("who"), "class", "date", "bout_id", (F.col("r_ctrl") % 16).alias("rank"))
     asked = table(spark, d, "customer").select(F.col("c_custkey").alias("who"), F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("CLI-CK").alias("class"))
     return joins.rank_in_class(asked, ranks, "who", "class", ["date", "bout_id"]).select("who", scalar.rank_value(F.col("rank")).alias("rank"))
+
+
+# Indexes and streams of pages.
+@query("q_indexed_point", "SELECT o_orderkey, o_custkey, round(o_totalprice, 9) AS price FROM orders WHERE o_custkey IN (7, 77)")
+def _(spark, d):
+    """Two lookups in a version with ranges and filters by file."""
+    root = f"{folder(spark)}/orders"
+    indexes.write_indexed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), root, 1, "o_custkey", files=8)
+    found = indexes.point(spark, root, "o_custkey", 7).unionByName(indexes.point(spark, root, "o_custkey", 77))
+    return found.select("o_orderkey", "o_custkey", rd("o_totalprice").alias("price"))
+
+
+@query("q_page_stream", "SELECT page_id, url, md5(html) AS h FROM pages")
+def _(spark, d):
+    """The pages as a stream with ids for offsets, run twice over one checkpoint."""
+    page_stream.register(spark)
+    to = folder(spark)
+    pages = spark.readStream.format("sidewind_pages").option("path", f"{d}/pages.parquet").load()
+    for _ in (1, 2):
+        pages.writeStream.format("parquet").option("checkpointLocation", f"{to}/checkpoint").option("path", f"{to}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(pages.schema).parquet(f"{to}/out").select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("h"))
+
+
+REPORT_SQL = SCORED_SQL + """, x AS (SELECT *, 'r' || r_id || ' vs b' || b_id AS label, round(p_red * 100, 1) AS rp, round((1 - p_red) * 100, 1) AS bp FROM scored)
+    SELECT class AS event, label, CASE WHEN p_red >= 0.5 THEN 'r' || r_id ELSE 'b' || b_id END AS winner, CAST(r_ctrl AS DOUBLE) AS first_bar, CAST(b_kd AS INTEGER) AS blue_streak, seconds AS seconds FROM x"""
+
+
+@query("q_bout_documents", REPORT_SQL)
+def _(spark, d):
+    """Documents of all classes' bouts, written and parsed again."""
+    b = scored(spark, d)
+    either = lambda s: [F.col(f"{s}_ctrl").alias(f"{s}_{c}") for c in ("landed_pm",)] + [F.col(f"{s}_kd").alias(f"{s}_win_streak")] + [F.lit(0.5).alias(f"{s}_{c}") for c in ("accuracy", "str_def", "td_accuracy", "td_def", "ko_share", "win_rate", "absorbed_pm", "td_per_15", "recent_finish", "sos")]
+    name = lambda s: F.concat(F.lit(s), F.col(f"{s}_id").cast("string"))
+    rows = b.select(F.col("class").alias("event"), F.lit("2024-01-01").alias("date"), F.lit("").alias("event_url"), F.lit("p").alias("model_type"), name("r").alias("red_name"), name("b").alias("blue_name"), F.col("p_red").alias("red_prob"), F.col("seconds").cast("double").alias("elo_red"), F.lit(1.0).alias("elo_blue"), F.lit(None).cast("array<double>").alias("finish"), *either("r"), *either("b"))
+    schema = "event string, fights array<struct<label: string, winner: string, elo_red: double, bars: struct<red: array<double>>, form: struct<blue_streak: int>>>"
+    fights = sinks.bout_documents(rows).select(F.from_json("document", schema).alias("d")).select("d.event", F.inline("d.fights"))
+    return fights.select("event", "label", "winner", F.get("bars.red", F.lit(0)).alias("first_bar"), F.col("form.blue_streak").alias("blue_streak"), F.col("elo_red").cast("long").alias("seconds"))

@@ -106,6 +106,40 @@ def odds_pairs(pages: DataFrame, html: str = "html") -> DataFrame:
     return df.select(plain(F.get(F.col("p.x"), F.lit(0))).alias("a"), plain(F.get(F.col("p.y"), F.lit(0))).alias("b"), both.a.alias("odds_a"), both.b.alias("odds_b")).where("odds_a IS NOT NULL")
 
 
+def odds_events(pages: DataFrame, as_of: Column, html: str = "html", base: str = "") -> DataFrame:
+    """(name, url, date_text, date) of the events that an odds page heads its tables with, and of an archive's list of events.
+
+    Days without a year are of the year of ``as_of``; a date that cannot be read is null.
+    """
+    # A block ends where the next one starts, so headers need no closing tag of their own.
+    blocks = F.slice(F.split(F.col(html), r'(?i)<div[^>]*\bclass="[^"]*\btable-div\b'), 2, 1_000_000)
+    rows = all_of(F.col(html), r"(?is)(<tr\b[^>]*>.*?</tr>)")
+    found = pages.select(F.explode(F.concat(F.transform(blocks, lambda x: F.struct(x.alias("x"), F.lit("block").alias("kind"))), F.transform(rows, lambda x: F.struct(x.alias("x"), F.lit("row").alias("kind"))))).alias("f"))
+    x = F.col("f.x")
+    block = F.col("f.kind") == "block"
+    anchor = F.when(block, F.regexp_extract(x, r"(?is)\btable-header\b.*?(<a\b[^>]*/events/[^>]*>.*?</a>)", 1)).otherwise(F.regexp_extract(x, r'(?is)content-list-title[^>]*>\s*(<a\b[^>]*>.*?</a>)', 1))
+    date = plain(F.when(block, F.regexp_extract(x, r'(?is)table-header-date[^>]*>(.*?)</span>', 1)).otherwise(F.regexp_extract(x, r'(?is)content-list-date[^>]*>(.*?)</td>', 1)))
+    href = F.trim(F.regexp_extract(anchor, r'(?is)\bhref=["\']([^"\']*)', 1))
+    name = F.trim(F.regexp_replace(plain(anchor), r"\s+Odds$", ""))
+    out = found.select(name.alias("name"), F.when(href.startswith("/"), F.concat(F.lit(base), href)).otherwise(href).alias("url"), date.alias("date_text")).where("url <> ''")
+    at = F.coalesce(tx.month_date(F.col("date_text")), tx.ordinal_date(F.col("date_text"), F.year(as_of)))
+    return out.select("name", "url", "date_text", at.alias("date"))
+
+
+def red_is_listed_first(html: Column, red: Column) -> Column:
+    """Whether the first participant link of the table by rounds is red's; true where the page has no such link."""
+    second = F.try_element_at(F.split(html, r"(?i)<section\b"), F.lit(3))
+    body = F.regexp_extract(second, r"(?is)<tbody\b[^>]*>(.*?)</tbody>", 1)
+    first = tx.url_tail(F.regexp_extract(body, r'(?is)<td\b[^>]*>.*?<a\b[^>]*\bhref="([^"]*)"', 1))
+    return F.coalesce((first == "") | (first == red), F.lit(True))
+
+
+def sided(stats: DataFrame, red_first: str = "red_first") -> DataFrame:
+    """side_stats() with sides by who is red: where red_first is false, the side listed first is blue's."""
+    other = F.when(F.col("side") == "r", "b").otherwise("r")
+    return stats.withColumn("side", F.when(F.col(red_first), F.col("side")).otherwise(other)).drop(red_first)
+
+
 def next_event(events: DataFrame, as_of: str) -> DataFrame:
     """The earliest event from a day on."""
     return events.where(F.col("date") >= F.lit(as_of).cast("date")).orderBy("date", "event_id").limit(1)
