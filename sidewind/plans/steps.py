@@ -7,42 +7,87 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import aggregates, evaluate, ratings
-from ..operators.dml import write_version
+from ..operators import aggregates, evaluate, models, ratings
+from ..operators.deltas import DeltaTable
+from ..operators.dml import next_version, read_latest, versions, write_version
 from ..session import session
 from . import bouts as data
-from . import features
+from . import features, serve
 
 log = logging.getLogger("sidewind")
 
 
+def _put(df: DataFrame, root: str, sort: list[str] | None = None) -> None:
+    """The next version of a table, so that steps can run again and readers of older ones are not disturbed."""
+    write_version(df, root, next_version(df.sparkSession, root), sort)
+
+
 def _bouts(spark, src, out):
-    write_version(data.bouts(spark, src), f"{out}/bouts", 1, ["ts"])
+    _put(data.bouts(spark, src), f"{out}/bouts", ["ts"])
 
 
 def _sides(spark, src, out):
-    write_version(data.side_rows(spark, src), f"{out}/sides", 1, ["participant_id", "ts"])
+    _put(data.side_rows(spark, src), f"{out}/sides", ["participant_id", "ts"])
 
 
 def _ratings(spark, src, out):
-    write_version(ratings.elo_global(data.bouts(spark, src)), f"{out}/elo", 1)
+    _put(ratings.elo_global(data.bouts(spark, src)), f"{out}/elo")
 
 
 def _features(spark, src, out):
-    write_version(features.matrix(data.bouts(spark, src), data.side_rows(spark, src)), f"{out}/features", 1)
+    _put(features.matrix(data.bouts(spark, src), data.side_rows(spark, src)), f"{out}/features")
 
 
 def _split(spark, src, out):
-    write_version(evaluate.time_split(features.matrix(data.bouts(spark, src), data.side_rows(spark, src)), ["ts", "bout_id"]), f"{out}/split", 1)
+    _put(evaluate.time_split(features.matrix(data.bouts(spark, src), data.side_rows(spark, src)), ["ts", "bout_id"]), f"{out}/split")
 
 
 def _checks(spark, src, out):
-    write_version(aggregates.violations(data.bouts(spark, src), data.side_rows(spark, src)), f"{out}/checks", 1)
+    _put(aggregates.violations(data.bouts(spark, src), data.side_rows(spark, src)), f"{out}/checks")
+
+
+def _ingest(spark, src, out):
+    """Bouts of src as a batch of a delta table: new ones are added, known ones take newer values. The batch's name says what is in
+    it, so that the same source applied twice changes nothing."""
+    b = data.bouts(spark, src)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in b.schema)
+    n, digest = b.agg(F.count("*"), F.bit_xor(F.xxhash64(*b.columns))).first()
+    t = DeltaTable(spark, f"{out}/bouts_delta", schema, ["bout_id"], ("ts",), "coalesce")
+    if t.append(b, f"{n}-{(digest or 0) % (1 << 64):016x}"):
+        t.compact()
+
+
+def refresh_ratings(spark: SparkSession, src: str, out: str) -> int:
+    """Brings the stored ratings by class up to the bouts of src; returns how many bouts were replayed."""
+    at = {k: f"{out}/rating_{k}" for k in ("state", "position")}
+    have = all(versions(spark, p) for p in at.values())
+    old = [read_latest(spark, p) if have else None for p in at.values()]
+    rated, state, position = ratings.refresh_by_class(data.bouts(spark, src), *old)
+    _put(state, at["state"])
+    _put(position, at["position"])
+    return rated.count()
+
+
+def _predict(spark, src, out):
+    """Fits on what is there, and writes a prediction for each participant against the one with the next id."""
+    sides = data.side_rows(spark, src)
+    m = evaluate.time_split(features.matrix(data.bouts(spark, src), sides), ["ts", "bout_id"], (0.85, 0.15), ("train", "valid"))
+    train, valid = (m.where(F.col("split") == k).drop("split") for k in ("train", "valid"))
+    state = features.latest_state(sides)
+    asked = state.select(F.col("participant_id").alias("request_id"), F.col("participant_id").alias("red"), (F.col("participant_id") + 1).alias("blue"))
+    _put(serve.predict(models.train_all(train, valid, ("lr",)), asked, state).where("error IS NULL").drop("error"), f"{out}/predictions")
+
+
+def health(spark: SparkSession, out: str) -> dict[str, int]:
+    """The newest version of each table that the steps write, 0 where there is none yet."""
+    names = ["bouts", "sides", "elo", "features", "split", "checks", "rating_state", "rating_position", "predictions"]
+    return {n: max(versions(spark, f"{out}/{n}"), default=0) for n in names}
 
 
-STEPS: list[tuple[str, Callable]] = [("bouts", _bouts), ("sides", _sides), ("ratings", _ratings), ("features", _features), ("split", _split), ("checks", _checks)]
+STEPS: list[tuple[str, Callable]] = [("bouts", _bouts), ("sides", _sides), ("ratings", _ratings), ("features", _features), ("split", _split), ("checks", _checks), ("ingest", _ingest), ("refresh ratings", refresh_ratings), ("predict", _predict)]
 
 
 def run(spark: SparkSession, src: str, out: str, steps: list[int] | None = None, dry: bool = False) -> list[tuple[str, str, float]]:

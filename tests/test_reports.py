@@ -1,11 +1,14 @@
 """Documents, reports, odds pages and the command line's answers."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from sidewind.plans import predict
+from sidewind.operators import dml, ratings
+from sidewind.plans import bouts as data
+from sidewind.plans import predict, steps
 from sidewind.sources import html, sinks
 
 
@@ -81,3 +84,17 @@ def test_answers_of_a_card(spark, sf):
     with pytest.raises(ValueError, match="at most"):
         predict.answers(spark, fitted, weights, state, asked * 6)
     assert predict.answers(spark, fitted, weights, state, []) == []
+
+
+def test_steps_run_again(spark, sf, tmp_path):
+    out = str(tmp_path)
+    assert set(steps.health(spark, out).values()) == {0}
+    for _ in (1, 2):
+        assert [s for _, s, _ in steps.run(spark, sf, out, steps=[7, 8, 9])] == ["ok"] * 3
+    assert {k: v for k, v in steps.health(spark, out).items() if v} == {"rating_state": 2, "rating_position": 2, "predictions": 2}
+    # The second run replays nothing and adds no batch.
+    assert steps.refresh_ratings(spark, sf, out) == 0
+    assert len(os.listdir(f"{out}/bouts_delta/deltas")) == 1
+    b = data.bouts(spark, sf)
+    want = {(r["class"], r.participant_id): round(r.elo, 9) for r in ratings.current_elo(b, ratings.elo_by_class(b), by_class=True).collect()}
+    assert {(r["class"], r.participant_id): round(r.elo, 9) for r in dml.read_latest(spark, f"{out}/rating_state").collect()} == want
