@@ -96,3 +96,17 @@ def test_decisions_spread_over_redirects(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(df).collect()}
     assert {i: v for i, (_, v) in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block"}
     assert got[7][0] == "org/es/" and got[10][0] == "com/en/" and got[1][0] is None
+
+
+def test_link_addresses_are_resolved(spark):
+    """Entities, dot segments, and addresses that are only a query; what leads above the root stays at it."""
+    cases = [
+        ("../z?p=1&amp;q=2", "http://b.test/x/z?p=1&q=2"), ("./k/./l/../m", "http://b.test/x/y/k/m"), ("../../../../up", "http://b.test/up"), ("?p=2", "http://b.test/x/y/page?p=2"), ("#top", "http://b.test/x/y/page#top"),
+        ("/a/../c", "http://b.test/c"), ("//d.test/./e", "http://d.test/e"), ("HTTPS://d.test/f?u=http://g", "HTTPS://d.test/f?u=http://g"), ("h?u=http://g.test/../i", "http://b.test/x/y/h?u=http://g.test/../i"), ("q&#38;r&#x26;s", "http://b.test/x/y/q&r&s"), ("..", "http://b.test/x"),
+    ]
+    df = spark.createDataFrame([(i, "http://b.test/x/y/page?old=1", f'<link rel="canonical" href="{x}">') for i, (x, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.to for r in df.select("page_id", url_filter.targets(F.col("url"), F.col("html")).alias("to")).collect()}
+    assert got == {i: [want] for i, (_, want) in enumerate(cases)}
+    pages = [(1, "http://b.test/x/y/page", '<link rel="canonical" href="../../en/7?a=1&amp;b=2">'), (2, "http://b.test/en/7?a=1&b=2", '<link rel="canonical" href="http://z.net/de/1">')]
+    out = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r.page_id: r.verdict for r in out.collect()} == {1: "block", 2: "block"}
