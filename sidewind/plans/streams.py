@@ -75,11 +75,25 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.delta_table(spark, f"{to}/table", rows, ["event_id"]).read()
 
 
+def written_in_order(rows: DataFrame, path: str, parts: int, files: int = 4) -> None:
+    """Writes rows(participant_id, ts, ...) as ``parts`` appends in time order, each with a participant's rows in one file.
+
+    A file stream takes older files first, so however many of them a batch takes, no participant's later rows come
+    before earlier ones.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = [None, *(rows.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)])).first()[0] or []), None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = rows if low is None else rows.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        part.repartition(files, "participant_id").write.mode("append").parquet(path)
+
+
 def stream_career(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches or more in time order, so that states go from one to the next."""
     to = folder(spark)
     rows = side_rows(spark, sf_dir).select("participant_id", "bout_id", "ts", "is_win", "is_loss", "landed", "attempted", "seconds")
-    rows.write.parquet(f"{to}/sides")
-    # The files are in no time order, and batches must be: all of them are one batch.
-    source = ingest.stream(spark, f"{to}/sides", rows.schema, files_per_trigger=None)
+    written_in_order(rows, f"{to}/sides", 3)
+    source = ingest.stream(spark, f"{to}/sides", rows.schema, files_per_trigger=4)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return _finish(career(source), to).select("bout_id", "participant_id", "wins", "losses", "win_streak", "loss_streak", "longest", "landed")

@@ -11,8 +11,10 @@ from sidewind.functions import text
 from sidewind.operators import dml, evaluate, joins, scans
 from sidewind.operators import windows as w
 from sidewind.operators.deltas import DeltaTable
-from sidewind.plans import features, serve
+from sidewind.plans import bouts as data
+from sidewind.plans import features, serve, streams
 from sidewind.streaming import career as stream_career
+from sidewind.streaming import ingest
 
 
 def rows_of(df):
@@ -212,3 +214,18 @@ def test_records_with_an_offset(spark):
     rows = [("a", 1, 1, 1, 0, 10, 4), ("a", 2, 2, 0, 1, 10, 4), ("a", 3, 3, 1, 0, 10, 4)]
     df = spark.createDataFrame(rows, "participant_id string, ts int, bout_id int, is_win int, is_loss int, total_wins int, total_losses int")
     assert [(r.wins, r.losses) for r in w.record_with_offset(df).orderBy("ts").collect()] == [(8, 3), (9, 3), (9, 4)]
+
+
+def test_career_states_cross_batches(spark, sf, tmp_path):
+    """Batches of two files, in time order: states go on, and what is written in order is all rows, once."""
+    rows = data.side_rows(spark, sf).select("participant_id", "bout_id", "ts", "is_win", "is_loss", "landed", "attempted", "seconds")
+    streams.written_in_order(rows, f"{tmp_path}/in", 3, files=2)
+    assert spark.read.parquet(f"{tmp_path}/in").exceptAll(rows).count() == 0 and spark.read.parquet(f"{tmp_path}/in").count() == rows.count()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = stream_career.career(ingest.stream(spark, f"{tmp_path}/in", rows.schema, files_per_trigger=2))
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len([f for f in os.listdir(f"{tmp_path}/c/commits") if f.isdigit()]) >= 3
+    got = {(r.participant_id, r.bout_id): (r.wins, r.losses, r.landed) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = rows.select("participant_id", "bout_id", w.prior_sum(F.col("is_win")).alias("a"), w.prior_sum(F.col("is_loss")).alias("b"), w.prior_sum(F.col("landed")).alias("c"))
+    assert got == {(r.participant_id, r.bout_id): (r.a, r.b, r.c) for r in want.collect()}
