@@ -110,3 +110,14 @@ def test_link_addresses_are_resolved(spark):
     pages = [(1, "http://b.test/x/y/page", '<link rel="canonical" href="../../en/7?a=1&amp;b=2">'), (2, "http://b.test/en/7?a=1&b=2", '<link rel="canonical" href="http://z.net/de/1">')]
     out = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert {r.page_id: r.verdict for r in out.collect()} == {1: "block", 2: "block"}
+
+
+def test_verdicts_of_the_rules(spark):
+    """Each rule's verdict, that of the longer rule within it, and an alias by an allowed address."""
+    rows = [
+        (1, "http://a.com/en/1", None, "com/en/", "block"), (2, "http://a.example.com/en/7", None, "example.com/en/7", "allow"), (3, "http://a.net/de/8", None, "net/de/", "allow"),
+        (4, "http://example.net/de/7", None, "net/de/", "allow"), (5, "http://www.example.net/de/81", None, "example.net/de/8", "block"), (6, "http://a.org/es/", None, "org/es/", "block"), (7, "http://net/de/", None, "net/de/", "allow"),
+        (8, "http://b.test/1", '<link rel="canonical" href="http://a.net/de/9"><meta http-equiv="refresh" content="0; url=http://c.test/2">', None, "allow"), (9, "http://c.test/2", '<link rel="canonical" href="http://d.org/es/1">', None, "allow"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(df).collect()} == {i: (rule, verdict) for i, _, _, rule, verdict in rows}
