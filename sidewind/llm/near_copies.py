@@ -11,8 +11,8 @@ probability 0.994 and one at 0.85 with 0.9997; the README has the measured recal
 within RADIUS of all 192 bits are candidates (at 0.8 the mean is 29 and the deviation 5, by chance 96
 and 7), and these are verified by the exact similarity of their sets.
 
-Size: texts with equal shingle sets are one entry from the start, so copies cost one row. Buckets put
-out links to their least entries, as far as these join something new in their task, never all pairs; segment values of more than
+Size: texts with equal shingle sets are one entry from the start, so copies cost one row. A task puts
+out one link for each entry, to the least that its buckets connect it with, never all pairs; segment values of more than
 ``max(20000, n / 10000)`` entries are hot, and their buckets are dealt out in block pairs. Only texts
 that have a candidate are read again. They are verified within the groups that candidates connect,
 in cells of one or two blocks of at most CELL_ROWS texts and CELL_BYTES bytes, by a breadth-first
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_within, connected_components, join_groups, materialize, partitions, ship, tidied
+from .common import BATCH_ROWS, broadcast_within, connected_components, join_groups, materialize, partitions, ship, tidied
 from .simhash_dedup import BLOCK, DENSE, _Forest, of_hashes, popcount, shingle_hashes, stir
 
 WORDS, LEAST = 5, 0.8
@@ -93,18 +93,26 @@ def node_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return stir(a ^ stir(b ^ stir(c)))
 
 
+def _stars(forest: _Forest):
+    """A link from each entry to the least of its component in this task.
+
+    A large group meets in most tasks' buckets, each time as another part of it with another least entry;
+    the least of all that a task connects is more often the same.
+    """
+    linked = list(forest.up)
+    for at in range(0, len(linked), BATCH_ROWS):
+        a = linked[at : at + BATCH_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([forest.root(x) for x in a], pa.int64())], ("a", "b"))
+
+
 def _candidates(radius: int):
     """Rows come sorted by (key, cell): runs of equal ones are buckets, or a pair of blocks of a hot one."""
 
     def run(batches):
         forest = _Forest()
 
-        def stars(node, pairs):
-            """Links from each entry to the least of its bucket's component, as far as they join something new.
-
-            Pairs are places in ``node``, and a place is in one bucket only. In a large group the least entries
-            of most buckets are the same few, so the links of all tasks are few once they are made distinct.
-            """
+        def unite(node, pairs):
+            """Joins the nodes of each bucket's pairs. Pairs are places in ``node``, and a place is in one bucket only."""
             up: dict[int, int] = {}
 
             def root(p):
@@ -119,10 +127,9 @@ def _candidates(radius: int):
                     if p != q:
                         p, q = (p, q) if node[p] < node[q] else (q, p)
                         up[q] = p
-            new = [(x, y) for p in list(up) if (r := root(p)) != p and forest.join(x := int(node[p]), y := int(node[r]))]
-            if new:
-                p, q = zip(*new, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ("a", "b"))
+            for p in list(up):
+                if (r := root(p)) != p:
+                    forest.join(int(node[p]), int(node[r]))
 
         def few(run_of, node, *fp):
             """Neighbours at growing offsets, all buckets at once."""
@@ -133,7 +140,7 @@ def _candidates(radius: int):
                 live = live[run_of[live] == run_of[live + k]]
                 near = live[sum(popcount(w[live] ^ w[live + k]).astype(np.int16) for w in fp) <= radius] if len(live) else live
                 pairs.append((near, near + k))
-            yield from stars(node, pairs)
+            unite(node, pairs)
 
         def many(node, *fp):
             """All pairs in blocks of rows; a bucket with many near pairs is searched instead."""
@@ -155,7 +162,7 @@ def _candidates(radius: int):
                         got, left = left[near], left[~near]
                         pairs.append((np.full(len(got), one), got))
                         queue += got.tolist()
-            yield from stars(node, pairs)
+            unite(node, pairs)
 
         def work(key, cell, *fp):
             fp = [w.view(np.uint64) for w in fp]
@@ -163,9 +170,9 @@ def _candidates(radius: int):
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
             length = np.diff(np.r_[start, len(key)])
             small = np.repeat(length <= 48, length)
-            yield from few(np.repeat(np.arange(len(start)), length)[small], node[small], *(w[small] for w in fp))
+            few(np.repeat(np.arange(len(start)), length)[small], node[small], *(w[small] for w in fp))
             for s, n in zip(start[length > 48].tolist(), length[length > 48].tolist(), strict=True):
-                yield from many(node[s : s + n], *(w[s : s + n] for w in fp))
+                many(node[s : s + n], *(w[s : s + n] for w in fp))
 
         held, size = [], 0
         for batch in batches:
@@ -177,16 +184,29 @@ def _candidates(radius: int):
             other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield from work(*(x[:last] for x in now))
+                work(*(x[:last] for x in now))
             # A bucket that goes on waits for twice as many rows before it is looked at again.
             held = [[x[last:] for x in now]]
             size = (len(now[0]) - last) // 2
         if held and sum(len(h[0]) for h in held):
-            yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from _stars(forest)
 
     return run
 
 
+def to_least(links: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, that connect the same as those of all tasks: each b of an entry, and the entry, to its least b.
+
+    An entry is in as many buckets as there are variants, or in as many cells as its group has blocks, and
+    each task may link it to another b. Of all entries of a group the least b are few, so what is left
+    after this is about one link for each entry, however many tasks its group met in. There is no join,
+    and an entry's links are as many as its buckets or cells at most.
+    """
+    least = F.min("b").over(Window.partitionBy("a"))
+    return links.repartition("a").distinct().select(F.when(F.col("b") == least, F.col("a")).otherwise(F.col("b")).alias("a"), least.alias("b"))
+
+
 def candidates(entries: DataFrame, n: int) -> DataFrame:
     """(a, b): links of nodes of distinct entries(a, b, c) that connect all that meet within RADIUS."""
     spark = entries.sparkSession
@@ -207,7 +227,7 @@ def candidates(entries: DataFrame, n: int) -> DataFrame:
         rows = rows.join(F.broadcast(sizes), "key", "left").select("key", *FP, F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"))
     else:
         rows = rows.select("key", *FP, F.lit(0).alias("cell"))
-    return rows.repartition(partitions(spark, n * len(CUT) * WIDTH), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidied(_candidates(RADIUS)), "a long, b long")
+    return to_least(rows.repartition(partitions(spark, n * len(CUT) * WIDTH), "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(tidied(_candidates(RADIUS)), "a long, b long"))
 
 
 def _verify(words: int, least: float):
@@ -280,7 +300,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.join(broadcast_within(wanted), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["sig"])
     texts = texts.join(large, "label", "left").select("label", F.explode(F.coalesce(cells, F.array(F.lit(0)))).alias("cell"), "sig", *FP, "text")
     verified = texts.repartition(partitions(spark), "label", "cell").sortWithinPartitions("label", "cell").mapInArrow(tidied(_verify(words, least)), "a long, b long")
-    found = connected_components(verified).select(F.col("node").alias("sig"), "component")
+    found = connected_components(to_least(verified)).select(F.col("node").alias("sig"), "component")
     # Groups: what links connect, and sets that several rows share.
     members = entries.join(broadcast_within(found), "sig", "left").where("component IS NOT NULL OR n > 1").select("sig", "n", "first", F.coalesce("component", "sig").alias("component"))
     members = materialize(members, "members")

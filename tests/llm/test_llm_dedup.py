@@ -162,6 +162,42 @@ def test_candidates_connect_all_that_meet(spark, monkeypatch, hot, dense):
     assert pairs > 500
 
 
+def test_links_of_a_large_group_are_few(spark):
+    """A group that meets in all tasks, each time as another part of it, gives about one link for each entry and stays whole."""
+    rng, centre = random.Random(5), [0x123456789ABCDEF0, 0x0FEDCBA987654321, 0x5555AAAA3333CCCC]
+    prints = {tuple(w ^ sum(1 << (f % 64) for f in flip if f // 64 == k) for k, w in enumerate(centre)) for flip in (rng.sample(range(192), rng.randint(18, 26)) for _ in range(800))}
+    signed = [[x - (1 << 64) if x >> 63 else x for x in p] for p in prints]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        links = {(max(r), min(r)) for r in near_copies.candidates(spark.createDataFrame(signed, "a long, b long, c long"), len(prints)).collect() if r.a != r.b}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    nodes = {x for link in links for x in link}
+    assert len(nodes) > 700 and len({root(x) for x in nodes}) == 1
+    assert len(links) < 2 * len(nodes)
+
+
+def test_links_to_least_connect_the_same(spark):
+    rng = random.Random(4)
+    links = [(max(x), min(x)) for x in (rng.sample(range(300), 2) for _ in range(260))] * 2 + [(9000 + i, i % 3) for i in range(50)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = near_copies.to_least(df).collect()
+    assert all(r.a > r.b for r in got) and len(got) <= len(set(links))
+    want = {r.node: r.component for r in common.connected_components(df).collect()}
+    assert want == {r.node: r.component for r in common.connected_components(near_copies.to_least(df)).collect()}
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 60)] + [(5, 5)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
