@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import ship
+from . import alike
 
 #: Bytes up to which a dimension is broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -92,12 +93,15 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, block: list[str], least: floa
 
 
 def best_match(left: DataFrame, right: DataFrame, block: list[str], floors: tuple[float, float] = (0.75, 0.6), least_sum: float = 1.0) -> DataFrame:
-    """left(id, a, b) with right(rid, a, b) of its block: the pair with the highest sum of ratios above the floors."""
-    l = left.withColumnsRenamed({"a": "_la", "b": "_lb"})
-    s = l.join(right, block).withColumns({"_x": similarity(F.col("_la"), F.col("a")), "_y": similarity(F.col("_lb"), F.col("b"))})
-    high, low = F.greatest("_x", "_y"), F.least("_x", "_y")
-    ok = s.where((high >= floors[0]) & (low >= floors[1]) & (F.col("_x") + F.col("_y") > least_sum))
-    return ok.groupBy("id").agg(F.max_by("rid", F.struct(F.col("_x") + F.col("_y"), -F.col("rid"))).alias("rid"), F.max(F.col("_x") + F.col("_y")).alias("score"))
+    """left(id, a, b) with right(rid, a, b) of its block: the pair with the highest sum of ratios above the floors.
+
+    Of equal names only one is compared, and few pairs in full (``alike``).
+    """
+    l = left.select("id", alike.key_of(left, block).alias("_k"), alike.names_of("a", "b").alias("_names")).where("_k IS NOT NULL")
+    r = right.select("rid", alike.key_of(right, block).alias("_k"), alike.names_of("a", "b").alias("_names")).where("_k IS NOT NULL")
+    r = r.groupBy("_k", "_names").agg(F.min("rid").alias("_pick"))
+    found = alike.match(l.select("_k", "_names").distinct(), r, alike.best_in(floors, least_sum), F.asc_nulls_last("_pick"))
+    return l.join(found, ["_k", "_names"]).groupBy("id").agg(F.max_by("_pick", F.struct(F.col("score"), -F.col("_pick"))).alias("rid"), F.max("score").alias("score"))
 
 
 def bag_prefix(name: Column, cutoff: float) -> Column:

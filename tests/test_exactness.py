@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sidewind import session
 from sidewind.functions import text
-from sidewind.operators import dml, joins, models, ratings
+from sidewind.operators import alike, dml, joins, models, ratings
 from sidewind.operators import windows as w
 from sidewind.plans import features, streams
 from sidewind.plans.bouts import bouts, side_rows
@@ -121,3 +121,48 @@ def test_tuner_and_finish_model(spark):
 def test_matrix_still_covers_all_decided_bouts(spark, sf):
     b = bouts(spark, sf)
     assert features.matrix(b, side_rows(spark, sf), debuts=True).count() == b.where("red_win IS NOT NULL").count()
+
+
+def _odd_names(rng, n, key):
+    """Names of few letters in few blocks: empty, missing and equal ones, long ones of popular letters, letters of several bytes."""
+    short = lambda: "".join(rng.choices("abcé日", k=rng.randint(0, 7)))
+    pool = [None, *[short() for _ in range(30)], *["".join(rng.choices("ab", k=k)) for k in (63, 64, 65, 198, 220)], "ab" * 120]
+    return [(rng.choice([0.0, -0.0, 2.0, float("nan"), None]), i, rng.choice(pool), rng.choice(pool)) for i in range(n)], f"g double, {key} long, a string, b string"
+
+
+def _blocks(rows):
+    out = {}
+    for g, i, a, b in rows:
+        if g is not None:
+            out.setdefault(str(g + 0.0), []).append((i, a or "", b or ""))
+    return out
+
+
+def _ratio(x, y):
+    return difflib.SequenceMatcher(None, x, y).ratio()
+
+
+@pytest.mark.parametrize("chunk", [(256, 8192), (5, 7)])
+def test_best_match_equals_all_pairs(spark, monkeypatch, chunk):
+    rng = random.Random(11)
+    monkeypatch.setattr(alike, "LEFT", chunk[0])
+    monkeypatch.setattr(alike, "RIGHT", chunk[1])
+    (l, ls), (r, rs) = _odd_names(rng, 70, "id"), _odd_names(rng, 70, "rid")
+    got = {x.id: (x.score, x.rid) for x in joins.best_match(spark.createDataFrame(l, ls), spark.createDataFrame(r, rs), ["g"], (0.6, 0.3)).collect()}
+    want = {}
+    for g, mine in _blocks(l).items():
+        for i, a, b in mine:
+            pairs = [(_ratio(a, c), _ratio(b, d), -j) for j, c, d in _blocks(r).get(g, [])]
+            found = [(x + y, j) for x, y, j in pairs if max(x, y) >= 0.6 and min(x, y) >= 0.3 and x + y > 1.0]
+            if found:
+                want[i] = (max(found)[0], -max(found)[1])
+    assert got == want and len(want) > 20
+
+
+def test_few_pairs_of_a_block_are_compared_in_full(monkeypatch):
+    """Of 1.6 million pairs about one for each name."""
+    calls, real = [], alike.ratio
+    monkeypatch.setattr(alike, "ratio", lambda x, y: (calls.append(1), real(x, y))[1])
+    names = [[f"Name#{7 * i:09d}"] for i in range(1200)]
+    found = list(alike.best_in((0.8, 0.8), -1.0)([[n[0] + "x"] for n in names[:400]], names))
+    assert [f[:2] for f in found] == [(i, i) for i in range(400)] and len(calls) < 2000
