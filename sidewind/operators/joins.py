@@ -78,18 +78,15 @@ def similarity(a: Column, b: Column) -> Column:
 def fuzzy_pairs(left: DataFrame, right: DataFrame, block: list[str], least: float = 0.85) -> DataFrame:
     """left(id, a, b) with right(rid, a, b): the first match in which both names reach ``least``.
 
-    Only rows that agree on the block columns are compared. Straight order comes before reversed,
-    then rid; ``reversed`` says that the payload is to be swapped.
+    Only rows that agree on the block columns are compared, and of equal names only one (``alike``). Straight order
+    comes before reversed, then rid; ``reversed`` says that the payload is to be swapped.
     """
-    l = left.withColumnsRenamed({"a": "_la", "b": "_lb"})
-    pairs = l.join(right, block)
-    scored = pairs.withColumns({
-        "_straight": F.least(similarity(F.col("_la"), F.col("a")), similarity(F.col("_lb"), F.col("b"))),
-        "_reversed": F.least(similarity(F.col("_la"), F.col("b")), similarity(F.col("_lb"), F.col("a"))),
-    })
-    ok = scored.where((F.col("_straight") >= least) | (F.col("_reversed") >= least)).withColumn("reversed", F.col("_straight") < least)
-    w = Window.partitionBy("id").orderBy("reversed", "rid")
-    return ok.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("id", "rid", "reversed", F.greatest("_straight", "_reversed").alias("score"))
+    l = left.select("id", alike.key_of(left, block).alias("_k"), alike.names_of("a", "b").alias("_names")).where("_k IS NOT NULL")
+    r = right.select("rid", alike.key_of(right, block).alias("_k"), alike.names_of("a", "b").alias("_names")).where("_k IS NOT NULL")
+    r = r.groupBy("_k", "_names").agg(F.min(F.struct("rid")).alias("_pick")).withColumn("_pick", F.col("_pick.rid"))
+    found = alike.match(l.select("_k", "_names").distinct(), r, alike.first_in(least), F.asc_nulls_first("_pick"))
+    best = l.join(found, ["_k", "_names"]).groupBy("id").agg(F.min(F.struct("reversed", "_pick", (-F.col("score")).alias("_low"))).alias("_best"))
+    return best.select("id", F.col("_best._pick").alias("rid"), F.col("_best.reversed").alias("reversed"), (-F.col("_best._low")).alias("score"))
 
 
 def best_match(left: DataFrame, right: DataFrame, block: list[str], floors: tuple[float, float] = (0.75, 0.6), least_sum: float = 1.0) -> DataFrame:

@@ -166,3 +166,29 @@ def test_few_pairs_of_a_block_are_compared_in_full(monkeypatch):
     names = [[f"Name#{7 * i:09d}"] for i in range(1200)]
     found = list(alike.best_in((0.8, 0.8), -1.0)([[n[0] + "x"] for n in names[:400]], names))
     assert [f[:2] for f in found] == [(i, i) for i in range(400)] and len(calls) < 2000
+
+
+@pytest.mark.parametrize("chunk", [(512, 8192), (5, 7)])
+def test_fuzzy_pairs_equal_all_pairs(spark, monkeypatch, chunk):
+    rng = random.Random(12)
+    monkeypatch.setattr(alike, "LEFT", chunk[0])
+    monkeypatch.setattr(alike, "RIGHT", chunk[1])
+    (l, ls), (r, rs) = _odd_names(rng, 80, "id"), _odd_names(rng, 80, "rid")
+    got = {x.id: (x.reversed, x.rid, x.score) for x in joins.fuzzy_pairs(spark.createDataFrame(l, ls), spark.createDataFrame(r, rs), ["g"], 0.5).collect()}
+    want = {}
+    for g, mine in _blocks(l).items():
+        for i, a, b in mine:
+            pairs = [(min(_ratio(a, c), _ratio(b, d)), min(_ratio(a, d), _ratio(b, c)), j) for j, c, d in _blocks(r).get(g, [])]
+            found = [(x < 0.5, j, max(x, y)) for x, y, j in pairs if max(x, y) >= 0.5]
+            if found:
+                want[i] = min(found)
+    assert got == want and len({f for f, _, _ in want.values()}) == 2
+
+
+def test_first_pair_of_a_block_is_found_with_few_in_full(monkeypatch):
+    """Of half a million pairs a few for each name."""
+    calls, real = [], alike.ratio
+    monkeypatch.setattr(alike, "ratio", lambda x, y: (calls.append(1), real(x, y))[1])
+    names = [(f"name#{97 * i:09d}", f"Name#{97 * i:09d}") for i in range(1200)]
+    found = list(alike.first_in(0.85)(names[:400], [(b, a) for a, b in names]))
+    assert len(found) == 400 and all(j <= i for i, j, _, _ in found) and len(calls) < 20 * 400
