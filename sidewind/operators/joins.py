@@ -124,9 +124,12 @@ def closest(names: DataFrame, candidates: DataFrame, block: Column | None = None
     if block is None:
         l = names.select("name", F.explode(bag_prefix(F.col("name"), cutoff)).alias("_b"))
         pairs = l.join(candidates.select("candidate", F.explode(bag_prefix(F.col("candidate"), cutoff)).alias("_b")), "_b").select("name", "candidate").distinct()
+        scored = pairs.withColumn("score", similarity(F.col("name"), F.col("candidate"))).where(F.col("score") >= cutoff)
     else:
-        pairs = names.withColumn("_b", block).join(candidates.withColumn("_b", candidate_block), "_b")
-    scored = pairs.withColumn("score", similarity(F.col("name"), F.col("candidate"))).where(F.col("score") >= cutoff)
+        l, r = names.where("name IS NOT NULL").withColumn("_b", block), candidates.withColumn("_b", candidate_block)
+        l = l.select(alike.key_of(l, ["_b"]).alias("_k"), alike.names_of("name").alias("_names")).where("_k IS NOT NULL").distinct()
+        r = r.select("candidate", alike.key_of(r, ["_b"]).alias("_k"), alike.names_of("candidate").alias("_names")).where("_k IS NOT NULL").groupBy("_k", "_names").agg(F.max("candidate").alias("_pick"))
+        scored = alike.match(l, r, alike.best_in((cutoff, cutoff), -1.0), F.desc_nulls_last("_pick")).select(F.col("_names")[0].alias("name"), F.col("_pick").alias("candidate"), "score")
     best = scored.groupBy("name").agg(F.max_by("candidate", F.struct("score", "candidate")).alias("match"), F.max("score").alias("score"))
     return names.join(best, "name", "left")
 

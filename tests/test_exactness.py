@@ -192,3 +192,26 @@ def test_first_pair_of_a_block_is_found_with_few_in_full(monkeypatch):
     names = [(f"name#{97 * i:09d}", f"Name#{97 * i:09d}") for i in range(1200)]
     found = list(alike.first_in(0.85)(names[:400], [(b, a) for a, b in names]))
     assert len(found) == 400 and all(j <= i for i, j, _, _ in found) and len(calls) < 20 * 400
+
+
+@pytest.mark.parametrize("chunk", [(512, 8192), (5, 7)])
+def test_closest_in_blocks_equals_all_pairs(spark, monkeypatch, chunk):
+    rng = random.Random(13)
+    monkeypatch.setattr(alike, "LEFT", chunk[0])
+    monkeypatch.setattr(alike, "RIGHT", chunk[1])
+    (l, ls), (r, rs) = _odd_names(rng, 60, "id"), _odd_names(rng, 60, "rid")
+    names, candidates = spark.createDataFrame(l, ls).select("g", F.col("a").alias("name")), spark.createDataFrame(r, rs).select("g", F.col("a").alias("candidate"))
+    got = sorted(((x.name, x.match, x.score) for x in joins.closest(names, candidates, F.col("g"), F.col("g"), 0.6).collect()), key=repr)
+    of, best = lambda rows: [(str(g + 0.0), a) for g, _, a, _ in rows if g is not None], {}
+    for g, n in of(l):
+        pairs = [(_ratio(n, c or ""), c is not None, c) for k, c in of(r) if k == g] if n is not None else []
+        best[n] = max([p for p in pairs if p[0] >= 0.6] + [best.get(n, (0.0, False, ""))], key=lambda p: (p[0], p[1], p[2] or ""))
+    want = sorted(((n, *((best[n][2], best[n][0]) if best.get(n, (0.0,))[0] else (None, None))) for _, _, n, _ in l), key=repr)
+    assert got == want and sum(m is not None for _, m, _ in want) > 20
+
+
+def test_a_small_block_table_is_dealt_over_tasks(spark):
+    """Few bytes are much work: adaptive execution must not put them into one task."""
+    n = spark.range(3000).select(F.struct((F.col("id") % 100).alias("k0")).alias("_k"), F.array(F.format_string("Name#%09d", "id")).alias("_names"), F.col("id").alias("_pick"))
+    found = alike.match(n.select("_k", "_names"), n, alike.best_in((0.8, 0.8), -1.0), F.asc("_pick"))
+    assert found.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
