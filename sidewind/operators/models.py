@@ -42,16 +42,34 @@ def balanced(df: DataFrame, target: str = "target", weight: str | None = None) -
     return df.join(F.broadcast(shares), target).crossJoin(F.broadcast(total)).withColumn("row_weight", own * F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
-def estimator(kind: str, features: list[str], target: str = "target", seed: int = 42, classes: int = 2, **params):
+def scaler(features: list[str]) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_vector", handleInvalid="keep"), StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True)])
+
+
+def learner(kind: str, width: int, target: str = "target", seed: int = 42, classes: int = 2, **params):
+    """MLlib's estimator of a kind over vectors of so many scaled features."""
     common = {"featuresCol": "_scaled", "labelCol": target}
     weighted = {"weightCol": "row_weight"}
-    out = {
+    return {
         "lr": lambda: LogisticRegression(**common, **weighted, **{"regParam": 0.01, "maxIter": 50} | params),
         "rf": lambda: RandomForestClassifier(**common, **weighted, seed=seed, **{"numTrees": 40, "maxDepth": 6} | params),
         "gbt": lambda: GBTClassifier(**common, **weighted, seed=seed, **{"maxIter": 20, "maxDepth": 3, "stepSize": 0.1} | params),
-        "mlp": lambda: MultilayerPerceptronClassifier(**common, seed=seed, **{"layers": [len(features), 16, classes], "maxIter": 50} | params),
+        "mlp": lambda: MultilayerPerceptronClassifier(**common, seed=seed, **{"layers": [width, 16, classes], "maxIter": 50} | params),
     }[kind]()
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_vector", handleInvalid="keep"), StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True), out])
+
+
+def estimator(kind: str, features: list[str], target: str = "target", **params) -> Pipeline:
+    return Pipeline(stages=[*scaler(features).getStages(), learner(kind, len(features), target, **params)])
+
+
+def readied(train: DataFrame, test: DataFrame, target: str = "target") -> tuple[DataFrame, DataFrame]:
+    """Both frames as fit() makes them whatever the parameters: target, scaled vectors, and the training rows' weights.
+
+    A learner() that is fitted on them many times need not weigh and scale them each time.
+    """
+    rows = train if "row_weight" in train.columns else balanced(train, target)
+    scaled = scaler(diffs(train)).fit(rows)
+    return scaled.transform(rows).select(target, "row_weight", "_scaled"), scaled.transform(test).select(target, "_scaled")
 
 
 def fit(kind: str, train: DataFrame, target: str = "target", held: DataFrame | None = None, **params):

@@ -14,11 +14,15 @@ import random
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from .evaluate import purged_folds
 
+#: Rows of a fold for one task.
+TASK_ROWS = 100_000
+
 #: name -> ("float", low, high), ("log", low, high), ("int", low, high) or ("choice", values)
 Space = dict[str, tuple]
 Trial = tuple[dict, float]
@@ -111,17 +115,36 @@ def search(objective: Callable[[dict], float], space: Space, rounds: int, per_ro
     return trials
 
 
-def tune(df: DataFrame, fit_score: Callable[[DataFrame, DataFrame, dict], float], space: Space, rounds: int, per_round: int = 4, order: str = "date", folds: int = 5, gap_days: int = 180, least: tuple[int, int] = (50, 20), seed: int = 42) -> tuple[dict, DataFrame]:
+def tune(
+    df: DataFrame, fit_score: Callable[[DataFrame, DataFrame, dict], float], space: Space, rounds: int, per_round: int = 4, order: str = "date", folds: int = 5, gap_days: int = 180, least: tuple[int, int] = (50, 20), seed: int = 42,
+    ready: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+) -> tuple[dict, DataFrame]:
     """The parameters with the least mean score over purged folds, and (trial, params, score) of all trials.
 
-    fit_score(train, test, params) fits on a fold's training rows and scores its test rows.
+    fit_score(train, test, params) fits on a fold's training rows and scores its test rows. What is the same for
+    all parameters is done by ready(train, test), once for each fold; fit_score gets the frames that it returns.
     """
     rows = purged_folds(df, order, folds, gap_days, least).persist()
-    found = sorted(r.fold for r in rows.select("fold").distinct().collect())
-    part = lambda k, role: rows.where(f"fold = {k} AND role = '{role}'").drop("fold", "role")
-    objective = lambda p: sum(fit_score(part(k, "train"), part(k, "test"), p) for k in found) / len(found)
+    sizes = {(r.fold, r.role): r["count"] for r in rows.groupBy("fold", "role").count().collect()}
+    found = sorted({k for k, _ in sizes})
+
+    def parts_of(k: int) -> tuple[DataFrame, DataFrame]:
+        pair = [rows.where(f"fold = {k} AND role = '{role}'").drop("fold", "role") for role in ("train", "test")]
+        if not ready:
+            return tuple(pair)
+        # A fit is many short jobs over these rows, so a task gets no fewer than are worth its start.
+        return tuple(d.coalesce(-(-sizes[k, role] // TASK_ROWS)).persist() for d, role in zip(ready(*pair), ("train", "test"), strict=True))
+
+    def each(run: Callable[[int], object]) -> list:
+        with ThreadPoolExecutor(len(found)) as pool:
+            return list(pool.map(inheritable_thread_target(run), found))
+
+    parts = dict(zip(found, each(parts_of), strict=True)) if found else {}
+    objective = lambda p: sum(each(lambda k: fit_score(*parts[k], p))) / len(found)
     trials = search(objective, space, rounds, per_round, seed) if found else []
-    rows.unpersist()
+    for d in [rows, *(d for pair in parts.values() for d in pair if ready)]:
+        d.unpersist()
     best = min(trials, key=lambda t: t[1])[0] if trials else {}
-    table = [(i, ", ".join(f"{n}={p[n]:.6g}" if isinstance(p[n], float) else f"{n}={p[n]}" for n in sorted(p)), float(s)) for i, (p, s) in enumerate(trials)]
-    return best, df.sparkSession.createDataFrame(table, "trial int, params string, score double")
+    texts = [", ".join(f"{n}={p[n]:.6g}" if isinstance(p[n], float) else f"{n}={p[n]}" for n in sorted(p)) for p, _ in trials]
+    table = pa.table({"trial": pa.array(range(len(trials)), pa.int32()), "params": pa.array(texts, pa.string()), "score": pa.array([float(s) for _, s in trials], pa.float64())})
+    return best, df.sparkSession.createDataFrame(table)

@@ -60,10 +60,10 @@ def _(spark, d):
     m = plain_matrix(spark, d).drop("weight")
 
     def fit_score(train, test, p):
-        scored = models.score(models.fit("lr", train, regParam=p["l2"], elasticNetParam=p["mix"], maxIter=15), test, "_p")
+        scored = models.score(models.learner("lr", len(EDGES), regParam=p["l2"], elasticNetParam=p["mix"], maxIter=15).fit(train), test, "_p")
         return scored.agg(F.avg((F.col("_p") - F.col("target")) ** 2)).first()[0]
 
-    return search.tune(m, fit_score, {"l2": ("log", 1e-4, 10.0), "mix": ("float", 0.0, 1.0)}, rounds=3, order="date", folds=2, gap_days=2)[1]
+    return search.tune(m, fit_score, {"l2": ("log", 1e-4, 10.0), "mix": ("float", 0.0, 1.0)}, rounds=3, order="date", folds=2, gap_days=2, ready=models.readied)[1]
 
 
 def _donor_sql(repeats: int, seed: int) -> str:

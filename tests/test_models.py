@@ -205,3 +205,25 @@ def test_ratings_go_on_from_a_snapshot(spark):
     rated, state3, _ = ratings.refresh_by_class(more, state2, position2)
     want = {(r["class"], r.participant_id): (r.elo, r.bouts) for r in ratings.current_elo(more, ratings.elo_by_class(more), by_class=True).collect()}
     assert same(now(state3), want) and rated.count() == more.where("class = 'light'").count()
+
+
+def test_tuner_readies_each_fold_once(spark, monkeypatch):
+    """The rows' weights and scales do not depend on the parameters, and trials over readied folds score as whole fits do;
+    in fewer tasks sums are added up in another order, and fits end within their tolerance of each other."""
+    rng = random.Random(3)
+    rows = [(i, f"2024-01-{i % 28 + 1:02d}", x, 3 * y, int(x + y + rng.gauss(0, 0.5) > 0.4)) for i in range(600) for x, y in [(rng.gauss(0, 1), rng.gauss(0, 1))]]
+    df = spark.createDataFrame(rows, "bout_id long, d string, x_diff double, y_diff double, target int").withColumn("date", F.to_date("d"))
+    calls, brier = [], lambda d: d.agg(F.avg((F.col("_p") - F.col("target")) ** 2)).first()[0]
+    space, how = {"l2": ("log", 1e-3, 1.0), "mix": ("float", 0.0, 1.0)}, {"rounds": 2, "per_round": 2, "gap_days": 1, "folds": 2, "least": (20, 10)}
+    of = lambda p: {"regParam": p["l2"], "elasticNetParam": p["mix"], "maxIter": 10}
+
+    def ready(train, test):
+        calls.append(1)
+        return models.readied(train, test)
+
+    monkeypatch.setattr(search, "TASK_ROWS", 1)
+    _, fast = search.tune(df, lambda a, b, p: brier(models.score(models.learner("lr", 2, **of(p)).fit(a), b, "_p")), space, **how, ready=ready)
+    _, slow = search.tune(df, lambda a, b, p: brier(models.score(models.fit("lr", a, **of(p)), b, "_p")), space, **how)
+    fast, slow = fast.orderBy("trial").collect(), slow.orderBy("trial").collect()
+    assert len(calls) == 2 and len(fast) == 4 and [r.params for r in fast] == [r.params for r in slow]
+    assert max(abs(a.score - b.score) for a, b in zip(fast, slow, strict=True)) < 1e-9
