@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import bouts as data
@@ -14,15 +15,14 @@ ZONE_MODS = {"head": (13, 6), "body": (7, 4), "leg": (5, 3), "dist": (17, 8), "c
 CLASSES = ["click", "view", "signup"]
 
 
-def zoned(spark, d):
-    s = side_rows(spark, d)
+def zoned() -> dict[str, Column]:
     new = {}
     for o in ("", "opp_"):
         for z, (a, b) in ZONE_MODS.items():
             new |= {f"{o}{z}_landed": F.col(f"{o}landed") % a, f"{o}{z}_attempted": F.col(f"{o}landed") % a + F.col(f"{o}ctrl") % b}
     new |= {"reversals": (F.col("ctrl") % 4 == 0).cast("long"), "r1_landed": F.col("landed") % 9, "r1_ctrl": F.col("ctrl") % 20, "r1_reversals": (F.col("ctrl") % 8 == 0).cast("long")}
     new["r1_seconds"] = F.when(F.col("finish_round") > 1, 300).otherwise(F.col("seconds"))
-    return s.withColumns(new)
+    return new
 
 
 def bios(spark, d):
@@ -85,5 +85,5 @@ def _wide_sql() -> str:
 
 @query("q_wide_matrix", _wide_sql())
 def _(spark, d):
-    m = wide.wide_matrix(ranked(spark, d), zoned(spark, d), bios(spark, d), CLASSES)
+    m = wide.wide_matrix(ranked(spark, d), side_rows(spark, d), bios(spark, d), CLASSES, derived=zoned())
     return m.select("bout_id", day("date").alias("date"), "class", "target", "title", *[f"class_{c}" for c in CLASSES], *[rd(f"{f}_diff", 6).alias(f"{f}_diff") for f in wide.SIDE], *[rd(F.col(n).cast("double"), 6).alias(n) for n in wide.PAIR])

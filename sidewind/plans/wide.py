@@ -6,7 +6,9 @@ usual measures, ``<zone>_landed`` and ``<zone>_attempted`` (and their opp_ count
 
 All of it shares the participants' timeline. Only the opponents' quality needs a second look at it: what
 an opponent's defense was before a bout comes by the bout, and its mean over a participant's earlier
-bouts is taken in turn.
+bouts is taken in turn. The first look moves a few columns only, and rows are wide just once between
+machines, when both sides of a bout meet: numbers that a row itself gives (``derived``) are made after it
+was dealt by participant.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from ..functions import scalar as sc
 from ..functions.safe import div, positive, scrub
 from ..operators import windows as w
 from ..operators.joins import small
-from ..operators.longform import opponent_rows, widen
+from ..operators.longform import widen
 from .features import FEATURES, long_features
 
 ZONES = ("head", "body", "leg", "dist", "clinch", "ground")
@@ -32,6 +34,8 @@ EWMAS = {
 }
 #: Stats that are put in proportion to the opponents' defense: own feature, defense.
 ADJUSTED = {"opp_adj_splm": ("landed_pm", "str_def"), "opp_adj_td_avg": ("td_per_15", "td_def"), "opp_adj_head_acc": ("head_acc", "head_def"), "opp_adj_body_acc": ("body_acc", "body_def"), "opp_adj_dist_acc": ("dist_acc", "dist_def")}
+#: What was landed and attempted against a side, by its defense.
+DEFENSES = {"str_def": ("opp_landed", "opp_attempted"), "td_def": ("opp_td_landed", "opp_td_attempted")} | {f"{z}_def": (f"opp_{z}_landed", f"opp_{z}_attempted") for z in ("head", "body", "dist")}
 BODY = ["height", "reach", "age"]
 SIDE = [*FEATURES, *[f"{z}_acc" for z in ZONES], *[f"{z}_def" for z in ZONES], "sub_avg", "career_reversals", "slope_splm", "slope_td_acc", *EWMAS, *ADJUSTED, *BODY]
 PAIR = ["grapple_ratio_diff", "striker_vs_wrestler", "wrestler_vs_striker", "southpaw_adv_diff", "both_southpaw", "rank_diff", "reach_class_diff", "splm_class_diff", "reach_ratio_diff", "age_ratio_diff", "td_matchup", "age_x_layoff_diff"]
@@ -41,33 +45,48 @@ REACH_STD, SPLM_STD, LEAST_ALLOWED = (6.5, 1.0), (2.0, 0.1), 0.05
 AGE, IDLE = 30.0, 365.0
 
 
-def long_wide(side_rows: DataFrame, bios: DataFrame, current: bool = False, as_of: Column | None = None) -> DataFrame:
-    """Per side row the features of SIDE, and stance; bios(participant_id, height, reach, stance, dob)."""
+def long_wide(side_rows: DataFrame, bios: DataFrame, current: bool = False, as_of: Column | None = None, derived: dict[str, Column] | None = None) -> DataFrame:
+    """Per side row the features of SIDE, and stance; bios(participant_id, height, reach, stance, dob).
+
+    ``derived`` are columns of a side row that its other columns give.
+    """
     c = F.col
     s = lambda x: w.prior_sum(x, current)
-    rows = side_rows.withColumns({"_ewmas": w.ewmas([f(c) for f in EWMAS.values()], current=current), "_td": sc.accuracy(c("td_landed"), c("td_attempted")), "_pm": sc.per_minute(c("landed"), c("seconds"))})
+    met = with_defenses(side_rows, current, derived)
+    rows = met.repartition("participant_id").withColumns(derived or {})
+    rows = rows.withColumns({"_ewmas": w.ewmas([f(c) for f in EWMAS.values()], current=current), "_td": sc.accuracy(c("td_landed"), c("td_attempted")), "_pm": sc.per_minute(c("landed"), c("seconds"))})
     need = 2 if current else 5
     more = {f"{z}_acc": w.prior_ratio(c(f"{z}_landed"), c(f"{z}_attempted"), current=current) for z in ZONES}
     more |= {f"{z}_def": sc.defense_pct(s(c(f"opp_{z}_landed")), s(c(f"opp_{z}_attempted"))) for z in ZONES}
     more |= {"sub_avg": w.prior_mean(c("sub_att"), current), "career_reversals": s(c("reversals")), "slope_splm": w.slope(c("_pm"), 5, need, current), "slope_td_acc": w.slope(c("_td"), 5, need, current)}
     more |= {name: F.coalesce(F.get(c("_ewmas"), F.lit(i)), F.lit(0.0)) for i, name in enumerate(EWMAS)}
+    more |= {f"_faced_{d}": F.avg(positive(c(f"_met_{d}"))).over(w.prior(current)) for d in DEFENSES}
     more["opponent_id"] = c("opponent_id")
-    out = adjusted(long_features(rows, current, as_of, more), current)
+    league = met.agg(*[F.avg(positive(c(f"_met_{d}"))).alias(f"_league_{d}") for d in DEFENSES])
+    out = adjusted(long_features(rows, current, as_of, more), league)
     b = small(bios.select("participant_id", *[c(x).cast("double") for x in ("height", "reach")], F.lower(F.trim("stance")).alias("stance"), "dob"))
     at = c("date") if not current else F.coalesce(as_of, F.current_date()) if as_of is not None else F.current_date()
     return out.join(b, "participant_id", "left").withColumn("age", sc.age_years(at, c("dob"))).drop("dob")
 
 
-def adjusted(long: DataFrame, current: bool = False) -> DataFrame:
+def with_defenses(side_rows: DataFrame, current: bool = False, derived: dict[str, Column] | None = None) -> DataFrame:
+    """Adds _met_<defense>: what the opponent's DEFENSES were in the bout. A participant has one row in a bout."""
+    s = lambda x: w.prior_sum(F.col(x), current)
+    own = side_rows.repartition("participant_id").withColumns(derived or {}).select("bout_id", "participant_id", *[sc.defense_pct(s(a), s(b)).alias(d) for d, (a, b) in DEFENSES.items()])
+    # Both sides of a bout are one small array, so the rows themselves need not move if they lie by bout.
+    both = own.repartition("bout_id").groupBy("bout_id").agg(F.collect_list(F.struct("participant_id", *DEFENSES)).alias("_both"))
+    other = F.get(F.filter("_both", lambda x: x.participant_id == F.col("opponent_id")), F.lit(0))
+    rows = side_rows.join(both, "bout_id", "left").withColumn("_met", other)
+    return rows.select(*side_rows.columns, *[F.col(f"_met.{d}").alias(f"_met_{d}") for d in DEFENSES])
+
+
+def adjusted(long: DataFrame, league: DataFrame) -> DataFrame:
     """Adds ADJUSTED: own * (share that the league lets through / share that the opponents so far let through)."""
-    defenses = sorted({d for _, d in ADJUSTED.values()})
-    rows = opponent_rows(long, defenses)
-    league = rows.agg(*[F.avg(positive(F.col(f"opp_{d}"))).alias(f"_league_{d}") for d in defenses])
-    rows = rows.crossJoin(F.broadcast(league))
-    faced = {d: F.coalesce(F.avg(positive(F.col(f"opp_{d}"))).over(w.prior(current)), F.col(f"_league_{d}")) for d in defenses}
+    rows = long.crossJoin(F.broadcast(league))
+    faced = {d: F.coalesce(F.col(f"_faced_{d}"), F.col(f"_league_{d}")) for d in DEFENSES}
     allowed = lambda x: 1 - x / 100
     new = {n: F.coalesce(F.col(own) * allowed(F.col(f"_league_{d}")) / F.greatest(allowed(faced[d]), F.lit(LEAST_ALLOWED)), F.lit(0.0)) for n, (own, d) in ADJUSTED.items()}
-    return rows.withColumns(new).drop(*[f"opp_{d}" for d in defenses], *[f"_league_{d}" for d in defenses])
+    return rows.withColumns(new).drop(*[f"_faced_{d}" for d in DEFENSES], *[f"_league_{d}" for d in DEFENSES])
 
 
 def class_stds(long: DataFrame) -> DataFrame:
@@ -95,15 +114,17 @@ def pair_features() -> dict[str, Column]:
     }
 
 
-def wide_matrix(bouts: DataFrame, side_rows: DataFrame, bios: DataFrame, classes: list[str], debuts: bool = False) -> DataFrame:
+def wide_matrix(bouts: DataFrame, side_rows: DataFrame, bios: DataFrame, classes: list[str], debuts: bool = False, derived: dict[str, Column] | None = None) -> DataFrame:
     """bout_id, ts, date, class, target, title, one column per class, <feature>_diff of SIDE, and PAIR, for decided bouts.
 
     bouts need r_rank and b_rank. Values that are not known count as 0 in differences.
     """
-    long = long_wide(side_rows, bios)
-    w2 = widen(long, ["bout_id"], [*SIDE, "stance"])
+    long = long_wide(side_rows, bios, derived=derived)
+    # Dealt before they are widened: half-empty r_ and b_ columns need not move.
+    w2 = widen(long.repartition("bout_id"), ["bout_id"], [*SIDE, "stance"])
     b = bouts.select("bout_id", "ts", "date", "class", F.col("red_win").alias("target"), "title", "r_rank", "b_rank").where("target IS NOT NULL")
-    out = b.join(w2, "bout_id").join(small(class_stds(long)), "class", "left")
+    # One row a class; dealt by class, the widest rows would lie in as many tasks as there are classes.
+    out = b.join(w2, "bout_id").join(F.broadcast(class_stds(long)), "class", "left")
     if not debuts:
         out = out.where("r_bouts_before > 0 AND b_bouts_before > 0")
     zero = lambda s, f: F.coalesce(F.col(f"{s}_{f}").cast("double"), F.lit(0.0))

@@ -12,7 +12,7 @@ from sidewind.operators import dml, evaluate, joins, scans
 from sidewind.operators import windows as w
 from sidewind.operators.deltas import DeltaTable
 from sidewind.plans import bouts as data
-from sidewind.plans import features, serve, streams
+from sidewind.plans import catalog, features, serve, streams
 from sidewind.streaming import career as stream_career
 from sidewind.streaming import ingest
 
@@ -229,3 +229,17 @@ def test_career_states_cross_batches(spark, sf, tmp_path):
     got = {(r.participant_id, r.bout_id): (r.wins, r.losses, r.landed) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = rows.select("participant_id", "bout_id", w.prior_sum(F.col("is_win")).alias("a"), w.prior_sum(F.col("is_loss")).alias("b"), w.prior_sum(F.col("landed")).alias("c"))
     assert got == {(r.participant_id, r.bout_id): (r.a, r.b, r.c) for r in want.collect()}
+
+
+def test_wide_rows_move_once(spark, sf):
+    """The wide matrix deals rows of all features once, by bout, and no column that a side row itself gives before."""
+    todo, wide_ones, moved = [catalog.QUERIES["q_wide_matrix"](spark, sf)._jdf.queryExecution().executedPlan().initialPlan()], 0, set()
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Exchange":
+            names = [p.output().apply(i).name() for i in range(p.output().size())]
+            wide_ones += len(names) > 50
+            moved |= set(names)
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert wide_ones == 1
+    assert "opp_landed" in moved and not moved & {"head_landed", "opp_head_landed", "leg_attempted", "r1_ctrl"}
